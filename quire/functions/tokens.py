@@ -22,14 +22,15 @@ def _ngrams(run: Column, n: int) -> Column:
 def _han_tokens(lowered: Column, sizes: tuple[int, ...], terms: list[str]) -> Column:
     runs = F.regexp_extract_all(lowered, F.lit(_HAN_RUN), F.lit(0))
     grams = F.flatten(F.transform(runs, lambda run: F.concat(*[_ngrams(run, n) for n in sizes])))
-    listed = F.filter(F.lit(terms), lambda term: F.contains(lowered, term))
-    return F.concat(grams, listed)
+    if not terms:
+        return grams
+    return F.concat(grams, F.filter(F.lit(terms), lambda term: F.contains(lowered, term)))
 
 
-def index_tokens(text: Column, terms: list[str] = P.SUBJECT_TERMS) -> Column:
+def index_tokens(text: Column, terms: list[str] = P.SUBJECT_TERMS, keep_bare: bool = True) -> Column:
     """Lower-case words; Han runs give single characters, pairs and the listed terms.
 
-    A text without any token is indexed as it stands.
+    With ``keep_bare`` a text without any token is indexed as it stands.
     """
     long_terms = [t for t in terms if len(t) > 2]
 
@@ -38,6 +39,8 @@ def index_tokens(text: Column, terms: list[str] = P.SUBJECT_TERMS) -> Column:
         tokens = F.when(
             lowered.rlike(_HAN_RUN), F.concat(latin, _han_tokens(lowered, (1, 2), long_terms))
         ).otherwise(latin)
+        if not keep_bare:
+            return tokens
         return let(tokens, lambda found: F.when(F.size(found) == 0, F.array(lowered)).otherwise(found))
 
     return let(F.lower(text), build)

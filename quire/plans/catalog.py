@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["cleaning", "outline"]
+MODULES = ["cleaning", "outline", "enrichment"]
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
