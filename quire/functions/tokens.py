@@ -60,10 +60,7 @@ def query_tokens(text: Column, limit: int = P.QUERY_TOKENS, terms: list[str] = P
             )
         )
         kept = F.filter(tokens, lambda t: (F.length(t) >= 2) | t.rlike(r"^[\x{0}-\x{7f}]$"))
-        ranked = F.array_sort(
-            F.transform(kept, lambda t, i: F.struct((-F.length(t)).alias("k"), i.alias("i"), t.alias("t")))
-        )
-        return F.slice(F.transform(ranked, lambda r: r["t"]), 1, limit)
+        return longest(kept, limit)
 
     return let(F.lower(text), build)
 
@@ -98,7 +95,15 @@ def term_counts(tokens: Column) -> Column:
 
 
 def words(text: Column, min_chars: int = 2) -> Column:
-    """Distinct words of at least ``min_chars`` characters in text order."""
+    """Distinct words of at least ``min_chars`` characters in text order, case kept."""
     return F.array_distinct(
-        F.filter(F.regexp_extract_all(F.lower(text), F.lit(P.WORD), F.lit(0)), lambda w: F.length(w) >= min_chars)
+        F.filter(F.regexp_extract_all(text, F.lit(P.WORD), F.lit(0)), lambda w: F.length(w) >= min_chars)
+    )
+
+
+def longest(found: Column, n: int) -> Column:
+    """The ``n`` longest strings; earlier ones first among equals."""
+    ranked = F.array_sort(
+        F.transform(found, lambda t, i: F.struct((-F.length(t)).alias("k"), i.alias("i"), t.alias("t")))
     )
+    return F.slice(F.transform(ranked, lambda r: r["t"]), 1, n)

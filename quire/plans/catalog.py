@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["cleaning", "outline", "enrichment"]
+MODULES = ["cleaning", "outline", "enrichment", "search"]
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}

@@ -65,7 +65,7 @@ def _page_chapters(spark: SparkSession, d: str) -> DataFrame:
 
 def keyword_lists(spark: SparkSession, d: str) -> DataFrame:
     """Keywords in any script for every book."""
-    return M.table(spark, d, "documents").select(
+    return M.documents(spark, d).select(
         F.col("doc_id").alias("book_id"), lexical.keywords(F.col("text"), script=None).alias("keywords")
     )
 
@@ -80,7 +80,7 @@ def _fact_texts(spark: SparkSession, d: str) -> DataFrame:
         .when(n % 5 == 3, F.concat(F.regexp_extract(l, "^[^ ]+", 0), F.lit("的定义是： "), l, F.lit("；")))
         .otherwise(l),
     )
-    return M.table(spark, d, "documents").select(F.col("doc_id").alias("book_id"), F.array_join(dressed, "\n").alias("text"))
+    return M.documents(spark, d).select(F.col("doc_id").alias("book_id"), F.array_join(dressed, "\n").alias("text"))
 
 
 def analysis(spark: SparkSession, d: str) -> DataFrame:
@@ -113,14 +113,14 @@ def _filled(spark: SparkSession, d: str) -> DataFrame:
 
 def library_tags(spark: SparkSession, d: str) -> DataFrame:
     """Existing tags: the languages, numbered by name."""
-    names = M.table(spark, d, "documents").select(F.col("lang").alias("name")).distinct()
+    names = M.documents(spark, d).select(F.col("lang").alias("name")).distinct()
     return lexical.global_row_number(names, ["name"], "tag_id")
 
 
 def library_links(spark: SparkSession, d: str) -> DataFrame:
     """Existing links: documents labelled as good carry the tag of their language."""
     good = M.table(spark, d, "labels").filter("quality = 1").select("doc_id")
-    docs = M.table(spark, d, "documents").join(good, "doc_id", "left_semi")
+    docs = M.documents(spark, d).join(good, "doc_id", "left_semi")
     return docs.join(library_tags(spark, d), docs["lang"] == F.col("name")).select(
         F.col("doc_id").alias("book_id"), "tag_id"
     )
@@ -135,11 +135,11 @@ def _auto_tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return M.table(spark, d, "documents").select("doc_id", "text")
+    return M.documents(spark, d).select("doc_id", "text")
 
 
 def _exact(spark: SparkSession, d: str) -> DataFrame:
-    files = M.table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"))
+    files = M.documents(spark, d).select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"))
     return dedup.exact_duplicates(files)
 
 
@@ -158,7 +158,7 @@ QUERIES = {
     "query_tokenizer": lambda s, d: M.queries(s, d).select(
         "query_id", F.array_join(K.query_tokens(F.col("text")), " ").alias("tokens")
     ),
-    "keyword_extraction": lambda s, d: M.table(s, d, "documents").select(
+    "keyword_extraction": lambda s, d: M.documents(s, d).select(
         F.col("doc_id").alias("book_id"), F.array_join(lexical.keywords(F.col("text"), script=NON_ASCII), ",").alias("keywords")
     ),
     "definition_extraction": lambda s, d: _fact_texts(s, d).select(

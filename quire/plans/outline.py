@@ -33,7 +33,7 @@ def _raw_toc(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _line_books(spark: SparkSession, d: str) -> DataFrame:
-    return M.table(spark, d, "documents").select(
+    return M.documents(spark, d).select(
         F.col("doc_id").alias("book_id"),
         F.concat(F.lit("Book "), F.col("doc_id")).alias("title"),
         F.size(F.split("text", "\n")).cast("bigint").alias("total_pages"),

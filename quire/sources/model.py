@@ -18,6 +18,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus. An input with fewer splits than cores is spread out before the text work.
+
+    A large corpus has far more splits than cores and is read as it lies.
+    """
+    df = table(spark, folder, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _lines() -> Column:
     return F.split("text", "\n")
 
@@ -27,7 +37,7 @@ def _page_count(lines_per_page: int = LINES_PER_PAGE) -> Column:
 
 
 def books(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         F.col("doc_id").alias("book_id"),
         F.concat(F.lit("Book "), F.col("doc_id")).alias("title"),
         F.col("source").alias("file_type"),
@@ -38,14 +48,14 @@ def books(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         F.col("doc_id").alias("book_id"), F.posexplode(_lines()).alias("n", "line")
     )
 
 
 def page_arrays(spark: SparkSession, folder: str) -> DataFrame:
     """One row per book with its page texts in order."""
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         F.col("doc_id").alias("book_id"),
         F.transform(
             F.sequence(F.lit(0), (_page_count() - 1).cast("int")),
@@ -131,7 +141,7 @@ def page_blocks(spark: SparkSession, folder: str) -> DataFrame:
         F.when(n % 17 == 16, F.lit(30.0)).otherwise(n % LINES_PER_PAGE * 100 + 200.0).alias("y0"),
         F.when(n % 17 == 16, F.lit(50.0)).otherwise(n % LINES_PER_PAGE * 100 + 240.0).alias("y1"),
     )
-    each_page = table(spark, folder, "documents").select(
+    each_page = documents(spark, folder).select(
         F.col("doc_id").alias("book_id"), F.explode(F.sequence(F.lit(1).cast("bigint"), _page_count())).alias("page")
     )
 
@@ -166,7 +176,7 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
 def chapters(spark: SparkSession, folder: str) -> DataFrame:
     """Chapters of ``chunks``: every third one is a level-1 chapter, the others are its children."""
     total = _page_count().cast("bigint")
-    base = table(spark, folder, "documents").select(
+    base = documents(spark, folder).select(
         F.col("doc_id").alias("book_id"),
         total.alias("total"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((total - 1) / CHUNKS_PER_CHAPTER))).alias("k"),
