@@ -35,3 +35,24 @@ def global_row_number(df: DataFrame, order: list, name: str, parts: int | None =
         .withColumn(name, inside + F.col("__before") + 1)
         .drop("__at", "__part", "__before")
     )
+
+
+def running_totals(df: DataFrame, key: str, block, order: list, values: dict) -> DataFrame:
+    """Running sums per key, in two levels, so that a hot key is no single task.
+
+    ``block`` cuts the ordered rows of a key into pieces (a time bucket, a range of ordinals) and
+    must not decrease along ``order``. Sums run inside each piece; the totals of the pieces before
+    it, one row per piece, are added.
+    """
+    cut = df.withColumn("__block", block)
+    inside = Window.partitionBy(key, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(key, "__block").agg(*[F.sum(v).alias(f"__t_{n}") for n, v in values.items()])
+    offsets = totals.select(
+        key, "__block", *[F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__o_{n}") for n in values]
+    )
+    local = cut.withColumns({f"__l_{n}": F.sum(v).over(inside) for n, v in values.items()})
+    joined = local.join(offsets, [key, "__block"])
+    return joined.withColumns({n: F.col(f"__l_{n}") + F.col(f"__o_{n}") for n in values}).drop(
+        "__block", *[f"__{p}_{n}" for n in values for p in ("l", "o")]
+    )

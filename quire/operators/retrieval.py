@@ -19,6 +19,7 @@ from quire.functions import patterns as P
 from quire.functions.text import let, strip
 from quire.functions.tokens import longest, query_tokens, words
 from quire.operators.index import Index
+from quire.session import checkpointed
 
 K1 = 1.2
 B = 0.75
@@ -276,23 +277,21 @@ def neighbour_context(hits: DataFrame, chunks: DataFrame, radius: int = 1) -> Da
     """
     reach = max(radius, 2)
     wanted = hits.select(
-        "query_id", "chunk_id", "book_id", "chapter_id", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("shift"),
-        "chunk_index",
+        "query_id", "chunk_id", "book_id", F.col("chapter_id").alias("own_chapter"), "chunk_index",
+        F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("shift"),
     ).withColumn("at", F.col("chunk_index") + F.col("shift"))
-    around = chunks.select(
-        "book_id", F.col("chunk_index").alias("at"), F.col("chapter_id").alias("its_chapter"), "content"
-    )
-    chapters = hits.select("book_id", "chapter_id").distinct()
-    sizes = (
-        chunks.join(chapters, (chunks["book_id"] == chapters["book_id"])
-                    & chunks["chapter_id"].eqNullSafe(chapters["chapter_id"]), "left_semi")
-        .groupBy("book_id", "chapter_id").agg(F.count("*").alias("n"))
-        .select(F.col("book_id").alias("b"), F.col("chapter_id").alias("c"), "n")
+    around = chunks.select("book_id", F.col("chunk_index").alias("at"), "chapter_id", "content")
+    # A chunk without a chapter counts with the others of its book that have none.
+    group = ["book_id", F.coalesce("chapter_id", F.lit(-1)).alias("group")]
+    touched = hits.select(*group).distinct()
+    sizes = chunks.select(*group).join(touched, ["book_id", "group"], "left_semi").groupBy("book_id", "group").agg(
+        F.count("*").alias("n")
     )
     near = (
         wanted.join(around, ["book_id", "at"])
-        .filter(F.col("its_chapter").eqNullSafe(F.col("chapter_id")))
-        .join(sizes, (F.col("b") == F.col("book_id")) & F.col("c").eqNullSafe(F.col("chapter_id")))
+        .filter(F.col("chapter_id").eqNullSafe(F.col("own_chapter")))
+        .withColumn("group", F.coalesce("own_chapter", F.lit(-1)))
+        .join(sizes, ["book_id", "group"])
         .filter((F.col("n") <= 3) | (F.abs("shift") <= radius))
     )
     pairs = F.sort_array(F.collect_list(F.struct("at", "content")))
@@ -339,18 +338,23 @@ def retrieve(
     vector_hits: DataFrame | None = None,
     k: int = P.TOP_K,
 ) -> DataFrame:
-    """Answer all queries: search, substring fallback, fusion, re-ranking, context, outline."""
-    full_text = top_k(bm25_scores(queries, index), 2 * k)
-    primary = [full_text] if vector_hits is None else [vector_hits, full_text]
+    """Answer all queries: search, substring fallback, fusion, re-ranking, context, outline.
+
+    The ranked lists, at most ``2 k`` rows per query, are checkpointed because several later steps
+    read them; the corpus is scored once.
+    """
+    ranked = ["query_id", "chunk_id", "rank"]
+    full_text = checkpointed(top_k(bm25_scores(queries, index), 2 * k).select(*ranked))
+    primary = [full_text] if vector_hits is None else [checkpointed(vector_hits.select(*ranked)), full_text]
     counts = reduce(
         DataFrame.unionByName, [df.select("query_id", "chunk_id") for df in primary]
     ).groupBy("query_id").agg(F.count("*").alias("n"))
     enough = counts.filter(F.col("n") >= P.MIN_PRIMARY_HITS)
     weak = queries.join(enough, "query_id", "left_anti")
     fallback = substring_search(weak, chunks, k)
-    fused = fuse([*primary, fallback], k)
+    fused = checkpointed(fuse([*primary, fallback], k))
     described = enrich_hits(fused, chunks, books, chapters).join(queries.select("query_id", "text"), "query_id")
-    best = rerank(described, k)
+    best = checkpointed(rerank(described, k))
     with_context = best.join(neighbour_context(best, chunks), ["query_id", "chunk_id"], "left")
     columns = ["query_id", "rank", "chunk_id", "book_id", "book_title", "chapter_title", "page_start", "page_end",
                "snippet", "context", "rerank_score"]

@@ -339,7 +339,7 @@ ORACLE = {
       c AS (SELECT user_id % 2 AS v FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 100)
       SELECT (SELECT count(*) FROM s) AS total_queries, (SELECT round_even(avg(hits), 1) FROM s) AS avg_retrieval_hits,
         (SELECT count(*) FROM c) AS total_citation_checks, (SELECT round_even(avg(v), 2) FROM c) AS citation_verify_rate""",
-    "concept_source_lookup": f"""WITH {enrichment._CONCEPTS}, {_INDEXED[len(S.LINES) + 2:]}, asked AS (SELECT name AS query_id, name AS text FROM nodes_), {_bm25('asked')},
+    "concept_source_lookup": f"""WITH {enrichment._CONCEPTS}, {_INDEXED[len(S.LINES) + 2:]}, asked AS (SELECT name AS query_id, replace(name, '定理', ' 定理 ') AS text FROM nodes_), {_bm25('asked')},
       {_top('scores', 30, 'best')} SELECT query_id AS concept, chunk_id, rank FROM best""",
     "model_answer_json": f"WITH {_ANSWERS} SELECT book_id, CASE WHEN kind < 3 THEN body END AS json FROM bodies",
     "model_toc_validation": f"""WITH {_ANSWERS} SELECT book_id, s AS seq, {S.strip("word || ' ' || (s + 1)")} AS title, s + 1 AS level, p + s AS page
