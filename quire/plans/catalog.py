@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["cleaning", "outline", "enrichment", "search", "learning", "library"]
+MODULES = ["ingest", "cleaning", "outline", "enrichment", "search", "learning", "library"]
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import knowledge, mastery, planning, tree
 from quire.plans import twin as S
 from quire.sources import model as M
 
-AS_OF = F.to_date(F.lit("2024-01-30"))
-PLAN_START = F.to_date(F.lit("2024-01-01"))
+def _day(text: str) -> Column:
+    return F.to_date(F.lit(text))
+
+
+AS_OF = "2024-01-30"
+PLAN_START = "2024-01-01"
 
 
 def _mastery(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +46,7 @@ def _check_ins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _plan(spark: SparkSession, d: str) -> DataFrame:
-    plan = planning.study_plan(M.knowledge_nodes(spark, d), _check_ins(spark, d), AS_OF, PLAN_START)
+    plan = planning.study_plan(M.knowledge_nodes(spark, d), _check_ins(spark, d), _day(AS_OF), _day(PLAN_START))
     return plan.withColumn("date", F.col("date").cast("string"))
 
 
@@ -98,10 +102,10 @@ QUERIES = {
     "chapter_wrong_rate": lambda s, d: mastery.chapter_wrong_rates(M.quizzes(s, d), M.attempts(s, d)),
     "chapter_mastery": _mastery,
     "learning_overview": lambda s, d: mastery.overview(
-        M.quiz_books(s, d), M.quiz_chapters(s, d), M.quizzes(s, d), M.attempts(s, d), AS_OF
+        M.quiz_books(s, d), M.quiz_chapters(s, d), M.quizzes(s, d), M.attempts(s, d), _day(AS_OF)
     ),
-    "study_streak": lambda s, d: mastery.study_streak(M.attempts(s, d), AS_OF),
-    "activity_calendar": lambda s, d: mastery.activity_calendar(M.attempts(s, d), AS_OF, 40).withColumn(
+    "study_streak": lambda s, d: mastery.study_streak(M.attempts(s, d), _day(AS_OF)),
+    "activity_calendar": lambda s, d: mastery.activity_calendar(M.attempts(s, d), _day(AS_OF), 40).withColumn(
         "date", F.col("date").cast("string")
     ),
     "weakness_ranking": lambda s, d: mastery.weakness_ranking(_mastery(s, d), M.quiz_books(s, d)),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -49,3 +51,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def ship_with_tasks(module: str) -> None:
+    """Send the functions of a module along with the tasks that use them.
+
+    Executors then run them without having this package installed.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[module])
