@@ -96,8 +96,10 @@ TITLE_LINE = rf"^(?:第[{SPACE}]*[一二三四五六七八九十0-9]+[{SPACE}]*[
 
 # Definitions and theorems.
 TERM = rf"([{HAN}A-Za-z][{HAN}A-Za-z0-9·\-()（）]{{1,30}}?)"
-DEFINITION_OF = TERM + rf"(?:的概念|的定义)(?:是|为|：|:)?[{SPACE}]*([^\n]{{2,150}}?)(?:[。；;]|$)"
-DEFINITION_IS = TERM + r"(?:是指|指的是|称为|叫做|定义为|即为|即|就是|表示)([^\n]{2,150}?)(?:[。；;]|$)"
+DEFINITION_OF_WORDS = "的概念|的定义"
+DEFINITION_IS_WORDS = "是指|指的是|称为|叫做|定义为|即为|即|就是|表示"
+DEFINITION_OF = TERM + rf"(?:{DEFINITION_OF_WORDS})(?:是|为|：|:)?[{SPACE}]*([^\n]{{2,150}}?)(?:[。；;]|$)"
+DEFINITION_IS = TERM + rf"(?:{DEFINITION_IS_WORDS})([^\n]{{2,150}}?)(?:[。；;]|$)"
 THEOREM = rf"(?:^|[\n。])[{SPACE}]*(定理|定义|命题|引理|推论|公理|定律|性质|公式)[{SPACE}]*([0-9]+(?:\.[0-9]+)*)?[{SPACE}]*[:：]?[{SPACE}]*([^\n]{{2,150}})"
 NAMED_THEOREM = rf"(?:^|[\n。])[{SPACE}]*([{HAN}A-Za-z]{{2,20}}?(?:定理|公式|定律|法则|原理))[{SPACE}]*[:：][{SPACE}]*([^\n]{{2,150}})"
 WORD = r"[\p{L}\p{N}]+"

@@ -76,6 +76,7 @@ def near_duplicates(
     """
     bands = bands or max_distance + 2
     agree = bands - max_distance
+    prints = checkpointed(prints)
     one = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
     keys = F.array(*[F.struct(F.lit(n).alias("k"), F.col("fingerprint").bitwiseAND(F.lit(m).cast("bigint")).alias("v"))
                      for n, m in _band_keys(64, bands, agree)])

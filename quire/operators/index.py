@@ -18,9 +18,11 @@ from quire.functions.tokens import index_tokens, term_counts
 
 @dataclass
 class Index:
-    """``postings(chunk_id, book_id, token, tf, dl)`` and ``stats(n_docs, avgdl)``, one row."""
+    """``postings(chunk_id, book_id, token, tf, dl)``, ``frequency(token, df)`` and one row of
+    ``stats(n_docs, avgdl)``."""
 
     postings: DataFrame
+    frequency: DataFrame
     stats: DataFrame
 
 
@@ -34,7 +36,8 @@ def build_index(chunks: DataFrame, terms: list[str] = P.SUBJECT_TERMS) -> Index:
         "chunk_id", "book_id", "t.token", F.col("t.tf").cast("bigint").alias("tf"), "dl"
     )
     stats = chunks.select(F.size(tokens).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    return Index(postings, stats)
+    frequency = postings.groupBy("token").agg(F.count("*").alias("df"))
+    return Index(postings, frequency, stats)
 
 
 def write_index(index: Index, database: str, buckets: int) -> None:
@@ -46,8 +49,10 @@ def write_index(index: Index, database: str, buckets: int) -> None:
     index.postings.write.mode("overwrite").bucketBy(buckets, "chunk_id").sortBy("token").saveAsTable(
         f"{database}.postings"
     )
+    stored = index.postings.sparkSession.table(f"{database}.postings")
+    stored.groupBy("token").agg(F.count("*").alias("df")).write.mode("overwrite").saveAsTable(f"{database}.frequency")
     index.stats.write.mode("overwrite").saveAsTable(f"{database}.corpus_stats")
 
 
 def read_index(spark, database: str) -> Index:
-    return Index(spark.table(f"{database}.postings"), spark.table(f"{database}.corpus_stats"))
+    return Index(*[spark.table(f"{database}.{name}") for name in ("postings", "frequency", "corpus_stats")])

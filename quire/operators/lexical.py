@@ -34,22 +34,34 @@ def keywords(text: Column, n: int = 30, script: str | None = HAN_SCRIPT, stop_wo
     return F.slice(F.filter(top, lambda w: w.rlike(script)) if script else top, 1, n)
 
 
-def _trimmed_pairs(text: Column, pattern: str) -> Column:
+def _lines_with(text: Column, words: str) -> Column:
+    """The lines that contain one of ``words``; the costly patterns need not look at the others.
+
+    No match reaches over a line break. A dropped last line leaves two line breaks behind, so that
+    the end of the text is not found at the end of another line.
+    """
+    def keep(lines: Column) -> Column:
+        kept = F.array_join(F.filter(lines, lambda l: l.rlike(words)), "\n")
+        return F.when(F.element_at(lines, -1).rlike(words), kept).otherwise(F.concat(kept, F.lit("\n\n")))
+
+    return let(F.split(text, "\n"), keep)
+
+
+def _trimmed_pairs(text: Column, pattern: str, words: str) -> Column:
+    part = lambda m, group, chars: F.btrim(F.regexp_extract(m, pattern, group), F.lit(chars))
     return F.transform(
-        F.arrays_zip(
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("a"),
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("b"),
-        ),
-        lambda z: F.struct(
-            F.btrim(z["a"], F.lit("：:，。 ")).alias("term"), F.btrim(z["b"], F.lit("，。； ")).alias("definition")
-        ),
+        F.regexp_extract_all(_lines_with(text, words), F.lit(pattern), F.lit(0)),
+        lambda m: F.struct(part(m, 1, "：:，。 ").alias("term"), part(m, 2, "，。； ").alias("definition")),
     )
 
 
 def definitions(text: Column, limit: int = 30) -> Column:
     """``array<struct<term,definition>>``, the first of each 20-character opening, at most ``limit``."""
     found = F.filter(
-        F.concat(_trimmed_pairs(text, P.DEFINITION_OF), _trimmed_pairs(text, P.DEFINITION_IS)),
+        F.concat(
+            _trimmed_pairs(text, P.DEFINITION_OF, P.DEFINITION_OF_WORDS),
+            _trimmed_pairs(text, P.DEFINITION_IS, P.DEFINITION_IS_WORDS),
+        ),
         lambda d: (F.length(d["term"]) >= 2) & (F.length(d["definition"]) >= 4),
     )
     return let(

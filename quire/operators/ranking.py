@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,6 +39,14 @@ def global_row_number(df: DataFrame, order: list, name: str, parts: int | None =
     )
 
 
+def row_number_within(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """Row numbers per key for keys that may be hot: the global number minus the first of the key."""
+    numbered = global_row_number(df, [*keys, *order], "__rn")
+    first = numbered.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min("__rn").alias("__first"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return numbered.join(first, same).select(*df.columns, (F.col("__rn") - F.col("__first") + 1).alias(name))
+
+
 def running_totals(df: DataFrame, key: str, block, order: list, values: dict) -> DataFrame:
     """Running sums per key, in two levels, so that a hot key is no single task.
 

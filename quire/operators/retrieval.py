@@ -19,7 +19,7 @@ from quire.functions import patterns as P
 from quire.functions.text import let, strip
 from quire.functions.tokens import longest, query_tokens, words
 from quire.operators.index import Index
-from quire.session import checkpointed
+from quire.session import broadcast_if_small, checkpointed
 
 K1 = 1.2
 B = 0.75
@@ -27,13 +27,13 @@ _RUNS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
 
 
 def bm25_scores(queries: DataFrame, index: Index) -> DataFrame:
-    """``(query_id, chunk_id, book_id, score)`` of every chunk with at least one query token."""
+    """``(query_id, chunk_id, book_id, score)`` of every chunk with at least one query token.
+
+    The query side is a few tokens per query. As long as it is small it is broadcast, and the
+    postings are read once where they lie.
+    """
     wanted = queries.select("query_id", F.explode(query_tokens(F.col("text"))).alias("token"))
-    frequency = (
-        index.postings.join(wanted.select("token").distinct(), "token", "left_semi")
-        .groupBy("token")
-        .agg(F.count("*").alias("df"))
-    )
+    frequency = index.frequency.join(wanted.select("token").distinct(), "token", "left_semi")
     n_docs = index.stats.select("n_docs").scalar()
     avgdl = index.stats.select("avgdl").scalar()
     weighted = wanted.join(frequency, "token").select(
@@ -42,7 +42,7 @@ def bm25_scores(queries: DataFrame, index: Index) -> DataFrame:
         F.greatest(F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)).alias("idf"),
     )
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl)
-    hits = index.postings.join(weighted, "token")
+    hits = index.postings.join(broadcast_if_small(weighted), "token")
     return hits.groupBy("query_id", "chunk_id", "book_id").agg(
         F.round(F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / norm), 6).alias("score")
     )
@@ -146,19 +146,18 @@ def substring_search(queries: DataFrame, chunks: DataFrame, limit: int = P.TOP_K
         F.min_by("gram", F.struct("n", "gram")).alias("gram")
     )
     matched = rarest.join(run_grams, "gram").filter(F.contains("run", "piece")).select("piece", "run")
-    candidates = (
-        runs.join(matched, "run")
-        .join(phrases, "piece")
-        .select("query_id", "phrase", "n_pieces", "chunk_id")
-        .distinct()
-    )
+    # A phrase of one piece needs only its lowest chunk ids; equal ids share a dense rank.
+    lowest = F.dense_rank().over(Window.partitionBy("query_id", "phrase").orderBy("chunk_id"))
+    found = runs.join(matched.join(phrases, "piece"), "run").select("query_id", "phrase", "n_pieces", "chunk_id")
+    whole = found.filter("n_pieces = 1").withColumn("at", lowest).filter(F.col("at") <= limit)
     checked = (
-        candidates.filter("n_pieces > 1")
+        found.filter("n_pieces > 1")
+        .distinct()
         .join(chunks.select("chunk_id", "content"), "chunk_id")
         .filter(F.contains(F.lower("content"), F.col("phrase")))
         .select("query_id", "chunk_id")
     )
-    hits = candidates.filter("n_pieces = 1").select("query_id", "chunk_id").unionByName(checked).distinct()
+    hits = whole.select("query_id", "chunk_id").unionByName(checked).distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id"))
     return hits.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= limit)
 
@@ -351,8 +350,9 @@ def retrieve(
     ).groupBy("query_id").agg(F.count("*").alias("n"))
     enough = counts.filter(F.col("n") >= P.MIN_PRIMARY_HITS)
     weak = queries.join(enough, "query_id", "left_anti")
-    fallback = substring_search(weak, chunks, k)
-    fused = checkpointed(fuse([*primary, fallback], k))
+    # Usually every query has hits enough, and the corpus is not searched a second time.
+    lists = primary if weak.isEmpty() else [*primary, substring_search(weak, chunks, k).select(*ranked)]
+    fused = checkpointed(fuse(lists, k))
     described = enrich_hits(fused, chunks, books, chapters).join(queries.select("query_id", "text"), "query_id")
     best = checkpointed(rerank(described, k))
     with_context = best.join(neighbour_context(best, chunks), ["query_id", "chunk_id"], "left")

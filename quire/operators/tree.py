@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from quire.operators.ranking import row_number_within
 from quire.session import checkpointed
 
 
@@ -106,12 +106,10 @@ def validate_moves(nodes: DataFrame, moves: DataFrame) -> DataFrame:
 
 def append_order(nodes: DataFrame, added: DataFrame) -> DataFrame:
     """Sibling positions for ``added(node_id, parent_id)`` behind the existing children."""
-    last = nodes.groupBy("parent_id").agg(F.max("order_index").alias("last"))
-    turn = F.row_number().over(Window.partitionBy("parent_id").orderBy("node_id"))
-    return (
-        added.withColumn("turn", turn)
-        .join(last, added["parent_id"].eqNullSafe(last["parent_id"]), "left")
-        .select("node_id", added["parent_id"], (F.coalesce("last", F.lit(-1)) + F.col("turn")).cast("bigint").alias("order_index"))
+    last = nodes.groupBy(F.col("parent_id").alias("above")).agg(F.max("order_index").alias("last"))
+    turned = row_number_within(added.select("node_id", "parent_id"), ["parent_id"], ["node_id"], "turn")
+    return turned.join(last, F.col("parent_id").eqNullSafe(F.col("above")), "left").select(
+        "node_id", "parent_id", (F.coalesce("last", F.lit(-1)) + F.col("turn")).cast("bigint").alias("order_index")
     )
 
 

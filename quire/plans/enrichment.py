@@ -9,6 +9,7 @@ from quire.functions import patterns as P
 from quire.functions import tokens as K
 from quire.operators import chunking, dedup, graph, lexical, toc
 from quire.plans import twin as S
+from quire.session import checkpointed
 from quire.sources import model as M
 
 # Seed words of the classes used on the stored tables, whose text is in four languages.
@@ -91,6 +92,16 @@ def analysis(spark: SparkSession, d: str) -> DataFrame:
     return facts.join(keyword_lists(spark, d), "book_id")
 
 
+def concept_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Keywords and theorems of all books, stored once for the several passes of the graph."""
+    return checkpointed(analysis(spark, d).select("book_id", "keywords", "theorems"))
+
+
+def _cooccurrence(spark: SparkSession, d: str) -> DataFrame:
+    stored = concept_sources(spark, d)
+    return graph.edges(stored, graph.nodes(graph.concepts(stored)))
+
+
 def _analysis_record(spark: SparkSession, d: str) -> DataFrame:
     return analysis(spark, d).select(
         "book_id",
@@ -175,10 +186,10 @@ QUERIES = {
     "simhash_fingerprint": lambda s, d: dedup.fingerprints(_texts(s, d)),
     "near_duplicate_pairs": lambda s, d: dedup.near_duplicates(dedup.fingerprints(_texts(s, d))),
     "concept_collection": lambda s, d: graph.concepts(analysis(s, d)),
-    "concept_nodes": lambda s, d: graph.nodes(graph.concepts(analysis(s, d))).select(
+    "concept_nodes": lambda s, d: graph.nodes(graph.concepts(concept_sources(s, d))).select(
         "name", "n_books", F.array_join(F.transform("books", lambda b: b.cast("string")), ",").alias("books")
     ),
-    "cooccurrence_edges": lambda s, d: graph.edges(analysis(s, d), graph.nodes(graph.concepts(analysis(s, d)))),
+    "cooccurrence_edges": _cooccurrence,
 }
 
 _PAGED = S.PAGES + """, paged AS (SELECT book_id, page, CASE WHEN page % 2 = 1 THEN replace(replace(text, '. ', '。'), chr(10), chr(10) || ' ' || chr(10))

@@ -11,7 +11,9 @@ from quire.operators import answers as A
 from quire.operators import graph, index, retrieval
 from quire.plans import enrichment
 from quire.plans import twin as S
+from quire.session import fresh_path
 from quire.sources import model as M
+from quire.sources import store
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -21,7 +23,8 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> index.Index:
-    return index.build_index(M.chunks(spark, d))
+    """The index of the corpus, stored before it is searched."""
+    return store.rebuild_index(M.chunks(spark, d), fresh_path(spark, "index"), 1)
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
@@ -137,7 +140,7 @@ def _metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _concept_sources(spark: SparkSession, d: str) -> DataFrame:
-    names = graph.nodes(graph.concepts(enrichment.analysis(spark, d)))
+    names = graph.nodes(graph.concepts(enrichment.concept_sources(spark, d)))
     asked = names.select(F.col("name").alias("query_id"), F.col("name").alias("text"))
     return retrieval.top_k(retrieval.bm25_scores(asked, _index(spark, d)), 30).select(
         F.col("query_id").alias("concept"), "chunk_id", "rank"
@@ -181,7 +184,7 @@ def _split_answers(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "bm25_search": _search,
-    "inverted_index_build": lambda s, d: _index(s, d).postings,
+    "inverted_index_build": lambda s, d: index.build_index(M.chunks(s, d)).postings,
     "search_scope_filters": _scoped,
     "highlighted_snippet": _snippets,
     "substring_fallback": lambda s, d: _fallback(s, d),

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "quire", master: str | None = None, **conf: str) -> SparkSession:
@@ -53,6 +54,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """Materialize ``df`` and mark it for broadcast only if it has at most ``max_rows`` rows.
+
+    Meant for narrow rows. A larger table is joined by shuffle, with adaptive skew handling.
+    """
+    stored = checkpointed(df)
+    return F.broadcast(stored) if stored.count() <= max_rows else stored
+
+
 def ship_with_tasks(module: str) -> None:
     """Send the functions of a module along with the tasks that use them.
 

@@ -62,9 +62,14 @@ def rebuild_index(chunks: DataFrame, base: str, version: int) -> Index:
     path = f"{base}/v{version}"
     index = build_index(chunks)
     index.postings.write.mode("overwrite").parquet(f"{path}/postings")
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    stored = chunks.sparkSession.read.parquet(f"{path}/postings")
+    stored.groupBy("token").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/frequency")
+    n_docs = chunks.agg(F.count("*").alias("n")).scalar()
+    stored.agg(F.sum("tf").alias("tokens")).select(
+        n_docs.alias("n_docs"), (F.col("tokens") / n_docs).alias("avgdl")
+    ).write.mode("overwrite").parquet(f"{path}/stats")
     return read_index(chunks.sparkSession, base, version)
 
 
 def read_index(spark: SparkSession, base: str, version: int) -> Index:
-    return Index(spark.read.parquet(f"{base}/v{version}/postings"), spark.read.parquet(f"{base}/v{version}/stats"))
+    return Index(*[spark.read.parquet(f"{base}/v{version}/{name}") for name in ("postings", "frequency", "stats")])
