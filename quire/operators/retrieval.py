@@ -6,7 +6,7 @@ keeps at most ``k`` rows per query before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -114,9 +114,16 @@ def _grams(text: Column, n: Column) -> Column:
     )
 
 
-def substring_search(queries: DataFrame, chunks: DataFrame, limit: int = P.TOP_K) -> DataFrame:
+def substring_search(
+    queries: DataFrame,
+    chunks: DataFrame,
+    limit: int = P.TOP_K,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Chunks that contain a fallback phrase of the query, lowest chunk ids first.
 
+    ``keep`` filters rows with ``query_id`` and ``book_id`` to the scope of their query.
+
     A text is a sequence of runs of word characters and runs of others, and any piece of a phrase
     that is such a run lies inside one run of the text. So phrases are matched against the distinct
     runs of the corpus through the rarest character pair of their longest piece, an equi join on a
@@ -128,7 +135,7 @@ def substring_search(queries: DataFrame, chunks: DataFrame, limit: int = P.TOP_K
         .select("query_id", "phrase", longest(pieces, 1)[0].alias("piece"), F.size(pieces).alias("n_pieces"))
     )
     runs = chunks.select(
-        "chunk_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(_RUNS), F.lit(0)))).alias("run")
+        "chunk_id", "book_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(_RUNS), F.lit(0)))).alias("run")
     )
     vocabulary = runs.select("run").distinct()
     two, one = F.lit(2), F.lit(1)
@@ -148,7 +155,11 @@ def substring_search(queries: DataFrame, chunks: DataFrame, limit: int = P.TOP_K
     matched = rarest.join(run_grams, "gram").filter(F.contains("run", "piece")).select("piece", "run")
     # A phrase of one piece needs only its lowest chunk ids; equal ids share a dense rank.
     lowest = F.dense_rank().over(Window.partitionBy("query_id", "phrase").orderBy("chunk_id"))
-    found = runs.join(matched.join(phrases, "piece"), "run").select("query_id", "phrase", "n_pieces", "chunk_id")
+    found = runs.join(matched.join(phrases, "piece"), "run").select(
+        "query_id", "phrase", "n_pieces", "chunk_id", "book_id"
+    )
+    if keep:
+        found = keep(found)
     whole = found.filter("n_pieces = 1").withColumn("at", lowest).filter(F.col("at") <= limit)
     checked = (
         found.filter("n_pieces > 1")
@@ -162,40 +173,71 @@ def substring_search(queries: DataFrame, chunks: DataFrame, limit: int = P.TOP_K
     return hits.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= limit)
 
 
+_SCOPE = {"book_ids": "book_id", "category": "category", "tag_id": "tag_ids"}
+
+
+def scoped_vectors(vectors: DataFrame, books: DataFrame, links: DataFrame) -> DataFrame:
+    """Vectors with the category and the tags of their book, for searches within a scope."""
+    tags = links.groupBy("book_id").agg(F.collect_set("tag_id").alias("tag_ids"))
+    return vectors.join(books.select("book_id", "category"), "book_id", "left").join(tags, "book_id", "left")
+
+
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """Nearest chunks by cosine similarity, exactly.
 
     ``queries(query_id, embedding)`` are taken in blocks of at most ``block`` vectors, the only
     thing sent to the tasks; ``vectors(chunk_id, embedding)`` are never moved. A task multiplies its
-    batch with the block and passes on its own ``k`` best per query.
+    batch with the block and passes on its own ``k`` best per query. Queries may carry ``book_ids``,
+    ``category`` and ``tag_id`` (see ``scoped_vectors``); NULL leaves a dimension open.
     """
-    numbered = queries.select("query_id", "embedding").orderBy("query_id")
+    scope = [c for c in _SCOPE if c in queries.columns]
+    numbered = queries.select("query_id", "embedding", *scope).orderBy("query_id")
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id bigint, score double"
     context = queries.sparkSession.sparkContext
+    columns = _SCOPE
 
     def search(rows: list) -> DataFrame:
         ids = [r.query_id for r in rows]
         matrix = np.asarray([r.embedding for r in rows], dtype=np.float64)
         norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        shared = context.broadcast((ids, matrix / np.where(norms == 0, 1, norms)))
+        limits = [(i, {c: r[c] for c in scope if r[c] is not None}) for i, r in enumerate(rows)]
+        shared = context.broadcast((ids, matrix / np.where(norms == 0, 1, norms), [x for x in limits if x[1]]))
+
+        def outside(batch: pd.DataFrame, limit: dict) -> np.ndarray:
+            out = np.zeros(len(batch), dtype=bool)
+            for name, wanted in limit.items():
+                values = batch[columns[name]]
+                if name == "book_ids":
+                    out |= ~values.isin(wanted).to_numpy()
+                elif name == "category":
+                    out |= (values != wanted).to_numpy()
+                else:
+                    out |= np.array([tags is None or wanted not in tags for tags in values], dtype=bool)
+            return out
 
         def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, q = shared.value
+            names, q, scoped = shared.value
             for batch in batches:
                 if batch.empty:
                     continue
                 m = np.asarray(batch["embedding"].tolist(), dtype=np.float64)
                 size = np.linalg.norm(m, axis=1)
                 scores = np.round((q @ m.T) / np.where(size == 0, 1, size), 6)
+                for i, limit in scoped:
+                    scores[i, outside(batch, limit)] = -np.inf
                 chunk = batch["chunk_id"].to_numpy()
                 # Best scores first, smaller chunk ids first among equal scores.
                 order = np.lexsort((np.broadcast_to(chunk, scores.shape), -scores), axis=1)[:, :k]
-                picked = np.take_along_axis(scores, order, axis=1)
-                yield pd.DataFrame(
-                    {"query_id": np.repeat(names, order.shape[1]), "chunk_id": chunk[order].ravel(), "score": picked.ravel()}
+                best = pd.DataFrame(
+                    {
+                        "query_id": np.repeat(names, order.shape[1]),
+                        "chunk_id": chunk[order].ravel(),
+                        "score": np.take_along_axis(scores, order, axis=1).ravel(),
+                    }
                 )
+                yield best[best["score"] > -np.inf]
 
-        return vectors.select("chunk_id", "embedding").mapInPandas(nearest, schema)
+        return vectors.select("chunk_id", "embedding", *[_SCOPE[c] for c in scope]).mapInPandas(nearest, schema)
 
     found, rows = [], []
     for row in numbered.toLocalIterator():
@@ -336,14 +378,20 @@ def retrieve(
     index: Index,
     vector_hits: DataFrame | None = None,
     k: int = P.TOP_K,
+    scopes: DataFrame | None = None,
+    links: DataFrame | None = None,
 ) -> DataFrame:
     """Answer all queries: search, substring fallback, fusion, re-ranking, context, outline.
 
+    ``scopes`` and ``links`` are those of ``scope_filter``; vector hits come within scope already.
+
     The ranked lists, at most ``2 k`` rows per query, are checkpointed because several later steps
     read them; the corpus is scored once.
     """
     ranked = ["query_id", "chunk_id", "rank"]
-    full_text = checkpointed(top_k(bm25_scores(queries, index), 2 * k).select(*ranked))
+    keep = None if scopes is None else lambda hits: scope_filter(hits, scopes, books, links)
+    scores = bm25_scores(queries, index)
+    full_text = checkpointed(top_k(keep(scores) if keep else scores, 2 * k).select(*ranked))
     primary = [full_text] if vector_hits is None else [checkpointed(vector_hits.select(*ranked)), full_text]
     counts = reduce(
         DataFrame.unionByName, [df.select("query_id", "chunk_id") for df in primary]
@@ -351,14 +399,15 @@ def retrieve(
     enough = counts.filter(F.col("n") >= P.MIN_PRIMARY_HITS)
     weak = queries.join(enough, "query_id", "left_anti")
     # Usually every query has hits enough, and the corpus is not searched a second time.
-    lists = primary if weak.isEmpty() else [*primary, substring_search(weak, chunks, k).select(*ranked)]
+    lists = primary if weak.isEmpty() else [*primary, substring_search(weak, chunks, k, keep).select(*ranked)]
     fused = checkpointed(fuse(lists, k))
     described = enrich_hits(fused, chunks, books, chapters).join(queries.select("query_id", "text"), "query_id")
     best = checkpointed(rerank(described, k))
     with_context = best.join(neighbour_context(best, chunks), ["query_id", "chunk_id"], "left")
     columns = ["query_id", "rank", "chunk_id", "book_id", "book_title", "chapter_title", "page_start", "page_end",
                "snippet", "context", "rerank_score"]
-    outlines = outline_fallback(queries, fused, books, chapters).select(
+    asked = queries if scopes is None else queries.join(scopes.select("query_id", "book_ids"), "query_id", "left")
+    outlines = outline_fallback(asked, fused, books, chapters).select(
         "query_id", F.lit(1).cast("bigint").alias("rank"), F.lit(0).cast("bigint").alias("chunk_id"),
         F.lit(None).cast("bigint").alias("book_id"), F.lit("").alias("book_title"), F.lit(None).cast("string").alias("chapter_title"),
         F.lit(None).cast("bigint").alias("page_start"), F.lit(None).cast("bigint").alias("page_end"), "snippet",

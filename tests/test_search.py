@@ -104,6 +104,39 @@ def test_vectors_in_blocks(spark, rows):
     assert made == sorted([(qi, r + 1, int(c)) for qi, row in enumerate(best) for r, c in enumerate(row)], key=repr)
 
 
+def test_vectors_in_scope(spark, rows):
+    vectors = spark.createDataFrame(
+        [(i, i % 3, [1.0, float(i)]) for i in range(1, 10)], "chunk_id bigint, book_id bigint, embedding array<float>"
+    )
+    books = spark.createDataFrame([(0, "x"), (1, "y"), (2, "y")], "book_id bigint, category string")
+    links = spark.createDataFrame([(2, 5)], "book_id bigint, tag_id bigint")
+    queries = spark.createDataFrame(
+        [(0, [0.0, 1.0], None, None, None), (1, [0.0, 1.0], [0, 1], None, None), (2, [0.0, 1.0], None, "y", None),
+         (3, [0.0, 1.0], None, "y", 5), (4, [0.0, 1.0], [0], "y", None), (5, [0.0, 1.0], [], None, None)],
+        "query_id bigint, embedding array<float>, book_ids array<bigint>, category string, tag_id bigint",
+    )
+    made = retrieval.vector_search(queries, retrieval.scoped_vectors(vectors, books, links), 2)
+    assert rows(made, "query_id", "rank", "chunk_id") == [
+        (0, 1, 9), (0, 2, 8), (1, 1, 9), (1, 2, 7), (2, 1, 8), (2, 2, 7), (3, 1, 8), (3, 2, 5),
+    ]
+
+
+def test_retrieve_in_scope(spark, library):
+    chunks, books, chapters = library
+    queries = asked(spark, "alpha gamma", "alpha gamma", "modyn", "modyn")
+    scopes = spark.createDataFrame(
+        [(0, [1], None, None), (1, None, "y", None), (2, [1], None, None)],
+        "query_id bigint, book_ids array<bigint>, category string, tag_id bigint",
+    )
+    links = spark.createDataFrame([], "book_id bigint, tag_id bigint")
+    made = retrieval.retrieve(
+        queries, chunks, books, chapters, index.build_index(chunks), scopes=scopes, links=links
+    ).collect()
+    of = lambda q: {r.book_id for r in made if r.query_id == q}
+    assert of(0) == {1} and of(1) == {2} and of(3) == {2}
+    assert [r.snippet for r in made if r.query_id == 2] == ["《One》目录：First / Second"]
+
+
 def test_fusion_ignores_list_order(spark, rows):
     ranked = lambda data: spark.createDataFrame(data, "query_id bigint, chunk_id bigint, rank bigint")
     a, b = ranked([(0, 1, 1), (0, 2, 2)]), ranked([(0, 2, 1), (0, 3, 2)])
