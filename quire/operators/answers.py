@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import patterns as P
+from quire.functions.numbers import round_half_even
 from quire.functions.text import let, strip
 
 # The instructions that go with the sources.
@@ -86,9 +87,9 @@ def retrieval_metrics(searches: DataFrame, checks: DataFrame, last: int = 100) -
     verdicts = recent(checks).select(F.lit(None).cast("bigint").alias("hits"), F.col("verified").cast("int").alias("verified"))
     return hits.unionByName(verdicts).agg(
         F.count("hits").alias("total_queries"),
-        F.bround(F.coalesce(F.avg("hits"), F.lit(0.0)), 1).alias("avg_retrieval_hits"),
+        round_half_even(F.coalesce(F.avg("hits"), F.lit(0.0)), 1).alias("avg_retrieval_hits"),
         F.count("verified").alias("total_citation_checks"),
-        F.bround(F.coalesce(F.avg("verified"), F.lit(0.0)), 2).alias("citation_verify_rate"),
+        round_half_even(F.coalesce(F.avg("verified"), F.lit(0.0)), 2).alias("citation_verify_rate"),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.functions.numbers import round_half_even
 from quire.functions.text import strip
 from quire.operators.ranking import running_totals
 
@@ -35,7 +36,7 @@ def running_correct_rate(attempts: DataFrame) -> DataFrame:
         attempts, "quiz_id", F.date_trunc("hour", F.col("answered_at")), ["answered_at", "attempt_id"],
         {"correct": F.col("is_correct"), "total": F.lit(1)},
     )
-    return totals.select("attempt_id", "quiz_id", F.bround(F.col("correct") / F.col("total"), 2).alias("correct_rate"))
+    return totals.select("attempt_id", "quiz_id", round_half_even(F.col("correct") / F.col("total"), 2).alias("correct_rate"))
 
 
 def latest_attempts(attempts: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def chapter_wrong_rates(quizzes: DataFrame, attempts: DataFrame) -> DataFrame:
     return (
         latest.join(quizzes.select("quiz_id", "chapter_id"), "quiz_id")
         .groupBy("chapter_id")
-        .agg(F.bround(F.avg(1 - F.col("is_correct")), 3).alias("wrong_rate"))
+        .agg(round_half_even(F.avg(1 - F.col("is_correct")), 3).alias("wrong_rate"))
     )
 
 
@@ -98,7 +99,7 @@ def chapter_mastery(chapters: DataFrame, quizzes: DataFrame, attempts: DataFrame
             "book_id", "chapter_id", "title", "order_index",
             F.coalesce("quizzes", F.lit(0)).alias("quizzes"),
             rate.alias("wrong_rate"),
-            F.when(F.col("quizzes").isNotNull(), F.bround(1 - rate, 3)).otherwise(F.lit(0.0)).alias("mastery"),
+            F.when(F.col("quizzes").isNotNull(), round_half_even(1 - rate, 3)).otherwise(F.lit(0.0)).alias("mastery"),
         )
     )
 
@@ -119,7 +120,7 @@ def overview(books: DataFrame, chapters: DataFrame, quizzes: DataFrame, attempts
     """Counts, mastery weighted by quiz counts and the current streak, as one row."""
     mastery = chapter_mastery(chapters, quizzes, attempts)
     weighted = F.sum(F.col("mastery") * F.col("quizzes")) / F.sum("quizzes")
-    return mastery.agg(F.bround(F.coalesce(weighted, F.lit(0.0)), 3).alias("avg_mastery")).select(
+    return mastery.agg(round_half_even(F.coalesce(weighted, F.lit(0.0)), 3).alias("avg_mastery")).select(
         books.agg(F.count("*").alias("n")).scalar().alias("book_count"),
         quizzes.agg(F.count("*").alias("n")).scalar().alias("quiz_count"),
         attempts.agg(F.count("*").alias("n")).scalar().alias("attempts_total"),

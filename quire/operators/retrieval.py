@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import patterns as P
+from quire.functions.numbers import round_half_even
 from quire.functions.text import let, strip
 from quire.functions.tokens import longest, query_tokens, words
 from quire.operators.index import Index
@@ -304,7 +305,7 @@ def rerank(candidates: DataFrame, k: int) -> DataFrame:
     return (
         scored.withColumn("new_rank", rank.cast("bigint"))
         .filter(F.col("new_rank") <= k)
-        .withColumn("rerank_score", F.bround("final", 4))
+        .withColumn("rerank_score", round_half_even(F.col("final"), 4))
         .drop("final", "rank")
         .withColumnRenamed("new_rank", "rank")
     )

@@ -208,10 +208,10 @@ QUERIES = {
     "streaming_retrieval_metrics": _stream_metrics,
 }
 
-_METRICS = """WITH s AS (SELECT floor(value)::bigint % 7 AS hits FROM events WHERE event_type = 'view' ORDER BY ts DESC, event_id DESC LIMIT 100),
+_METRICS = f"""WITH s AS (SELECT floor(value)::bigint % 7 AS hits FROM events WHERE event_type = 'view' ORDER BY ts DESC, event_id DESC LIMIT 100),
   c AS (SELECT user_id % 2 AS v FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 100)
-  SELECT (SELECT count(*) FROM s) AS total_queries, (SELECT round_even(avg(hits), 1) FROM s) AS avg_retrieval_hits,
-    (SELECT count(*) FROM c) AS total_citation_checks, (SELECT round_even(avg(v), 2) FROM c) AS citation_verify_rate"""
+  SELECT (SELECT count(*) FROM s) AS total_queries, (SELECT {S.round_half_even('avg(hits)', 1)} FROM s) AS avg_retrieval_hits,
+    (SELECT count(*) FROM c) AS total_citation_checks, (SELECT {S.round_half_even('avg(v)', 2)} FROM c) AS citation_verify_rate"""
 _PATH = "'/in.box/file' || doc_id || CASE WHEN doc_id % 7 < 3 THEN '.PDF' WHEN doc_id % 7 = 3 THEN '.docx' WHEN doc_id % 7 = 4 THEN '.pptx' WHEN doc_id % 7 = 5 THEN '.txt' ELSE '' END"
 
 ORACLE = {
@@ -239,6 +239,6 @@ ORACLE = {
     "streaming_import_dedup": """WITH h AS (SELECT doc_id AS file_id, sha256(text) AS file_hash FROM documents), f AS (SELECT *, min(file_id) OVER (PARTITION BY file_hash) AS o FROM h)
       SELECT file_id, file_hash, CASE WHEN o <> file_id THEN o END AS duplicate_of FROM f""",
     "streaming_daily_activity": "SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS attempts FROM events GROUP BY 1",
-    "streaming_quiz_state": f"WITH {S.LATEST}, r AS (SELECT quiz_id, round_even(avg(is_correct), 2) AS correct_rate FROM attempts GROUP BY 1) SELECT quiz_id, is_correct, correct_rate FROM latest JOIN r USING (quiz_id)",
+    "streaming_quiz_state": f"WITH {S.LATEST}, r AS (SELECT quiz_id, {S.round_half_even('avg(is_correct)', 2)} AS correct_rate FROM attempts GROUP BY 1) SELECT quiz_id, is_correct, correct_rate FROM latest JOIN r USING (quiz_id)",
     "streaming_retrieval_metrics": _METRICS,
 }

@@ -128,9 +128,9 @@ QUERIES = {
     "annotation_back_flow": lambda s, d: knowledge.annotations_to_nodes(M.annotations(s, d), M.knowledge_nodes(s, d)),
 }
 
-_MASTERY = f"{S.LATEST}, {S.QUIZZES}, {S.QUIZ_CHAPTERS}, " + """rates AS (SELECT chapter_id, round_even(avg(1 - is_correct), 3) AS wrong_rate FROM latest JOIN quizzes USING (quiz_id) GROUP BY 1),
+_MASTERY = f"{S.LATEST}, {S.QUIZZES}, {S.QUIZ_CHAPTERS}, " + f"""rates AS (SELECT chapter_id, {S.round_half_even('avg(1 - is_correct)', 3)} AS wrong_rate FROM latest JOIN quizzes USING (quiz_id) GROUP BY 1),
   mastery AS (SELECT c.book_id, c.chapter_id, c.title, order_index, coalesce(n, 0) AS quizzes, coalesce(wrong_rate, 0) AS wrong_rate,
-    CASE WHEN n IS NULL THEN 0 ELSE round_even(1 - coalesce(wrong_rate, 0), 3) END AS mastery
+    CASE WHEN n IS NULL THEN 0 ELSE {S.round_half_even('1 - coalesce(wrong_rate, 0)', 3)} END AS mastery
   FROM quiz_chapters c LEFT JOIN (SELECT chapter_id, count(*) AS n FROM quizzes GROUP BY 1) q ON c.chapter_id = q.chapter_id LEFT JOIN rates r ON c.chapter_id = r.chapter_id)"""
 _LISTED = """SELECT p.quiz_id, q_type, question, question || '|' || p_type AS options, coalesce(b.title, '') AS book_title, c.title AS chapter_title,
     (SELECT count(*) FROM chosen) AS total FROM (SELECT * FROM chosen ORDER BY quiz_id LIMIT 20 OFFSET 20) p
@@ -146,14 +146,14 @@ _CLOSURE = S.NODES + ", " + _ROOTS + """, closure AS (SELECT root_id, node_id FR
 ORACLE = {
     "auto_grading": f"""WITH {S.ATTEMPTS}, {S.QUIZZES} SELECT attempt_id, a.quiz_id, CASE WHEN q_type = 'short' THEN 0 ELSE (upper(trim(user_answer)) = upper(trim(answer)))::int END::bigint AS is_correct,
       (q_type = 'short')::bigint AS is_self_graded FROM attempts a JOIN quizzes USING (quiz_id)""",
-    "running_correct_rate": f"""WITH {S.ATTEMPTS} SELECT attempt_id, quiz_id, round_even(avg(is_correct) OVER (PARTITION BY quiz_id ORDER BY answered_at, attempt_id
-      ROWS UNBOUNDED PRECEDING), 2) AS correct_rate FROM attempts""",
+    "running_correct_rate": f"""WITH {S.ATTEMPTS}, rates AS (SELECT attempt_id, quiz_id, avg(is_correct) OVER (PARTITION BY quiz_id ORDER BY answered_at, attempt_id
+      ROWS UNBOUNDED PRECEDING) AS rate FROM attempts) SELECT attempt_id, quiz_id, {S.round_half_even('rate', 2)} AS correct_rate FROM rates""",
     "latest_attempt_per_quiz": f"WITH {S.LATEST} SELECT quiz_id, is_correct, attempt_id FROM latest",
     "wrong_answer_book": f"WITH {S.LATEST}, {S.QUIZZES}, {S.QUIZ_BOOKS}, {S.QUIZ_CHAPTERS}, chosen AS (SELECT * FROM quizzes WHERE quiz_id IN (SELECT quiz_id FROM latest WHERE is_correct = 0)) {_LISTED}",
     "chapter_wrong_rate": f"WITH {_MASTERY} SELECT chapter_id, wrong_rate FROM rates",
     "chapter_mastery": f"WITH {_MASTERY} SELECT book_id, chapter_id, title, order_index, quizzes, wrong_rate, mastery FROM mastery",
     "learning_overview": f"""WITH {_MASTERY}, {S.QUIZ_BOOKS}, {_STREAK} SELECT (SELECT count(*) FROM quiz_books) AS book_count, (SELECT count(*) FROM quizzes) AS quiz_count,
-      (SELECT count(*) FROM attempts) AS attempts_total, round_even(sum(mastery * quizzes) / sum(quizzes), 3) AS avg_mastery, (SELECT streak_days FROM streak) AS streak_days FROM mastery""",
+      (SELECT count(*) FROM attempts) AS attempts_total, {S.round_half_even('sum(mastery * quizzes) / sum(quizzes)', 3)} AS avg_mastery, (SELECT streak_days FROM streak) AS streak_days FROM mastery""",
     "study_streak": f"WITH {S.ATTEMPTS}, {_STREAK} SELECT streak_days FROM streak",
     "activity_calendar": f"""WITH {S.ATTEMPTS}, c AS (SELECT (date '2024-01-30' - g::int)::date AS d FROM (SELECT unnest(range(0, 41)) AS g))
       SELECT strftime(d, '%Y-%m-%d') AS date, count(attempt_id) AS attempts FROM c LEFT JOIN attempts ON answered_at::date = d GROUP BY 1""",

@@ -275,7 +275,7 @@ _RERANK = f"""shares AS (SELECT f.query_id, f.chunk_id, count(w) AS n, count(*)
       + least(f.score * 100, 1.0::double) * 0.3::double
       + (CASE WHEN length(content) < 50 THEN 0.3 WHEN length(content) > 2000 THEN 0.5 ELSE 1.0 END)::double * 0.1::double AS final
     FROM fused f JOIN shares s ON f.query_id = s.query_id AND f.chunk_id = s.chunk_id JOIN chunks c ON f.chunk_id = c.chunk_id),
-  reranked AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, old_rank) AS rank, round_even(final, 4) AS rerank_score FROM finals
+  reranked AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, old_rank) AS rank, {S.round_half_even('final', 4)} AS rerank_score FROM finals
     QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY final DESC, old_rank) <= 5)"""
 
 
@@ -338,10 +338,10 @@ ORACLE = {
     "citation_verification": f"""WITH {S.CHAT_LOGS}, c AS (SELECT chat_id, n_sources, list_transform(regexp_extract_all(answer, {S.q(P.CITATION)}, 1), lambda x: x::bigint) AS l FROM chat_logs),
       w AS (SELECT *, list_filter(l, lambda x: x < 1 OR x > n_sources) AS bad FROM c)
       SELECT chat_id, array_to_string(l, ',') AS cited, array_to_string(bad, ',') AS mismatched, (len(l) > 0 AND len(bad) = 0)::bigint AS verified FROM w""",
-    "retrieval_metrics": """WITH s AS (SELECT floor(value)::bigint % 7 AS hits FROM events WHERE event_type = 'view' ORDER BY ts DESC, event_id DESC LIMIT 100),
+    "retrieval_metrics": f"""WITH s AS (SELECT floor(value)::bigint % 7 AS hits FROM events WHERE event_type = 'view' ORDER BY ts DESC, event_id DESC LIMIT 100),
       c AS (SELECT user_id % 2 AS v FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 100)
-      SELECT (SELECT count(*) FROM s) AS total_queries, (SELECT round_even(avg(hits), 1) FROM s) AS avg_retrieval_hits,
-        (SELECT count(*) FROM c) AS total_citation_checks, (SELECT round_even(avg(v), 2) FROM c) AS citation_verify_rate""",
+      SELECT (SELECT count(*) FROM s) AS total_queries, (SELECT {S.round_half_even('avg(hits)', 1)} FROM s) AS avg_retrieval_hits,
+        (SELECT count(*) FROM c) AS total_citation_checks, (SELECT {S.round_half_even('avg(v)', 2)} FROM c) AS citation_verify_rate""",
     "concept_source_lookup": f"""WITH {enrichment._CONCEPTS}, {_INDEXED[len(S.LINES) + 2:]}, asked AS (SELECT name AS query_id, replace(name, '定理', ' 定理 ') AS text FROM nodes_), {_bm25('asked')},
       {_top('scores', 30, 'best')} SELECT query_id AS concept, chunk_id, rank FROM best""",
     "model_answer_json": f"WITH {_ANSWERS} SELECT book_id, CASE WHEN kind < 3 THEN body END AS json FROM bodies",

@@ -14,6 +14,20 @@ def strip(x: str) -> str:
     return f"trim({x}, {q(P.SPACE_CHARS)})"
 
 
+def round_half_even(x: str, digits: int) -> str:
+    """Rounding by the exact value of a double, in whole numbers."""
+
+    def scaled(places: int) -> str:
+        whole = f"((({x}) * {2**places}::double)::bigint::hugeint * {10**digits})"
+        unit, half = f"{2**places}::hugeint", f"{2 ** (places - 1)}::hugeint"
+        low = f"({whole} // {unit})"
+        return f"({low} + CASE WHEN {whole} % {unit} > {half} OR ({whole} % {unit} = {half} AND {low} % 2 = 1) THEN 1 ELSE 0 END)"
+
+    return (
+        f"(CASE WHEN ({x}) < {2.0**-9} THEN {scaled(71)} WHEN ({x}) < 1 THEN {scaled(62)} ELSE {scaled(52)} END)::double / {10**digits}"
+    )
+
+
 def rr(x: str, pattern: str, to: str = "") -> str:
     return f"regexp_replace({x}, {q(pattern)}, {q(to)}, 'g')"
 

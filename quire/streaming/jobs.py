@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quire.functions.numbers import round_half_even
+
 BATCH = "batch"
 
 
@@ -61,7 +63,7 @@ def quiz_state(attempts: DataFrame) -> DataFrame:
     """Latest result and share of correct attempts per quiz after each batch."""
     return attempts.groupBy("quiz_id").agg(
         F.max_by("is_correct", F.struct("answered_at", "attempt_id")).alias("is_correct"),
-        F.bround(F.avg("is_correct"), 2).alias("correct_rate"),
+        round_half_even(F.avg("is_correct"), 2).alias("correct_rate"),
     )
 
 
