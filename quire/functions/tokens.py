@@ -94,11 +94,13 @@ def term_counts(tokens: Column) -> Column:
     return F.when(F.size(tokens) > 0, let(F.array_sort(tokens), runs))
 
 
-def words(text: Column, min_chars: int = 2) -> Column:
-    """Distinct words of at least ``min_chars`` characters in text order, case kept."""
-    return F.array_distinct(
-        F.filter(F.regexp_extract_all(text, F.lit(P.WORD), F.lit(0)), lambda w: F.length(w) >= min_chars)
-    )
+def words(text: Column, min_chars: int = 2, terms: list[str] = P.SUBJECT_TERMS) -> Column:
+    """Distinct words of at least ``min_chars`` characters, case kept: Latin words in text order,
+    then the pairs of Han runs and the listed terms."""
+    long_terms = [t for t in terms if len(t) > 2]
+    latin = F.regexp_extract_all(text, F.lit(_LATIN_RUN), F.lit(0))
+    found = F.when(text.rlike(_HAN_RUN), F.concat(latin, _han_tokens(text, (2,), long_terms))).otherwise(latin)
+    return F.array_distinct(F.filter(found, lambda w: F.length(w) >= min_chars))
 
 
 def longest(found: Column, n: int) -> Column:

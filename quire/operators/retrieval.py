@@ -156,7 +156,8 @@ def substring_search(
     matched = rarest.join(run_grams, "gram").filter(F.contains("run", "piece")).select("piece", "run")
     # A phrase of one piece needs only its lowest chunk ids; equal ids share a dense rank.
     lowest = F.dense_rank().over(Window.partitionBy("query_id", "phrase").orderBy("chunk_id"))
-    found = runs.join(matched.join(phrases, "piece"), "run").select(
+    wanted = broadcast_if_small(matched.join(phrases, "piece"))
+    found = runs.join(wanted, "run").select(
         "query_id", "phrase", "n_pieces", "chunk_id", "book_id"
     )
     if keep:

@@ -11,7 +11,7 @@ from quire.operators import answers as A
 from quire.operators import graph, index, retrieval
 from quire.plans import enrichment
 from quire.plans import twin as S
-from quire.session import fresh_path
+from quire.session import checkpointed, fresh_path
 from quire.sources import model as M
 from quire.sources import store
 
@@ -115,9 +115,9 @@ def retrieved(spark: SparkSession, d: str) -> DataFrame:
     near = _vector_hits(spark, d).join(
         questions(spark, d).filter("text = '？？？'").select("query_id"), "query_id", "left_anti"
     )
-    return retrieval.retrieve(
-        questions(spark, d), M.chunks(spark, d), M.books(spark, d), M.chapters(spark, d), _index(spark, d), near
-    )
+    chunks = checkpointed(M.chunks(spark, d))
+    stored = store.rebuild_index(chunks, fresh_path(spark, "index"), 1)
+    return retrieval.retrieve(questions(spark, d), chunks, M.books(spark, d), M.chapters(spark, d), stored, near)
 
 
 def _citations(spark: SparkSession, d: str) -> DataFrame:

@@ -153,6 +153,22 @@ def test_rerank(spark):
     assert [r.chunk_id for r in made] == [1, 3, 2] and all(r.rerank_score is not None for r in made)
 
 
+def test_rerank_of_han_questions(spark):
+    df = spark.createDataFrame(
+        [(0, 1, "什么是中值定理", "本章讲述极限", 0.03, 1), (0, 2, "什么是中值定理", "柯西中值定理与罗尔定理", 0.02, 2)],
+        "query_id bigint, chunk_id bigint, text string, content string, score double, rank bigint",
+    )
+    assert [r.chunk_id for r in retrieval.rerank(df, 2).orderBy("rank").collect()] == [2, 1]
+
+
+def test_han_fallback(spark, rows):
+    chunks = spark.createDataFrame(
+        [(1, 1, "由拉格朗日中值定理可知"), (2, 1, "矩阵的秩"), (3, 1, "abc矩阵xyz")], "chunk_id bigint, book_id bigint, content string"
+    )
+    found = retrieval.substring_search(asked(spark, "中值定理", "矩阵", "bc矩"), chunks)
+    assert rows(found, "query_id", "chunk_id") == [(0, 1), (1, 2), (1, 3), (2, 3)]
+
+
 def test_neighbours(spark, library):
     hits = library[0].filter("chunk_id in (10, 20, 22, 30)").select(F.lit(0).alias("query_id"), "chunk_id", "book_id", "chapter_id", "chunk_index")
     made = {r.chunk_id: r.context for r in retrieval.neighbour_context(hits, library[0]).collect()}
