@@ -146,14 +146,17 @@ def substring_search(
             F.concat(_grams(F.col("run"), one), F.when(F.length("run") > 1, _grams(F.col("run"), two)).otherwise(F.array().cast("array<string>")))
         ).alias("gram"),
     )
-    gram_counts = run_grams.groupBy("gram").agg(F.count("*").alias("n"))
-    piece_grams = phrases.select("piece").distinct().select(
-        "piece", F.explode(_grams(F.col("piece"), F.least(F.length("piece"), two))).alias("gram")
+    piece_grams = broadcast_if_small(
+        phrases.select("piece").distinct().select(
+            "piece", F.explode(_grams(F.col("piece"), F.least(F.length("piece"), two))).alias("gram")
+        )
     )
+    relevant = run_grams.join(piece_grams.select("gram").distinct(), "gram", "left_semi")
+    gram_counts = relevant.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = piece_grams.join(gram_counts, "gram").groupBy("piece").agg(
         F.min_by("gram", F.struct("n", "gram")).alias("gram")
     )
-    matched = rarest.join(run_grams, "gram").filter(F.contains("run", "piece")).select("piece", "run")
+    matched = rarest.join(relevant, "gram").filter(F.contains("run", "piece")).select("piece", "run")
     # A phrase of one piece needs only its lowest chunk ids; equal ids share a dense rank.
     lowest = F.dense_rank().over(Window.partitionBy("query_id", "phrase").orderBy("chunk_id"))
     wanted = broadcast_if_small(matched.join(phrases, "piece"))

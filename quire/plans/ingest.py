@@ -95,6 +95,7 @@ def _office_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    """All books; some have lost their pages, which is one of the two cases looked for."""
     pages = M.pages(spark, d).filter("book_id % 50 <> 7")
     return files.scanned_books(M.books(spark, d), pages).withColumn("scanned", F.col("scanned").cast("bigint"))
 

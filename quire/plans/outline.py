@@ -104,6 +104,11 @@ def _summaries(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Page ranges of all books when their first chapter is missing, so that there are gaps."""
+    return toc.page_intervals(chapter_tree(spark, d).filter("order_index > 0"), _line_books(spark, d))
+
+
 QUERIES = {
     "two_level_heading_detection": lambda s, d: toc.detect_headings(M.heading_pages(s, d)),
     "toc_from_layout_titles": _layout_headings,
@@ -113,9 +118,7 @@ QUERIES = {
     "toc_reordering": lambda s, d: toc.order_outline(outline(s, d)),
     "toc_completeness_check": _check,
     "chapter_tree_build": chapter_tree,
-    "page_interval_gap_fill": lambda s, d: toc.page_intervals(
-        chapter_tree(s, d).filter("order_index > 0"), _line_books(s, d)
-    ),
+    "page_interval_gap_fill": _intervals,
     "toc_source_priority": _sources,
     "paragraph_style_level": lambda s, d: _paragraphs(s, d).select(
         "book_id", "idx", "style", T.style_level(F.col("style")).cast("bigint").alias("level")
