@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quire.llm.common import slices, utf8
+from quire.llm.common import Numbers, slices, utf8
 from quire.session import ship_with_tasks
 
 #: Distinct chunks that a task remembers before it starts anew; bounds its memory.
@@ -159,14 +159,6 @@ def replay(ranks: Ranks, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return token[at], np.searchsorted(at, edges)
 
 
-class Numbers(dict):
-    """Numbers its keys in the order in which they are first asked for."""
-
-    def __missing__(self, key):
-        self[key] = number = len(self)
-        return number
-
-
 class Encoder:
     """Encodes texts of one task; remembers the ids of distinct chunks.
 
