@@ -67,8 +67,10 @@ def words_of(data: np.ndarray, offsets: np.ndarray):
     first = np.searchsorted(starts, offsets - begin)
     long = ends - starts
     to = np.cumsum(long + 1)
-    at = np.arange(int(to[-1]) if len(to) else 0) - np.repeat(to - (long + 1) - starts, long + 1)
-    packed = text[np.minimum(at, max(len(text) - 1, 0))]
+    narrow = np.int32 if len(text) < 1 << 30 else np.int64
+    at = np.arange(int(to[-1]) if len(to) else 0, dtype=narrow)
+    at -= np.repeat((to - (long + 1) - starts).astype(narrow), long + 1)
+    packed = text[np.minimum(at, max(len(text) - 1, 0), out=at)]
     packed[to - 1] = 32
     return packed, to - long - 1, to - 1, first
 
@@ -100,8 +102,12 @@ class Hasher:
         return mixed((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
 
-def column_of(values, kind: pa.DataType) -> pa.Array:
-    return pa.array(values, kind)
+class Numbers(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        return number
 
 
 ship_with_tasks(__name__)

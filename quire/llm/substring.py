@@ -28,9 +28,9 @@ WINDOW = 13
 #: Words of a minimiser: enough that no frequent phrase is the minimiser of a large part of the text.
 MINIMISER = 4
 #: Bytes of text whose strings a task packs together.
-PACKED = 16 << 20
+PACKED = 6 << 20
 #: Buckets that a shuffle partition takes one after the other.
-SHARE = 4
+SHARE = 16
 #: Of a row's text hash, what tells rows with equal ids apart.
 TAG = 0xFFFF
 
@@ -78,7 +78,7 @@ class _Packer:
 
     def __init__(self, buckets: int) -> None:
         self.buckets, self.hasher = buckets, Hasher()
-        self.squeeze = zstandard.ZstdCompressor(level=1)
+        self.squeeze = zstandard.ZstdCompressor(level=3)
         self.clear()
 
     def clear(self) -> None:
@@ -132,7 +132,7 @@ def _pack(buckets: int):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             docs, tags = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy().astype(np.uint16)
-            for a, b in slices(offsets, BLOCK):
+            for a, b in slices(offsets, BLOCK // 2):
                 packer.add(data, offsets[a : b + 1], docs[a:b], tags[a:b])
                 if packer.size >= PACKED:
                     yield from packer.packets()
@@ -143,39 +143,37 @@ def _pack(buckets: int):
 
 def repeated_windows(strings: list[bytes], docs: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
     """String and place in it of every window whose words also stand in a smaller document's string."""
-    text = b"\n".join(strings)
-    data = np.frombuffer(text, np.uint8)
+    whole = b"\n".join(strings)
+    data = np.frombuffer(whole, np.uint8)
     offsets = np.concatenate(([0], np.cumsum([len(s) + 1 for s in strings])))
     offsets[-1] -= 1
-    packed, starts, ends, first = words_of(data, offsets)
-    hashes, begin = windows_of(hasher.spans(packed, starts, ends), first, WINDOW)
-    string = np.searchsorted(first, begin, "right") - 1
-    order = np.lexsort((docs[string], hashes[begin]))
-    key, doc = hashes[begin][order], docs[string][order]
+    parts = []
+    for a, b in slices(offsets, BLOCK // 2):
+        # Words are one byte apart already: their places in the packed bytes are those in the text.
+        packed, starts, ends, first = words_of(data, offsets[a : b + 1])
+        hashes, begin = windows_of(hasher.spans(packed, starts, ends), first, WINDOW)
+        own = np.searchsorted(first, begin, "right") - 1
+        parts.append((hashes[begin], own + a, begin - first[own], starts[begin] + offsets[a], ends[begin + WINDOW - 1] + offsets[a]))
+    key, string, place, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((docs[string], key))
+    key, doc = key[order], docs[string[order]]
     new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
     group = np.cumsum(new) - 1
     head = np.flatnonzero(new)
     later = np.flatnonzero(doc > doc[head[group]])
     # Equal hashes are compared word by word with the smallest document's window.
-    whole = packed.tobytes()
-    low, high = starts[begin].tolist(), ends[begin + WINDOW - 1].tolist()
-    ordered = order.tolist()
-    heads = head[group[later]].tolist()
-    equal = np.fromiter(
-        (whole[low[i] : high[i]] == whole[low[j] : high[j]] for i, j in ((ordered[x], ordered[y]) for x, y in zip(later.tolist(), heads, strict=True))),
-        bool,
-        len(later),
-    )
+    mine, heads = order[later], order[head[group[later]]]
+    places = (x.tolist() for x in (low[mine], high[mine], low[heads], high[heads]))
+    equal = np.fromiter((whole[a:b] == whole[c:d] for a, b, c, d in zip(*places, strict=True)), bool, len(later))
     repeated = np.zeros(len(order), bool)
     repeated[later[equal]] = True
     for bad in np.unique(group[later[~equal]]).tolist():  # different words with one hash
         least: dict[bytes, int] = {}
-        members = np.flatnonzero(group == bad).tolist()
-        for x in members:  # by document
-            words = whole[low[ordered[x]] : high[ordered[x]]]
+        for x in np.flatnonzero(group == bad).tolist():  # by document
+            words = whole[low[order[x]] : high[order[x]]]
             repeated[x] = least.setdefault(words, int(doc[x])) < doc[x]
     at = np.sort(order[repeated])
-    return string[at], begin[at] - first[string[at]]
+    return string[at], place[at]
 
 
 def _ranges(batches):
