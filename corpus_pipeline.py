@@ -8,24 +8,51 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import bpe, simhash
+from quire.llm import bpe, decontaminate, quality, secrets, simhash
 from quire.llm.common import stored, table
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier finds poor go; it learns from the labelled ones that may be learnt from."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, score_col="__quality").filter(F.col("__quality") >= 0.5).select(*docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that of the smallest id."""
     return simhash.keep_one(docs)
 
 
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the ids of their texts."""
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts are replaced by a mark; ``n_chars`` follows the text where it changes."""
+    trees = secrets.train(secrets.labelled_findings(spark))
+    return secrets.redacted(docs, trees)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with ``token_ids``, and whether their text can be read back from them."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.decode(bpe.encode(docs, path), path, bytes_col="__decoded")
+    same = F.col("__decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return coded.select(*docs.columns, "token_ids", same.alias("round_trip"))
 
 
-STAGES = [("near_duplicates", near_duplicates), ("tokens", tokens)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("byte_bpe", byte_bpe),
+]
 
-#: The classifier, the fingerprints and the encoding are beyond SQL; tests hold the stages against brute force.
+#: Classifier, fingerprints, alignment, forest and encoding are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -1,7 +1,7 @@
 """Approximate nearest neighbours in balanced posting lists.
 
 Centroids come from a bounded sample. Every vector is posted to its nearest centroid and, near a border,
-to others that are not much farther and no nearer to one already chosen than to the vector. Centroids are
+to others that are not much farther. Centroids are
 searched by a graph held in memory: from a few entry points, the best nodes of a beam are expanded by
 their neighbours. A query takes the lists whose centroid is not farther than a ratio of its nearest one's.
 Lists are cut into blocks of at most ``PER_BLOCK`` vectors, queries of a list likewise, and blocks meet in
@@ -23,11 +23,12 @@ SAMPLE = 16_384
 #: Vectors per list that are aimed at; there are at most ``SAMPLE / 8`` lists.
 PER_LIST = 200
 #: Lists that hold a vector, at most, and how much farther than the nearest they may be.
-REPLICAS, BORDER = 4, 1.12
-#: Lists that a query searches, at most, and how much farther than the nearest they may be.
+REPLICAS, BORDER = 6, 1.2
+#: Lists that a query searches, at most (and a sixth of all lists, if that is more), and how much farther
+#: than the nearest they may be.
 PROBES, RATIO = 24, 1.35
 PER_BLOCK = 1024
-DEGREE, BEAM = 24, 48
+DEGREE, BEAM = 24, 16
 
 
 def clean(vectors: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def searched(graph: dict, x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndar
     """The ``want`` nearest centroids found for each row of ``x``, nearest first, and their distances."""
     centres, near = graph["centres"], graph["near"]
     n, rows = len(centres), len(x)
-    beam = min(max(BEAM, want), n)
+    beam = min(2 * want + BEAM, n)
 
     def distance(nodes):
         return ((centres[nodes] - x[:, None, :]) ** 2).sum(axis=2)
@@ -90,14 +91,15 @@ def searched(graph: dict, x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndar
         if not ready.any():
             break
         chosen = np.take_along_axis(nodes, step, axis=1)
-        opened[line, chosen] |= ready
+        opened[line, chosen] = True  # those that are not ready are opened already
         fresh = near[chosen].reshape(rows, -1)
         order = np.argsort(fresh, axis=1, kind="stable")
         fresh = np.take_along_axis(fresh, order, axis=1)
-        new = ~known[line, fresh] & np.repeat(ready, near.shape[1], axis=1)[line, order]
+        new = ~known[line, fresh]
         new[:, 1:] &= fresh[:, 1:] != fresh[:, :-1]
         d = np.where(new, distance(fresh), np.inf)
-        known[line, fresh] |= new
+        row, place = np.nonzero(new)
+        known[row, fresh[row, place]] = True
         nodes, far = np.concatenate((nodes, fresh), axis=1), np.concatenate((far, d), axis=1)
         best = np.argsort(far, axis=1, kind="stable")[:, :beam]
         nodes, far = np.take_along_axis(nodes, best, axis=1), np.take_along_axis(far, best, axis=1)
@@ -117,15 +119,9 @@ def _assign(shared, queries: bool):
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
                 x = vectors_in(part.column("v"))
-                lists, far = searched(graph, x, PROBES if queries else REPLICAS * 2)
+                lists, far = searched(graph, x, max(PROBES, len(graph["centres"]) // 6) if queries else REPLICAS)
                 limit = far[:, :1] * (RATIO if queries else BORDER)
                 keep = np.isfinite(far) & ((far <= limit) | (np.arange(far.shape[1]) == 0))
-                if not queries:
-                    centres = graph["centres"]
-                    for k in range(1, far.shape[1]):
-                        to = ((centres[lists[:, k, None]] - centres[lists[:, :k]]) ** 2).sum(axis=2) ** 0.5
-                        keep[:, k] &= ((to >= far[:, k, None] * 0.5) | ~keep[:, :k]).all(axis=1)
-                    keep &= np.cumsum(keep, axis=1) <= REPLICAS
                 row, place = np.nonzero(keep)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(lists[row, place].astype(np.int32)), part.column("vec_id").take(pa.array(row)), part.column("v").take(pa.array(row))],

@@ -202,12 +202,19 @@ def scan(docs: DataFrame, trees: list[str]) -> DataFrame:
 
 
 def redacted(docs: DataFrame, trees: list[str], text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """``docs`` with every secret in ``text_col`` replaced by ``MARK``; rows without one are as they were."""
+    """``docs`` with every secret in ``text_col`` replaced by ``MARK``; rows without one are as they were.
+
+    A column ``n_chars``, if there is one, follows the text where it changes.
+    """
     marked = findings(docs, trees, text_col, path_col, "__findings")
     piece = F.zip_with(
         "__findings_rest",
         "__findings",
         lambda rest, x: F.concat(rest, F.coalesce(F.when(x["is_secret"], F.lit(MARK)).otherwise(x["candidate"]), F.lit(""))),
     )
-    changed = F.when(F.exists("__findings", lambda x: x["is_secret"]), F.array_join(piece, "")).otherwise(F.col(text_col))
-    return marked.withColumn(text_col, changed).select(*docs.columns)
+    hit = F.exists("__findings", lambda x: x["is_secret"])
+    marked = marked.withColumn("__text", F.when(hit, F.array_join(piece, "")))
+    new = {text_col: F.coalesce("__text", text_col)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.coalesce(F.length("__text").cast(docs.schema["n_chars"].dataType), "n_chars")
+    return marked.withColumns(new).select(*docs.columns)
