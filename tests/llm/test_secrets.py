@@ -1,0 +1,60 @@
+import hashlib
+
+import pytest
+
+from quire.llm import secrets
+
+from .fixtures import documents, prose
+
+
+@pytest.fixture(scope="module")
+def trees(spark):
+    return secrets.train(secrets.labelled_findings(spark))
+
+
+def key(n):
+    return hashlib.sha1(str(n).encode()).hexdigest()
+
+
+def test_forest_on_other_findings(spark, trees):
+    """Accuracy on findings of other row numbers than it learnt from."""
+    from pyspark.sql import functions as F
+
+    later = secrets.labelled_findings(spark, 6000).filter("id >= 4000")
+    columns = secrets.features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"))
+    right = (secrets.votes(trees, columns) >= secrets.THRESHOLD) == (F.col("label") == 1)
+    assert later.agg(F.avg(right.cast("double"))).first()[0] > 0.95
+
+
+def test_redaction(spark, trees):
+    keys = [key(n) for n in range(4)]
+    rows = [
+        (1, f'go token = "{keys[0]}" on'), (2, f"see commit {keys[1]} now"), (3, "card 9807915762804490 end"), (4, None), (5, ""),
+        (6, f'token = "{keys[2]}"token = "{keys[3]}"\n'), (7, prose(1, 20_000) + f' token = "{keys[0]}"'), (8, 'token = "your-example-token-here1"'),
+        (9, "a plain text"), (9, "a plain text"), (None, f'token = "{keys[0]}"'),
+    ]
+    docs = documents(spark, rows)
+    done = secrets.redacted(docs, trees)
+    assert done.columns == docs.columns
+    found = sorted(((r.doc_id, r.text, r.n_chars) for r in done.collect()), key=repr)
+    expected = []
+    for i, t in rows:
+        for k in keys:
+            t = t and t.replace(f'"{k}"', f'"{secrets.MARK}"')
+        expected.append((i, t, len(t or "")))
+    assert found == sorted(expected, key=repr)
+    assert secrets.redacted(docs.limit(0), trees).count() == 0
+
+
+def test_scan_lists_all_candidates(spark, trees):
+    docs = documents(spark, [(1, f'token = "{key(1)}" and card 9807915762804490'), (2, "nothing")])
+    rows = {(r.doc_id, r.nth): (r.length, r.is_secret, r.candidate_sha256) for r in secrets.scan(docs, trees).collect()}
+    assert rows == {
+        (1, 1): (40, True, hashlib.sha256(key(1).encode()).hexdigest()),
+        (1, 2): (16, False, hashlib.sha256(b"9807915762804490").hexdigest()),
+    }
+
+
+def test_no_python_in_the_plan(spark, trees):
+    plan = secrets.scan(documents(spark, [(1, "x")]), trees)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
