@@ -18,8 +18,9 @@ def clean_heading(raw: Column, tails: list[str] = P.PROSE_TAILS) -> Column:
     """Strip page numbers, a dangling Latin bracket, known prose tails and letter-spacing."""
     text = F.regexp_replace(strip(raw), rf"[{P.SPACE}]*[0-9{P.SPACE}]+$", "")
     text = F.regexp_replace(text, rf"\([a-zA-Z{P.SPACE}]+$", "")
-    for tail in tails:
-        text = F.regexp_replace(text, tail, "")
+    # The first tail on its own, then the others in one pass: cutting one exposes no other.
+    for pattern in (tails[0], "|".join(tails[1:])):
+        text = F.regexp_replace(text, pattern, "")
     return F.btrim(join_spaced_han(text), F.lit(" ，。、|｜"))
 
 

@@ -68,9 +68,13 @@ def assemble_prompts(queries: DataFrame, sources: DataFrame, limit: int = 12000)
 
 
 def verify_citations(answers: DataFrame) -> DataFrame:
-    """``answers(chat_id, answer, n_sources)``: cited numbers, those out of range, verdict."""
+    """``answers(chat_id, answer, n_sources)``: cited numbers, those out of range, verdict.
+
+    A number too long for 64 bits counts as the largest one, so it is out of range.
+    """
     cited = F.transform(
-        F.regexp_extract_all("answer", F.lit(P.CITATION), F.lit(1)), lambda n: n.cast("decimal(38,0)").cast("bigint")
+        F.regexp_extract_all("answer", F.lit(P.CITATION), F.lit(1)),
+        lambda n: F.coalesce(n.try_cast("bigint"), F.lit((1 << 63) - 1)),
     )
     checked = answers.withColumn("cited", cited)
     wrong = F.filter("cited", lambda n: (n < 1) | (n > F.col("n_sources")))

@@ -61,6 +61,23 @@ def _band_keys(bits: int, bands: int, agree: int):
     return keys
 
 
+LEADER = {"first_id": "leader", "fingerprint": "leader_print"}
+
+
+def _smallest_match(members: DataFrame, leaders: DataFrame, on: list[str], max_distance: int) -> DataFrame:
+    """``(key, first_id, match)``: the smallest earlier leader under the same key within the distance."""
+    close = (F.col("leader") < F.col("first_id")) & (
+        H.distance(F.col("fingerprint"), F.col("leader_print")) <= max_distance
+    )
+    leaders = leaders.select(*on, "leader", "leader_print")
+    return members.join(leaders, on).filter(close).groupBy("key", "first_id").agg(F.min("leader").alias("match"))
+
+
+def near_duplicates_of(texts: DataFrame, max_distance: int = 10) -> DataFrame:
+    """``texts(doc_id, text)`` with blank texts left out: near duplicates by the fingerprints of the others."""
+    return near_duplicates(fingerprints(texts.filter(F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)))), max_distance)
+
+
 def near_duplicates(
     prints: DataFrame, max_distance: int = 10, bands: int | None = None, group_limit: int = 2000
 ) -> DataFrame:
@@ -70,9 +87,10 @@ def near_duplicates(
     Two fingerprints within the distance agree on at least ``bands - max_distance`` of the bands
     (pigeonhole), so they meet under some key. Inside a key group each fingerprint looks only for its
     smallest match. The ``group_limit`` smallest documents of every group are compared with the rest
-    of it, members that found a match leave, and the remainder goes into the next round. A hot group
-    of near copies of one text therefore shrinks to almost nothing in the first round instead of
-    being paired with itself, and no match is missed.
+    of it, and members that found a match leave: a hot group of near copies of one text shrinks to
+    almost nothing. What remains is compared in one join on pairs of blocks of ``group_limit`` members,
+    so no match is missed and no task holds more than two blocks. The number of comparisons stays more
+    than linear in the number of fingerprints that are unlike.
     """
     bands = bands or max_distance + 2
     agree = bands - max_distance
@@ -83,29 +101,24 @@ def near_duplicates(
     members = one.select("first_id", "fingerprint", F.explode(keys).alias("key"))
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     pending = checkpointed(members.join(sizes, "key").select("key", "first_id", "fingerprint"))
-    rounds = []
-    while not pending.isEmpty():
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("first_id"))
-        leaders = pending.withColumn("rank", rank).filter(F.col("rank") <= group_limit).select(
-            "key", F.col("first_id").alias("leader"), F.col("fingerprint").alias("leader_print"), "rank"
-        )
-        close = (F.col("leader") < F.col("first_id")) & (
-            H.distance(F.col("fingerprint"), F.col("leader_print")) <= max_distance
-        )
-        found = checkpointed(
-            pending.join(leaders, "key").filter(close).groupBy("key", "first_id").agg(F.min("leader").alias("match"))
-        )
-        rounds.append(found.groupBy("first_id").agg(F.min("match").alias("match")))
-        last = leaders.groupBy("key").agg(F.max("leader").alias("last"), F.max("rank").alias("n"))
-        full = last.filter(F.col("n") >= group_limit)
-        pending = checkpointed(
-            pending.join(full, "key")
-            .filter(F.col("first_id") > F.col("last"))
-            .select("key", "first_id", "fingerprint")
-            .join(found, ["key", "first_id"], "left_anti")
-        )
-    none = one.select("first_id", F.lit(None).cast("bigint").alias("match")).limit(0)
-    matched = reduce(DataFrame.unionByName, rounds, none).groupBy("first_id").agg(F.min("match").alias("match"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("first_id"))
+    ranked = checkpointed(pending.withColumn("rank", rank))
+    first = _smallest_match(
+        ranked, ranked.filter(F.col("rank") <= group_limit).withColumnsRenamed(LEADER), ["key"], max_distance
+    )
+    first = checkpointed(first)
+    rest = ranked.filter(F.col("rank") > group_limit).join(first, ["key", "first_id"], "left_anti")
+    block = F.floor((F.col("rank") - 1) / group_limit).cast("int")
+    blocked = checkpointed(rest.select("key", "first_id", "fingerprint", block.alias("block")))
+    blocks = blocked.groupBy("key").agg(F.max("block").alias("last"))
+    later = blocked.withColumn("other", F.explode(F.sequence(F.lit(1), "block")))
+    earlier = (
+        blocked.join(blocks, "key")
+        .select("key", "first_id", "fingerprint", F.col("block").alias("other"), F.explode(F.sequence("block", "last")).alias("block"))
+        .withColumnsRenamed(LEADER)
+    )
+    second = _smallest_match(later, earlier, ["key", "block", "other"], max_distance)
+    matched = first.unionByName(second).groupBy("first_id").agg(F.min("match").alias("match"))
     of_first = one.join(matched, "first_id", "left")
     return prints.join(of_first, "fingerprint").select(
         "doc_id",

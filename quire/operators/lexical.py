@@ -34,23 +34,12 @@ def keywords(text: Column, n: int = 30, script: str | None = HAN_SCRIPT, stop_wo
     return F.slice(F.filter(top, lambda w: w.rlike(script)) if script else top, 1, n)
 
 
-def _lines_with(text: Column, words: str) -> Column:
-    """The lines that contain one of ``words``; the costly patterns need not look at the others.
-
-    No match reaches over a line break. A dropped last line leaves two line breaks behind, so that
-    the end of the text is not found at the end of another line.
-    """
-    def keep(lines: Column) -> Column:
-        kept = F.array_join(F.filter(lines, lambda l: l.rlike(words)), "\n")
-        return F.when(F.element_at(lines, -1).rlike(words), kept).otherwise(F.concat(kept, F.lit("\n\n")))
-
-    return let(F.split(text, "\n"), keep)
-
-
 def _trimmed_pairs(text: Column, pattern: str, words: str) -> Column:
+    """White space before a definition may hold line breaks, so the whole text is searched."""
     part = lambda m, group, chars: F.btrim(F.regexp_extract(m, pattern, group), F.lit(chars))
+    matches = F.when(text.rlike(words), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     return F.transform(
-        F.regexp_extract_all(_lines_with(text, words), F.lit(pattern), F.lit(0)),
+        F.coalesce(matches, F.array().cast("array<string>")),
         lambda m: F.struct(part(m, 1, "：:，。 ").alias("term"), part(m, 2, "，。； ").alias("definition")),
     )
 

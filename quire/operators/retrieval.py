@@ -73,8 +73,9 @@ def scope_filter(scores: DataFrame, scopes: DataFrame, books: DataFrame, links:
     in_category = scoped.join(shelves, "book_id", "left").filter(
         F.col("category").isNull() | (F.col("shelf") == F.col("category"))
     )
-    tagged = in_category.filter("tag_id is not null").join(links, ["book_id", "tag_id"], "left_semi")
-    return tagged.unionByName(in_category.filter("tag_id is null")).select(*scores.columns)
+    linked = links.select("book_id", "tag_id").distinct().withColumn("linked", F.lit(True))
+    tagged = in_category.join(linked, ["book_id", "tag_id"], "left")
+    return tagged.filter(F.col("tag_id").isNull() | F.col("linked")).select(*scores.columns)
 
 
 def snippet(tokens: Column, wanted: Column, width: int = 12) -> Column:

@@ -247,12 +247,15 @@ def outline_counts(toc: DataFrame) -> DataFrame:
     )
 
 
-def build_chapters(toc: DataFrame, books: DataFrame, max_level: int = 9) -> DataFrame:
+def build_chapters(toc: DataFrame, books: DataFrame) -> DataFrame:
     """Chapter tree of every book.
 
     ``toc(book_id, seq, title, level, page)`` and ``books(book_id, total_pages)``. The parent is the
-    nearest earlier item with a smaller level; a chapter ends before its next sibling.
+    nearest earlier item with a smaller level; a chapter ends before its next sibling. There are as
+    many levels as the deepest book has.
     """
+    depth = toc.groupBy("book_id").agg((F.max("level") - F.min("level") + 1).alias("n")).agg(F.max("n")).first()[0]
+    max_level = max(int(depth or 1), 2)
     per_book = Window.partitionBy("book_id")
     ordered = per_book.orderBy("seq")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)

@@ -2,7 +2,8 @@
 
 ``tree_paths`` finds the way from the root to every node by pointer doubling: after round ``r`` a
 path covers ``2^r`` steps, so a tree of depth 1,000 needs ten joins, each of them on a unique key.
-The lineage is cut in every round by a reliable checkpoint.
+It goes on until no further node reaches a root; what is left then lies on or below a cycle. The
+lineage is cut in every round by a reliable checkpoint.
 """
 
 from __future__ import annotations
@@ -14,20 +15,19 @@ from quire.operators.ranking import row_number_within
 from quire.session import checkpointed
 
 
-def tree_paths(nodes: DataFrame, max_rounds: int = 10) -> DataFrame:
+def tree_paths(nodes: DataFrame) -> DataFrame:
     """``(node_id, path, depth)`` with the path from the root to the node, both included.
 
-    A node whose parent is unknown counts as a root. Nodes on a cycle, or deeper than
-    ``2 ** max_rounds``, have no path to a root and come out with NULL path and depth.
+    A node whose parent is unknown counts as a root. Nodes on or below a cycle have no path to a root
+    and come out with NULL path and depth.
     """
     ids = nodes.select(F.col("node_id").alias("known"))
     state = nodes.join(ids, nodes["parent_id"] == ids["known"], "left").select(
         "node_id", F.col("known").alias("up"), F.array("node_id").alias("path")
     )
     state = checkpointed(state)
-    for _ in range(max_rounds):
-        if state.filter("up is not null").isEmpty():
-            break
+    open_before, still_open = None, state.filter("up is not null").count()
+    while still_open and still_open != open_before:
         above = state.select(
             F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("path").alias("upper")
         )
@@ -38,6 +38,7 @@ def tree_paths(nodes: DataFrame, max_rounds: int = 10) -> DataFrame:
                 F.when(F.col("upper").isNotNull(), F.concat("upper", "path")).otherwise(F.col("path")).alias("path"),
             )
         )
+        open_before, still_open = still_open, state.filter("up is not null").count()
     rooted = F.col("up").isNull()
     return state.select(
         "node_id",
@@ -49,7 +50,8 @@ def tree_paths(nodes: DataFrame, max_rounds: int = 10) -> DataFrame:
 def read_tree(nodes: DataFrame) -> DataFrame:
     """Every node with its depth, child count and the sibling positions along its path.
 
-    Ordering by ``sort_path`` walks the tree depth first, siblings by (order_index, node_id).
+    Ordering by ``sort_path`` walks the tree depth first, siblings by (order_index, node_id). Nodes on
+    or below a cycle have NULL depth and ``sort_path``.
     """
     paths = tree_paths(nodes)
     steps = paths.select("node_id", "depth", F.posexplode("path").alias("at", "step"))
@@ -66,8 +68,8 @@ def read_tree(nodes: DataFrame) -> DataFrame:
         F.count("*").alias("n_children")
     )
     return (
-        keyed.select("node_id", "depth", label.alias("sort_path"))
-        .join(nodes.select("node_id", "parent_id", "title"), "node_id")
+        nodes.select("node_id", "parent_id", "title")
+        .join(keyed.select("node_id", "depth", label.alias("sort_path")), "node_id", "left")
         .join(children, "node_id", "left")
         .select("node_id", "parent_id", "title", "depth", "sort_path", F.coalesce("n_children", F.lit(0)).alias("n_children"))
     )
@@ -90,14 +92,15 @@ def validate_moves(nodes: DataFrame, moves: DataFrame) -> DataFrame:
 
     A NULL target makes the node a root.
     """
-    paths = tree_paths(nodes).select(F.col("node_id").alias("target_id"), "path")
+    paths = tree_paths(nodes).select(F.col("node_id").alias("target_id"), "path", F.lit(True).alias("known_target"))
     known = nodes.select("node_id").withColumn("exists", F.lit(True))
     joined = moves.join(known, "node_id", "left").join(paths, "target_id", "left")
     verdict = (
         F.when(F.col("exists").isNull(), "unknown node")
         .when(F.col("target_id").isNull(), "ok")
         .when(F.col("target_id") == F.col("node_id"), "onto itself")
-        .when(F.col("path").isNull(), "unknown target")
+        .when(F.col("known_target").isNull(), "unknown target")
+        .when(F.col("path").isNull(), "target on a cycle")
         .when(F.array_contains("path", F.col("node_id")), "into own subtree")
         .otherwise("ok")
     )

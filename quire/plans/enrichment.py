@@ -184,7 +184,7 @@ QUERIES = {
     "automatic_tags": _auto_tags,
     "exact_deduplication": _exact,
     "simhash_fingerprint": lambda s, d: dedup.fingerprints(_texts(s, d)),
-    "near_duplicate_pairs": lambda s, d: dedup.near_duplicates(dedup.fingerprints(_texts(s, d))),
+    "near_duplicate_pairs": lambda s, d: dedup.near_duplicates_of(_texts(s, d)),
     "concept_collection": lambda s, d: graph.concepts(analysis(s, d)),
     "concept_nodes": lambda s, d: graph.nodes(graph.concepts(concept_sources(s, d))).select(
         "name", "n_books", F.array_join(F.transform("books", lambda b: b.cast("string")), ",").alias("books")
@@ -312,7 +312,7 @@ ORACLE = {
     "exact_deduplication": """WITH h AS (SELECT doc_id AS file_id, sha256(text) AS file_hash FROM documents),
       f AS (SELECT *, min(file_id) OVER (PARTITION BY file_hash) AS o FROM h) SELECT file_id, file_hash, CASE WHEN o <> file_id THEN o END AS duplicate_of FROM f""",
     "simhash_fingerprint": f"WITH {_SIMHASH} SELECT doc_id, fingerprint FROM prints",
-    "near_duplicate_pairs": f"""WITH {_SIMHASH} SELECT a.doc_id, min(b.doc_id) AS duplicate_of FROM prints a LEFT JOIN prints b
+    "near_duplicate_pairs": f"""WITH {_SIMHASH}, seen AS (SELECT p.* FROM prints p JOIN documents d USING (doc_id) WHERE regexp_matches(d.text, '\\S')) SELECT a.doc_id, min(b.doc_id) AS duplicate_of FROM seen a LEFT JOIN seen b
       ON b.doc_id < a.doc_id AND bit_count(xor(a.fingerprint, b.fingerprint)) <= 10 GROUP BY 1""",
     "concept_collection": f"WITH {_CONCEPTS} SELECT book_id, name FROM concepts",
     "concept_nodes": f"WITH {_CONCEPTS} SELECT name, n_books, books FROM nodes_",

@@ -18,7 +18,7 @@ def round_half_even(x: str, digits: int) -> str:
     """Rounding by the exact value of a double, in whole numbers."""
 
     def scaled(places: int) -> str:
-        whole = f"((({x}) * {2**places}::double)::bigint::hugeint * {10**digits})"
+        whole = f"((({x}) * {2**places}::double)::hugeint * {10**digits})"
         unit, half = f"{2**places}::hugeint", f"{2 ** (places - 1)}::hugeint"
         low = f"({whole} // {unit})"
         return f"({low} + CASE WHEN {whole} % {unit} > {half} OR ({whole} % {unit} = {half} AND {low} % 2 = 1) THEN 1 ELSE 0 END)"
@@ -48,8 +48,8 @@ def join_spaced_han(x: str) -> str:
 def clean_heading(x: str) -> str:
     x = rr(strip(x), rf"[{P.SPACE}]*[0-9{P.SPACE}]+$")
     x = rr(x, rf"\([a-zA-Z{P.SPACE}]+$")
-    for tail in P.PROSE_TAILS:
-        x = rr(x, tail)
+    for pattern in (P.PROSE_TAILS[0], "|".join(P.PROSE_TAILS[1:])):
+        x = rr(x, pattern)
     return f"trim({join_spaced_han(x)}, {q(' ，。、|｜')})"
 
 

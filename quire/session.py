@@ -1,7 +1,9 @@
-"""Session factory and the two helpers that touch storage outside a query."""
+"""Session factory and the helpers that touch storage outside a query."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
 import tempfile
 import uuid
@@ -32,18 +34,35 @@ def build_session(app: str = "quire", master: str | None = None, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a unit test) gets a folder of its own.
+    In local mode, where driver and executor are one process, a session without that setting gets a
+    folder of its own, which goes when the process ends. On a cluster the setting is required.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    return (current or tempfile.mkdtemp(prefix="quire-")).rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    own = tempfile.mkdtemp(prefix="quire-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(own)
+    return own
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what ``fresh_path`` has handed out in this session. Tables read from there are gone then."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _session_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quire-{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
+    return f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -33,10 +33,13 @@ _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
     """``(path, content, length)`` of all files below a folder.
 
-    Files above the size limit are filtered on ``length`` inside the scan, so they are never loaded.
+    Files above the size limit come without content, which is not read for them; ``check_uploads``
+    gives them their verdict.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.filter(F.col("length") <= MAX_FILE_BYTES).select("path", "content", "length")
+    fitting = files.filter(F.col("length") <= MAX_FILE_BYTES).select("path", "content", "length")
+    larger = files.filter(F.col("length") > MAX_FILE_BYTES).select("path", F.lit(None).cast("binary").alias("content"), "length")
+    return fitting.unionByName(larger)
 
 
 def file_type(path: Column) -> Column:
