@@ -30,7 +30,9 @@ from quire.llm.common import Numbers, slices, utf8
 from quire.session import ship_with_tasks
 
 #: Distinct chunks that a task remembers before it starts anew; bounds its memory.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+#: Bytes of text whose new chunks are encoded together.
+LEARNT = 12 << 20
 #: Bytes of text whose ids are put together at a time.
 BATCH = 4 << 20
 
@@ -175,7 +177,7 @@ class Encoder:
 
     def reset(self) -> None:
         self.number = Numbers()
-        self.ids = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.int32)
         self.edges = np.zeros(1, np.int64)
 
     def numbered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +214,7 @@ class Encoder:
         ids, lengths = joined(ids, edges, np.array(sequence, np.int64))
         ends = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum(counts, dtype=np.int64)]
         self.edges = np.concatenate((self.edges, len(self.ids) + ends))
-        self.ids = np.concatenate((self.ids, ids))
+        self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
 
     def ids_of(self, sequence: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of numbered texts in one array, and the number of ids of each text."""
@@ -233,20 +235,22 @@ def joined(values: np.ndarray, edges: np.ndarray, sequence: np.ndarray) -> tuple
 def _mapper(ranks, pattern: str, text_col: str, names: list[str], schema: pa.Schema):
     def run(batches):
         encoder = Encoder(Ranks(ranks.value), pattern)
-        for batch in batches:
-            column = batch.column(text_col)
-            if len(encoder.number) > REMEMBERED:
-                encoder.reset()
-            parts = []
-            for first, last in slices(utf8(column)[1], BATCH):
-                parts.append((first, last, *encoder.numbered(column.slice(first, last - first).to_pylist())))
-            encoder.learn()
-            for first, last, sequence, counts in parts:
-                ids, long = encoder.ids_of(sequence, counts)
-                offsets = np.concatenate(([0], np.cumsum(long))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
-                part = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), lists], schema=schema)
+        for whole in batches:
+            for low, high in slices(utf8(whole.column(text_col))[1], LEARNT):
+                batch = whole.slice(low, high - low)
+                column = batch.column(text_col)
+                if len(encoder.number) > REMEMBERED:
+                    encoder.reset()
+                parts = []
+                for first, last in slices(utf8(column)[1], BATCH):
+                    parts.append((first, last, *encoder.numbered(column.slice(first, last - first).to_pylist())))
+                encoder.learn()
+                for first, last, sequence, counts in parts:
+                    ids, long = encoder.ids_of(sequence, counts)
+                    offsets = np.concatenate(([0], np.cumsum(long))).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+                    part = batch.slice(first, last - first)
+                    yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), lists], schema=schema)
 
     return run
 
@@ -302,10 +306,20 @@ def _digest(ids, decoded):
     return hexes
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """``(doc_id, text)`` encoded and decoded: number and digest of the ids, digest of the decoded bytes."""
-    coded = decode(encode(docs.select("doc_id", "text"), path).drop("text"), path)
-    return coded.mapInArrow(_digest("token_ids", "decoded"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """``(doc_id, text)`` encoded and decoded: number and digest of the ids, digest of the decoded bytes.
+
+    Encoder, decoder and digests are one Python step, so that ids and bytes stay where they are made.
+    """
+    ranks = read_ranks(path)
+    context = docs.sparkSession.sparkContext
+    tables, tokens = context.broadcast(vars(Ranks.of(ranks))), context.broadcast({i: t for t, i in ranks.items()})
+    kind = pa.schema([("doc_id", to_arrow_schema(docs.select("doc_id").schema).field(0).type), ("token_ids", pa.list_(pa.int32()))])
+    encoded = _mapper(tables, pattern, "text", ["doc_id"], kind)
+    decoded = _decoder(tokens, ["doc_id", "token_ids"], "token_ids", kind.append(pa.field("decoded", pa.binary())))
+    digest = _digest("token_ids", "decoded")
+    columns = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: digest(decoded(encoded(batches))), columns)
 
 
 ship_with_tasks(__name__)
