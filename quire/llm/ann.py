@@ -165,7 +165,9 @@ def nearest_in(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray,
     rough = (vectors**2).sum(axis=1) - 2 * queries @ vectors.T + (queries**2).sum(axis=1)[:, None]
     own = query_ids[:, None] == ids
     rough[own] = np.inf
-    kth = np.partition(rough, min(k, rough.shape[1]) - 1, axis=1)[:, min(k, rough.shape[1]) - 1]
+    # Repeated ids count once: as many more rows are taken as there are repeats in the block.
+    last = min(k + len(ids) - len(np.unique(ids)), len(ids)) - 1
+    kth = np.partition(rough, last, axis=1)[:, last]
     scale = np.abs(vectors).max() ** 2 * vectors.shape[1] + np.abs(queries).max() ** 2 * vectors.shape[1]
     row, column = np.nonzero((rough <= kth[:, None] + scale * 1e-11) & ~own)
     exact = np.sqrt(((queries[row] - vectors[column]) ** 2).sum(axis=1))
