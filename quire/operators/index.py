@@ -1,14 +1,14 @@
 """Inverted index over chunks.
 
-The index is partitioned by chunk, like a sharded search engine: a chunk's postings are made inside
-its row, so building needs no shuffle, and a query needs its postings only where they lie.
+A chunk's postings are made inside its row, so building needs no shuffle. A stored index is cut into
+folders by token, and a search reads only those that hold its tokens.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
@@ -19,11 +19,23 @@ from quire.functions.tokens import index_tokens, term_counts
 @dataclass
 class Index:
     """``postings(chunk_id, book_id, token, tf, dl)``, ``frequency(token, df)`` and one row of
-    ``stats(n_docs, avgdl)``."""
+    ``stats(n_docs, avgdl)``. With ``parts``, postings also have ``part``, the folder of their token."""
 
     postings: DataFrame
     frequency: DataFrame
     stats: DataFrame
+    parts: int | None = None
+
+    def of_tokens(self, tokens: DataFrame) -> DataFrame:
+        """The postings among which those of ``tokens(token)`` are. At most ``parts`` numbers are collected."""
+        if self.parts is None:
+            return self.postings
+        needed = [r.part for r in tokens.select(part_of(self.parts)).distinct().collect()]
+        return self.postings.filter(F.col("part").isin(needed)).drop("part")
+
+
+def part_of(parts: int) -> Column:
+    return F.pmod(F.xxhash64("token"), F.lit(parts)).cast("int").alias("part")
 
 
 def build_index(chunks: DataFrame, terms: list[str] = P.SUBJECT_TERMS) -> Index:

@@ -20,7 +20,7 @@ from quire.functions.numbers import round_half_even
 from quire.functions.text import let, strip
 from quire.functions.tokens import longest, query_tokens, words
 from quire.operators.index import Index
-from quire.session import broadcast_if_small, checkpointed
+from quire.session import checkpointed, written
 
 K1 = 1.2
 B = 0.75
@@ -30,8 +30,8 @@ _RUNS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
 def bm25_scores(queries: DataFrame, index: Index) -> DataFrame:
     """``(query_id, chunk_id, book_id, score)`` of every chunk with at least one query token.
 
-    The query side is a few tokens per query. As long as it is small it is broadcast, and the
-    postings are read once where they lie.
+    The query side is a few tokens per query; it is written, so that the planner knows its bytes.
+    Of a stored index only the folders of these tokens are read.
     """
     wanted = queries.select("query_id", F.explode(query_tokens(F.col("text"))).alias("token"))
     frequency = index.frequency.join(wanted.select("token").distinct(), "token", "left_semi")
@@ -43,7 +43,8 @@ def bm25_scores(queries: DataFrame, index: Index) -> DataFrame:
         F.greatest(F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)).alias("idf"),
     )
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl)
-    hits = index.postings.join(broadcast_if_small(weighted), "token")
+    weighted = written(weighted, "weights")
+    hits = index.of_tokens(weighted).join(weighted, "token")
     return hits.groupBy("query_id", "chunk_id", "book_id").agg(
         F.round(F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / norm), 6).alias("score")
     )
@@ -147,10 +148,11 @@ def substring_search(
             F.concat(_grams(F.col("run"), one), F.when(F.length("run") > 1, _grams(F.col("run"), two)).otherwise(F.array().cast("array<string>")))
         ).alias("gram"),
     )
-    piece_grams = broadcast_if_small(
+    piece_grams = written(
         phrases.select("piece").distinct().select(
             "piece", F.explode(_grams(F.col("piece"), F.least(F.length("piece"), two))).alias("gram")
-        )
+        ),
+        "grams",
     )
     relevant = run_grams.join(piece_grams.select("gram").distinct(), "gram", "left_semi")
     gram_counts = relevant.groupBy("gram").agg(F.count("*").alias("n"))
@@ -160,7 +162,7 @@ def substring_search(
     matched = rarest.join(relevant, "gram").filter(F.contains("run", "piece")).select("piece", "run")
     # A phrase of one piece needs only its lowest chunk ids; equal ids share a dense rank.
     lowest = F.dense_rank().over(Window.partitionBy("query_id", "phrase").orderBy("chunk_id"))
-    wanted = broadcast_if_small(matched.join(phrases, "piece"))
+    wanted = written(matched.join(phrases, "piece"), "pieces")
     found = runs.join(wanted, "run").select(
         "query_id", "phrase", "n_pieces", "chunk_id", "book_id"
     )

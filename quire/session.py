@@ -10,7 +10,6 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(app: str = "quire", master: str | None = None, **conf: str) -> SparkSession:
@@ -73,13 +72,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """Materialize ``df`` and mark it for broadcast only if it has at most ``max_rows`` rows.
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below the shared folder and read it back.
 
-    Meant for narrow rows. A larger table is joined by shuffle, with adaptive skew handling.
+    The planner then knows how many bytes it has, and broadcasts it only below its own threshold.
     """
-    stored = checkpointed(df)
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship_with_tasks(module: str) -> None:
