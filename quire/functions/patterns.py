@@ -11,6 +11,7 @@ SPACE_CHARS = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 HAN = r"\x{4e00}-\x{9fff}"
+# Digits of chapter numbers.
 NUM = "一二三四五六七八九十百千万0-9"
 
 # Characters that mark a formula.
@@ -81,6 +82,7 @@ HEADING_STYLES = {
 }
 
 # Headings. Group 1 is the number, group 2 the title.
+# What a chapter, section or subsection line looks like.
 CHAPTER = rf"^第[{SPACE}]*([{NUM}]+)[{SPACE}]*[章篇编部][{SPACE}]*(?:[|｜:：][{SPACE}]*)?([^|\n]{{2,40}})"
 SECTION = rf"^第[{SPACE}]*([{NUM}]+)[{SPACE}]*节[{SPACE}]*(?:[|｜:：][{SPACE}]*)?([^|\n]{{2,40}})"
 # The three-level scan takes a section title as it stands, separator included.
@@ -89,12 +91,12 @@ DOTTED_2 = rf"^([0-9]{{1,2}}\.[0-9]{{1,2}})[{SPACE}]*([^|\n]{{2,40}})"
 DOTTED_3 = rf"^([0-9]{{1,2}}\.[0-9]{{1,2}}\.[0-9]{{1,2}})[{SPACE}]*([^|\n]{{2,40}})"
 DOT_LEADER = r"[.．·]{4,}"
 
-# Cleaning.
+# Lines that cleaning removes or keeps apart.
 PAGE_NUMBER_LINE = rf"^[-–—{SPACE}]*[0-9]{{1,4}}[-–—{SPACE}]*$"
 CLOSED_LINE = r"[。；：！？，、.?!;:)\]0-9]$"
 TITLE_LINE = rf"^(?:第[{SPACE}]*[一二三四五六七八九十0-9]+[{SPACE}]*[章节篇编部]|[0-9]+(?:\.[0-9]+)*[{SPACE}]|[一二三四五六七八九十]+、)"
 
-# Definitions and theorems.
+# Wording of definitions, theorems and citations.
 TERM = rf"([{HAN}A-Za-z][{HAN}A-Za-z0-9·\-()（）]{{1,30}}?)"
 DEFINITION_OF_WORDS = "的概念|的定义"
 DEFINITION_IS_WORDS = "是指|指的是|称为|叫做|定义为|即为|即|就是|表示"

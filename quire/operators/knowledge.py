@@ -55,7 +55,10 @@ def node_sources(nodes: DataFrame, chapters: DataFrame, chunks: DataFrame, books
         .join(books.select("book_id", F.col("title").alias("book_title")), "book_id", "left")
         .join(texts, "chapter_id", "left")
     )
-    return nodes.select("node_id", F.col("title").alias("node_title"), "chapter_id").join(source, "chapter_id", "left").select(
+    # Nodes without a chapter have nothing to meet and stay out of the join.
+    titled = nodes.select("node_id", F.col("title").alias("node_title"), "chapter_id")
+    joined = titled.filter("chapter_id IS NOT NULL").join(source, "chapter_id", "left")
+    return joined.unionByName(titled.filter("chapter_id IS NULL"), allowMissingColumns=True).select(
         "node_id", "node_title", "book_id", "book_title", "chapter_title",
         F.col("start_page").alias("page_start"), F.col("end_page").alias("page_end"), F.coalesce("text", F.lit("")).alias("text"),
     )

@@ -27,8 +27,11 @@ def study_plan(nodes: DataFrame, check_ins: DataFrame, exam: Column, as_of: Colu
         .filter(days > 0)
         .select(F.explode(F.sequence(as_of, exam)).alias("date"))
     )
+    # Days without nodes are added, so that the nodes need not be dealt by day.
+    empty = calendar.join(placed.select("date").distinct(), "date", "left_anti")
+    plan = placed.filter(days > 0).unionByName(empty, allowMissingColumns=True)
     checked = check_ins.select("date").distinct().withColumn("checked", F.lit(1).cast("bigint"))
-    return calendar.join(placed, "date", "left").join(checked, "date", "left").withColumn(
+    return plan.join(checked, "date", "left").withColumn(
         "checked", F.coalesce("checked", F.lit(0).cast("bigint"))
     )
 

@@ -62,10 +62,14 @@ def book_digest(books: DataFrame, chapters: DataFrame, chunks: DataFrame, analys
     )
 
 
-def combined_digest(requests: DataFrame, digests: DataFrame, deep: DataFrame, per_book: int = 4000, limit: int = 25000) -> DataFrame:
-    """``requests(request_id, book_id)``: the first eight books of each request as one text."""
+def picked_books(requests: DataFrame, books: int = 8) -> DataFrame:
+    """``requests(request_id, book_id)``: the first books of each request, with their ``rank``."""
     rank = F.row_number().over(Window.partitionBy("request_id").orderBy("book_id"))
-    picked = requests.withColumn("rank", rank).filter(F.col("rank") <= 8)
+    return requests.withColumn("rank", rank).filter(F.col("rank") <= books)
+
+
+def combined_digest(picked: DataFrame, digests: DataFrame, deep: DataFrame, per_book: int = 4000, limit: int = 25000) -> DataFrame:
+    """The books of ``picked_books`` as one text per request. Digests of other books are not needed."""
     joined = picked.join(digests, "book_id").join(
         deep.filter("status = 'done' and markdown <> ''").select("book_id", "markdown"), "book_id", "left"
     )

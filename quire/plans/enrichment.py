@@ -64,11 +64,14 @@ def _page_chapters(spark: SparkSession, d: str) -> DataFrame:
     return toc.assign_pages(M.pages(spark, d).select("book_id", "page"), nested)
 
 
-def keyword_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Keywords in any script for every book."""
-    return M.documents(spark, d).select(
-        F.col("doc_id").alias("book_id"), lexical.keywords(F.col("text"), script=None).alias("keywords")
-    )
+def keyword_lists(spark: SparkSession, d: str, books: DataFrame | None = None) -> DataFrame:
+    """Keywords in any script for every book, or for ``books(book_id)``."""
+    texts = _only(M.documents(spark, d).select(F.col("doc_id").alias("book_id"), "text"), books)
+    return texts.select("book_id", lexical.keywords(F.col("text"), script=None).alias("keywords"))
+
+
+def _only(texts: DataFrame, books: DataFrame | None) -> DataFrame:
+    return texts if books is None else texts.join(books.select("book_id").distinct(), "book_id", "left_semi")
 
 
 def _fact_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -84,12 +87,15 @@ def _fact_texts(spark: SparkSession, d: str) -> DataFrame:
     return M.documents(spark, d).select(F.col("doc_id").alias("book_id"), F.array_join(dressed, "\n").alias("text"))
 
 
-def analysis(spark: SparkSession, d: str) -> DataFrame:
-    """Definitions and theorems of the dressed texts with keywords in any script of the plain ones."""
-    facts = _fact_texts(spark, d).select(
+def analysis(spark: SparkSession, d: str, books: DataFrame | None = None) -> DataFrame:
+    """Definitions and theorems of the dressed texts with keywords in any script of the plain ones.
+
+    With ``books(book_id)``, of those books alone.
+    """
+    facts = _only(_fact_texts(spark, d), books).select(
         "book_id", lexical.definitions(F.col("text")).alias("definitions"), lexical.theorems(F.col("text")).alias("theorems")
     )
-    return facts.join(keyword_lists(spark, d), "book_id")
+    return facts.join(keyword_lists(spark, d, books), "book_id")
 
 
 def concept_sources(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.operators import lexical, reports
 from quire.plans import enrichment, outline
 from quire.plans import twin as S
+from quire.session import written
 from quire.sources import model as M
 
 
@@ -42,9 +43,12 @@ def _listing(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _digests(spark: SparkSession, d: str) -> DataFrame:
+def _digests(spark: SparkSession, d: str, only: DataFrame | None = None) -> DataFrame:
+    books = M.books(spark, d)
+    if only is not None:
+        books = books.join(only.select("book_id").distinct(), "book_id", "left_semi")
     return reports.book_digest(
-        M.books(spark, d), M.chapters(spark, d), M.chunks(spark, d), enrichment.analysis(spark, d), _deep(spark, d)
+        books, M.chapters(spark, d), M.chunks(spark, d), enrichment.analysis(spark, d, only), _deep(spark, d)
     )
 
 
@@ -62,7 +66,8 @@ def _digest(spark: SparkSession, d: str) -> DataFrame:
 def _combined(spark: SparkSession, d: str) -> DataFrame:
     """One request per language and source, for all their books."""
     requests = M.books(spark, d).select(F.concat_ws("/", "category", "file_type").alias("request_id"), "book_id")
-    return reports.combined_digest(requests, _digests(spark, d), _deep(spark, d))
+    picked = written(reports.picked_books(requests), "picked")
+    return reports.combined_digest(picked, _digests(spark, d, picked), _deep(spark, d))
 
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
