@@ -61,8 +61,14 @@ def sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 def embedded(model: dict, word: np.ndarray, grams: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    many = np.maximum(np.diff(edges), 1)[:, None]
-    return np.concatenate((model["words"][word], (sums(model["grams"][grams], edges) / many).astype(np.float32)), axis=1)
+    """Input of each word, a few thousand words at a time."""
+    result = np.empty((len(word), 2 * EMBEDDING), np.float32)
+    result[:, :EMBEDDING] = model["words"][word]
+    for at in range(0, len(word), 8192):
+        own = edges[at : at + 8193]
+        mean = sums(model["grams"][grams[own[0] : own[-1]]], own - own[0]) / np.maximum(np.diff(own), 1)[:, None]
+        result[at : at + 8192, EMBEDDING:] = mean
+    return result
 
 
 def windows_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,7 +170,7 @@ def taken(sequence: np.ndarray, first: np.ndarray, many: np.ndarray) -> tuple[np
     return sequence[np.where(mask, first[:, None] + step, first[:, None])], mask
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 0.01) -> dict:
+def fit(texts: list[str], labels: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.01) -> dict:
     """With one class or none, every score is the share of label 1 (a half without rows)."""
     chance = np.random.default_rng(5)
     model = start(chance)
@@ -190,6 +196,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 10, batch: int = 64,
         else:
             gates = embedded(model, word, grams, edges) @ model["input"] + model["shift"]
             logits = scores_of(model, gates, sequence, first, many)
+            del gates
             worst = np.zeros(len(texts), int)
             for i in usable.tolist():
                 worst[i] = firsts[i] + int(logits[firsts[i] : firsts[i + 1]].argmax())
