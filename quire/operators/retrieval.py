@@ -61,10 +61,13 @@ def hit_totals(scores: DataFrame) -> DataFrame:
     return scores.groupBy("query_id").agg(F.count("*").alias("total"))
 
 
-def scope_filter(scores: DataFrame, scopes: DataFrame, books: DataFrame, links: DataFrame) -> DataFrame:
-    """Keep hits inside the scope of their query: book list, category and tag, intersected.
+def scope_filter(
+    scores: DataFrame, scopes: DataFrame, books: DataFrame, links: DataFrame, chunks: DataFrame | None = None
+) -> DataFrame:
+    """Keep hits inside the scope of their query: book list, category, tag and chapter, intersected.
 
-    ``scopes(query_id, book_ids, category, tag_id)``; NULL leaves a dimension open, an empty list
+    ``scopes(query_id, book_ids, category, tag_id)``, and ``chapter_id`` if ``chunks(chunk_id,
+    chapter_id)`` are given; NULL leaves a dimension open, an empty list
     or intersection gives no hit.
     """
     scoped = scores.join(scopes, "query_id", "left").filter(
@@ -76,7 +79,13 @@ def scope_filter(scores: DataFrame, scopes: DataFrame, books: DataFrame, links:
     )
     linked = links.select("book_id", "tag_id").distinct().withColumn("linked", F.lit(True))
     tagged = in_category.join(linked, ["book_id", "tag_id"], "left")
-    return tagged.filter(F.col("tag_id").isNull() | F.col("linked")).select(*scores.columns)
+    kept = tagged.filter(F.col("tag_id").isNull() | F.col("linked"))
+    if chunks is not None and "chapter_id" in scopes.columns:
+        # Only hits of queries with a chapter look up theirs.
+        own = chunks.select("chunk_id", F.col("chapter_id").alias("own_chapter"))
+        within = kept.filter("chapter_id IS NOT NULL").join(own, "chunk_id").filter("own_chapter = chapter_id")
+        kept = kept.filter("chapter_id IS NULL").select(*scores.columns).unionByName(within.select(*scores.columns))
+    return kept.select(*scores.columns)
 
 
 def snippet(tokens: Column, wanted: Column, width: int = 12) -> Column:
@@ -397,7 +406,7 @@ def retrieve(
     read them; the corpus is scored once.
     """
     ranked = ["query_id", "chunk_id", "rank"]
-    keep = None if scopes is None else lambda hits: scope_filter(hits, scopes, books, links)
+    keep = None if scopes is None else lambda hits: scope_filter(hits, scopes, books, links, chunks)
     scores = bm25_scores(queries, index)
     full_text = checkpointed(top_k(keep(scores) if keep else scores, 2 * k).select(*ranked))
     primary = [full_text] if vector_hits is None else [checkpointed(vector_hits.select(*ranked)), full_text]

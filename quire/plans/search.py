@@ -11,7 +11,7 @@ from quire.operators import answers as A
 from quire.operators import graph, index, retrieval
 from quire.plans import enrichment
 from quire.plans import twin as S
-from quire.session import checkpointed, fresh_path
+from quire.session import checkpointed, fresh_path, written
 from quire.sources import model as M
 from quire.sources import store
 
@@ -48,9 +48,11 @@ def _scoped(spark: SparkSession, d: str) -> DataFrame:
         F.when(q % 4 == 1, F.sequence(q * 3, q * 3 + 40)).when(q % 4 == 3, F.sequence(q, q + 400)).alias("book_ids"),
         F.when(q % 4 >= 2, "en").alias("category"),
         F.when(q % 8 == 4, F.lit(2).cast("bigint")).alias("tag_id"),
+        F.when(q % 8 == 0, q * 1000).alias("chapter_id"),
     )
+    scores = written(_scores(spark, d), "scores")
     kept = retrieval.scope_filter(
-        _scores(spark, d), scopes, M.books(spark, d), enrichment.library_links(spark, d)
+        scores, scopes, M.books(spark, d), enrichment.library_links(spark, d), M.chunks(spark, d)
     )
     return retrieval.top_k(kept, P.TOP_K)
 
@@ -306,8 +308,8 @@ ORACLE = {
       JOIN books b ON c.book_id = b.book_id LEFT JOIN chapters h ON c.chapter_id = h.chapter_id JOIN totals USING (query_id)""",
     "inverted_index_build": f"WITH {_INDEXED} SELECT chunk_id, book_id, token, tf, dl FROM postings",
     "search_scope_filters": f"""WITH {_SCORED}, tags AS (SELECT name, row_number() OVER (ORDER BY name) AS tag_id FROM (SELECT DISTINCT lang AS name FROM documents)),
-      kept AS (SELECT s.* FROM scores s JOIN documents d ON s.book_id = d.doc_id
-        WHERE (query_id % 4 <> 1 OR book_id BETWEEN query_id * 3 AND query_id * 3 + 40) AND (query_id % 4 <> 3 OR book_id BETWEEN query_id AND query_id + 400)
+      kept AS (SELECT s.* FROM scores s JOIN documents d ON s.book_id = d.doc_id JOIN (SELECT chunk_id, chapter_id FROM chunks) c ON s.chunk_id = c.chunk_id
+        WHERE (query_id % 8 <> 0 OR c.chapter_id = query_id * 1000) AND (query_id % 4 <> 1 OR book_id BETWEEN query_id * 3 AND query_id * 3 + 40) AND (query_id % 4 <> 3 OR book_id BETWEEN query_id AND query_id + 400)
           AND (query_id % 4 < 2 OR lang = 'en') AND (query_id % 8 <> 4 OR (lang IN (SELECT name FROM tags WHERE tag_id = 2) AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)))),
       {_top('kept', 5, 'best')} SELECT query_id, chunk_id, book_id, score, rank FROM best""",
     "highlighted_snippet": f"""WITH {_TOP5}, shown AS (SELECT t.query_id, t.chunk_id, regexp_extract_all(content, {S.q(P.WORD)}) AS toks,

@@ -49,7 +49,11 @@ def test_stored_index_is_the_same(spark, library, rows):
     stored = store.rebuild_index(chunks, fresh_path(spark, "test-index"), 3)
     direct = index.build_index(chunks)
     for name in ("postings", "frequency", "stats"):
-        assert rows(getattr(stored, name)) == rows(getattr(direct, name))
+        expected = getattr(direct, name)
+        assert rows(getattr(stored, name).select(expected.columns)) == rows(expected)
+    wanted = spark.createDataFrame([("section",)], "token string")
+    found = stored.of_tokens(wanted)
+    assert rows(found.filter("token = 'section'").select(direct.postings.columns)) == rows(direct.postings.filter("token = 'section'"))
 
 
 def test_ties_and_pages(spark, library):
@@ -72,6 +76,10 @@ def test_scopes(spark, library, rows):
     for query, book in rows(kept.select("query_id", "book_id").distinct()):
         seen.setdefault(query, set()).add(book)
     assert seen == {0: {1, 2}, 1: {1}, 2: {2}, 4: {2}}
+    one = chunks.filter("chapter_id IS NOT NULL").select("chapter_id").orderBy("chapter_id").first().chapter_id
+    in_chapter = retrieval.scope_filter(scores, scopes.withColumn("chapter_id", F.when(F.col("query_id") == 0, one)), books, links, chunks)
+    found = in_chapter.filter("query_id = 0").join(chunks, "chunk_id").select("chapter_id").distinct().collect()
+    assert {r.chapter_id for r in found} <= {one} and in_chapter.filter("query_id = 1").count() == kept.filter("query_id = 1").count()
 
 
 @pytest.mark.parametrize(
