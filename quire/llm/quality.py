@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors.
 
-A document is the set of its n-grams: character trigrams and single words and word pairs, hashed to
-``BUCKETS``. Each indicator is scaled by the log-count ratio of its bucket between the two classes, the
+A document is the set of its n-grams: character trigrams, single words, word pairs, and runs of one
+word said two, three or four times, hashed to ``BUCKETS``. Each indicator is scaled by the log-count ratio of its bucket between the two classes, the
 vector is brought to the length of the root of its size, and a linear hinge-loss model is fitted by
 dual coordinate descent. The model is one array of ``BUCKETS`` weights, whatever the corpus.
 
@@ -24,6 +24,8 @@ from quire.session import ship_with_tasks
 BUCKETS = 1 << 18
 #: Labelled rows per class that the model is fitted on, at most.
 SAMPLE = 4000
+#: Rows that an n-gram must stand in to count.
+LEAST = 20
 
 
 def held_out(doc_id) -> object:
@@ -53,7 +55,14 @@ def features(data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> list[np.n
     three = (mixed(three + np.uint64(1)) >> shift).astype(np.int32)
     packed, starts, ends, first = words_of(data, offsets)
     words = hasher.spans(packed, starts, ends)
+    # Of longer n-grams only those of one word, whatever it is: said two, three or four times in a row.
     pairs = (mixed(words[:-1] * np.uint64(3) + words[1:]) >> shift).astype(np.int32)
+    again = words[:-1] == words[1:]
+    edge = first[(first > 0) & (first < len(words))]
+    again[edge - 1] = False
+    for times in range(2, 5):
+        pairs[len(pairs) - len(again) :][again] = times
+        again = again[1:] & again[:-1]
     words = (words >> shift).astype(np.int32)
     seen = np.zeros(BUCKETS, bool)
     result = []
@@ -67,7 +76,7 @@ def features(data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> list[np.n
     return result
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 12, cost: float = 1.0, mix: float = 0.25) -> dict:
+def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 12, cost: float = 1.0, mix: float = 0.25, least: int = LEAST) -> dict:
     """Weights per bucket, and what turns a margin into a probability.
 
     One row in five only calibrates. With one class or none, the score is the share of label 1
@@ -80,8 +89,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 12, cost: floa
     counts = np.ones((2, BUCKETS))
     for i in learn:
         counts[labels[i], rows[i]] += 1
+    known = counts.sum(axis=0) - 2 >= min(least, len(learn) // 10)
     counts /= counts.sum(axis=1, keepdims=True)
-    ratio = np.log(counts[1] / counts[0])
+    ratio = np.where(known, np.log(counts[1] / counts[0]), 0)
     x = [ratio[r] / max(len(r), 1) ** 0.5 for r in rows]
     y = np.where(labels == 1, 1.0, -1.0)
     # Both classes weigh the same.

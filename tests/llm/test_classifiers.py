@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from quire.llm import quality, toxicity
+from quire.llm.common import Hasher
 
 from .fixtures import documents, prose
 
@@ -109,3 +110,15 @@ def test_coordinate_descent_separates():
     margin = [model["weights"][r].sum() / 2**0.5 + model["bias"] for r in rows[:2]]
     p = [1 / (1 + np.exp(-(model["slope"] * m + model["shift"]))) for m in margin]
     assert p[0] > 0.5 > p[1]
+
+
+def test_features_do_not_depend_on_neighbours():
+    texts = ["", "so so", "so so so", "x", "so", " ", "so so so so so"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    together = quality.features(data, offsets, Hasher())
+    for t, own in zip(texts, together, strict=True):
+        alone = quality.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), Hasher())[0]
+        assert own.tolist() == alone.tolist()
+    assert [2 in x.tolist() for x in together] == [False, True, True, False, False, False, True]
+    assert [4 in x.tolist() for x in together] == [False] * 6 + [True]
