@@ -204,4 +204,21 @@ def digests(formatted: DataFrame) -> DataFrame:
     return formatted.select("tree_id", "formatted", "loss").mapInArrow(_read_back, columns)
 
 
+def twin(extra: str) -> str:
+    """The digests in SQL, for ``conversations`` and the rows ``extra`` (a list of VALUES)."""
+    marks = len(OPEN) + len(CLOSE) + 2
+    role = r"replace(replace(who, '\', '\\'), chr(10), '\n')"
+    more = r"len(regexp_extract_all({0}, '<\\*\|'))"
+    order = "'' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST"
+    learnt = f"coalesce(string_agg(said, {order}) FILTER (role = 'assistant'), '')"
+    return f"""
+WITH t AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES {extra}),
+s AS (SELECT conv_id, turn, text, role, coalesce(text, '') AS said, coalesce(role, '') AS who FROM t),
+l AS (SELECT *, {marks} + length({role}) + {more.format("who")} + length(said) + {more.format("said")} AS chars FROM s)
+SELECT conv_id, count(*)::bigint AS n_turns,
+  sha256(string_agg(who || chr(10) || said || chr(10), {order})) AS turns_sha256,
+  length({learnt})::bigint AS loss_chars, sha256({learnt}) AS loss_sha256, sum(chars)::bigint AS formatted_chars
+FROM l GROUP BY conv_id"""
+
+
 ship_with_tasks(__name__)

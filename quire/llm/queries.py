@@ -82,4 +82,8 @@ QUERIES = {
         op10_quality,
     )
 }
-ORACLE = {"op7_license_scan": licenses.twin()}
+ORACLE = {
+    "op1_chat_formatting": chat.twin(f"(-1, 0, 'user', '{CONTROL}'), (-1, 1, 'assistant', '{CONTROL}')"),
+    "op2_substring_dedup": substring.twin(),
+    "op7_license_scan": licenses.twin(),
+}

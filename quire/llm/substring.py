@@ -289,5 +289,19 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(_keep, "doc_id long, n_words long, n_removed long, kept binary")
 
 
+def twin() -> str:
+    """The result in SQL: every window as a list of words, grouped."""
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(len(w) - {WINDOW - 1})) AS pos FROM d),
+k AS (SELECT doc_id, pos, w[pos + 1:pos + {WINDOW}] AS own FROM i),
+m AS (SELECT own, min(doc_id) AS least FROM k GROUP BY own),
+gone AS (SELECT DISTINCT doc_id, pos + unnest(range({WINDOW})) AS pos FROM k JOIN m USING (own) WHERE least < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::bigint AS n_words, (len(w) - coalesce(n, 0))::bigint AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
+
 assert SPACES.split() == []
 ship_with_tasks(__name__)
