@@ -22,7 +22,7 @@ _NAMES = "token|secret|passwd|password|pwd|apikey|api_key|api-key|credential"
 #: What is looked at: a run of key characters with a digit, or a value assigned to a telling name.
 CANDIDATE = (
     rf"(?<!{_KEY})(?=[A-Za-z+/_\-]*[0-9]){_KEY}{{16,}}={{0,2}}"
-    rf"|(?<=[=:\s\"'])(?<=(?i:{_NAMES})\s{{0,2}}[=:]\s{{0,2}}[\"']?)[^\s\"']{{8,}}"
+    rf"|(?<=[=:\s\"'])(?<=[=:]\s{{0,2}}[\"']?)(?<=(?i:{_NAMES})\s{{0,2}}[=:]\s{{0,2}}[\"']?)[^\s\"']{{8,}}"
 )
 #: Characters before and after a candidate that count as its neighbourhood.
 NEAR = 40
