@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import BLOCK, slices, stored, utf8, words_of
+from quire.llm.common import BLOCK, slices, stored, tidied, utf8, words_of
 from quire.llm.components import components
 from quire.session import ship_with_tasks
 
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3) -> D
 
     names = [c for c in docs.columns if c not in (text_col, "fingerprint")]
     out = T.StructType([*docs.select(names).schema.fields, T.StructField("fingerprint", T.LongType())])
-    return docs.select(*names, text_col).mapInArrow(_fingerprint(names, text_col, shingle, to_arrow_schema(out)), out)
+    return docs.select(*names, text_col).mapInArrow(tidied(_fingerprint(names, text_col, shingle, to_arrow_schema(out))), out)
 
 
 def variants(radius: int, bits: int = 64) -> list[int]:
@@ -90,8 +90,12 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     only, so its list is bounded by the number of variants.
     """
     masks = F.array(*[F.lit(m).cast("long") for m in variants((radius + 1) // 2)])
+    # Few bytes become many rows: they are spread first, by number and not by size.
+    partitions = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = (
-        distinct.select("fingerprint", F.explode(masks).alias("mask"))
+        distinct.select("fingerprint")
+        .repartition(partitions, "fingerprint")
+        .select("fingerprint", F.explode(masks).alias("mask"))
         .select(F.col("fingerprint").bitwiseXOR(F.col("mask")).alias("variant"), "fingerprint")
         .groupBy("variant")
         .agg(F.array_sort(F.collect_set("fingerprint")).alias("near"))
