@@ -38,10 +38,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with ``token_ids``, and whether their text can be read back from them."""
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.decode(bpe.encode(docs, path), path, bytes_col="__decoded")
-    same = F.col("__decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return coded.select(*docs.columns, "token_ids", same.alias("round_trip"))
+    return bpe.encode_and_check(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [

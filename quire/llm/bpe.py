@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quire.llm.common import Numbers, slices, utf8
+from quire.llm.common import Numbers, slices, tidied, utf8
 from quire.session import ship_with_tasks
 
 #: Distinct chunks that a task remembers before it starts anew; bounds its memory.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 #: Bytes of text whose new chunks are encoded together.
-LEARNT = 12 << 20
+LEARNT = 8 << 20
 #: Bytes of text whose ids are put together at a time.
 BATCH = 4 << 20
 
@@ -261,7 +261,7 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     docs = docs.drop(ids_col)
     shared = spark.sparkContext.broadcast(vars(Ranks.of(read_ranks(path))))
     out = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
-    return docs.mapInArrow(_mapper(shared, pattern, text_col, docs.columns, to_arrow_schema(out)), out)
+    return docs.mapInArrow(tidied(_mapper(shared, pattern, text_col, docs.columns, to_arrow_schema(out))), out)
 
 
 def _decoder(tokens, names: list[str], ids_col: str, schema: pa.Schema):
@@ -283,7 +283,36 @@ def decode(docs: DataFrame, path: str, ids_col: str = "token_ids", bytes_col: st
     docs = docs.drop(bytes_col)
     shared = spark.sparkContext.broadcast({i: t for t, i in read_ranks(path).items()})
     out = T.StructType([*docs.schema.fields, T.StructField(bytes_col, T.BinaryType())])
-    return docs.mapInArrow(_decoder(shared, docs.columns, ids_col, to_arrow_schema(out)), out)
+    return docs.mapInArrow(tidied(_decoder(shared, docs.columns, ids_col, to_arrow_schema(out))), out)
+
+
+def _checker(tokens, text_col: str, ids_col: str, names: list[str], schema: pa.Schema):
+    def run(batches):
+        get = tokens.value.__getitem__
+        for batch in batches:
+            for row in range(0, len(batch), 256):
+                part = batch.slice(row, 256)
+                texts, ids = part.column(text_col).to_pylist(), part.column(ids_col).to_pylist()
+                same = [b"".join(map(get, x)) == (t or "").encode("utf-8", "surrogatepass") for t, x in zip(texts, ids, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(same, pa.bool_())], schema=schema)
+
+    return run
+
+
+def encode_and_check(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """``docs`` with ``token_ids`` of ``text``, and ``round_trip``: whether they decode to it again.
+
+    Both are one Python step, so that a task has one worker.
+    """
+    docs = docs.drop("token_ids", "round_trip")
+    ranks = read_ranks(path)
+    context = docs.sparkSession.sparkContext
+    tables, tokens = context.broadcast(vars(Ranks.of(ranks))), context.broadcast({i: t for t, i in ranks.items()})
+    coded = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType(), False))])
+    out = T.StructType([*coded.fields, T.StructField("round_trip", T.BooleanType())])
+    encoded = _mapper(tables, pattern, "text", docs.columns, to_arrow_schema(coded))
+    checked = _checker(tokens, "text", "token_ids", coded.names, to_arrow_schema(out))
+    return docs.mapInArrow(tidied(lambda batches: checked(encoded(batches))), out)
 
 
 def _digest(ids, decoded):
@@ -319,7 +348,7 @@ def digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN
     decoded = _decoder(tokens, ["doc_id", "token_ids"], "token_ids", kind.append(pa.field("decoded", pa.binary())))
     digest = _digest("token_ids", "decoded")
     columns = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: digest(decoded(encoded(batches))), columns)
+    return docs.select("doc_id", "text").mapInArrow(tidied(lambda batches: digest(decoded(encoded(batches)))), columns)
 
 
 ship_with_tasks(__name__)

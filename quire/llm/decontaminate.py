@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quire.llm.common import slices, utf8
+from quire.llm.common import slices, tidied, utf8
 from quire.session import ship_with_tasks
 
 #: Length of a q-gram in characters.
@@ -202,7 +202,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, rate: float = EDITS, text_col:
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         index = index_of([(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect()], rate)
         shared = docs.sparkSession.sparkContext.broadcast(index)
-        result = result.mapInArrow(_marker(shared, names, text_col, hits_col, to_arrow_schema(out), block == 0), out)
+        result = result.mapInArrow(tidied(_marker(shared, names, text_col, hits_col, to_arrow_schema(out), block == 0)), out)
     return result
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quire.llm.common import BLOCK, Hasher, mixed, slices, utf8, words_of
+from quire.llm.common import BLOCK, Hasher, mixed, slices, tidied, utf8, words_of
 from quire.session import ship_with_tasks
 
 BUCKETS = 1 << 18
@@ -92,7 +92,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 12, cost: floa
     known = counts.sum(axis=0) - 2 >= min(least, len(learn) // 10)
     counts /= counts.sum(axis=1, keepdims=True)
     ratio = np.where(known, np.log(counts[1] / counts[0]), 0)
-    x = [ratio[r] / max(len(r), 1) ** 0.5 for r in rows]
+    x = [(ratio[r] / max(len(r), 1) ** 0.5).astype(np.float32) for r in rows]
     y = np.where(labels == 1, 1.0, -1.0)
     # Both classes weigh the same.
     upper = cost * len(learn) / 2 / np.array([(labels[learn] == c).sum() for c in (0, 1)])[labels]
@@ -135,7 +135,7 @@ def _featured(batches):
     hasher = Hasher()
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
-        for a, b in slices(offsets, BLOCK):
+        for a, b in slices(offsets, BLOCK // 2):
             own = [x.astype("<i4").tobytes() for x in features(data, offsets[a : b + 1], hasher)]
             part = batch.slice(a, b - a)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(own, pa.binary())], names=["doc_id", "label", "buckets"])
@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     rows = (
         docs.select("doc_id", "text")
         .join(F.broadcast(training_rows(labels, label, sample)), "doc_id")
-        .mapInArrow(_featured, "doc_id long, label int, buckets binary")
+        .mapInArrow(tidied(_featured), "doc_id long, label int, buckets binary")
         .groupBy("doc_id", "label")
         .agg(F.min("buckets").alias("buckets"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -161,7 +161,7 @@ def _scorer(model, names: list[str], text_col: str, schema: pa.Schema):
         for batch in batches:
             data, offsets = utf8(batch.column(text_col))
             scores = []
-            for a, b in slices(offsets, BLOCK):
+            for a, b in slices(offsets, BLOCK // 2):
                 scores += [float(m["weights"][x].sum(dtype=np.float64)) / max(len(x), 1) ** 0.5 for x in features(data, offsets[a : b + 1], hasher)]
             margin = np.array(scores, float) + m["bias"]
             p = 1 / (1 + np.exp(-np.clip(m["slope"] * margin + m["shift"], -30, 30)))
@@ -175,7 +175,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", score_col: str =
     docs = docs.drop(score_col)
     out = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_scorer(shared, docs.columns, text_col, to_arrow_schema(out)), out)
+    return docs.mapInArrow(tidied(_scorer(shared, docs.columns, text_col, to_arrow_schema(out))), out)
 
 
 ship_with_tasks(__name__)
