@@ -114,34 +114,48 @@ def candidates(points: np.ndarray, index: dict) -> tuple[np.ndarray, np.ndarray]
     return item[reached], band[reached]
 
 
-def aligned(points: np.ndarray, form: np.ndarray, edits: int, bands: np.ndarray, shift: int):
+def aligned(points: np.ndarray, form: np.ndarray, edits: int, bands: np.ndarray, shift: int, first=0, last=None):
     """Least edits of ``form`` against any piece of the text, in each band; where that piece is.
 
-    Row by row of the item, for all bands at once. A cell is a diagonal of the band; gaps in the item
-    are taken by a running minimum along the row.
+    A piece of a band lies between its ``first`` and ``last`` letter. Row by row of the item, for all bands
+    at once. A cell is a diagonal of the band; gaps in the item are taken by a running minimum along the row.
     """
     width = 2 * (edits + 1)
     low = bands * (edits + 1) - shift
     cell = np.arange(width)
     text = np.concatenate((points, [0]))
+    first = np.broadcast_to(first, len(bands))[:, None]
+    last = np.broadcast_to(len(points) if last is None else last, len(bands))[:, None]
     # Edits and begin of the piece in one number, so that a minimum takes both along.
     unit = np.int64(1) << 40
+    wall = (edits + 1) * unit
     column = low[:, None] + cell
-    inside = (column >= 0) & (column <= len(points))
-    state = np.where(inside, np.clip(column, 0, unit - 1), 1000 * unit)
+    state = np.where((column >= first) & (column <= last), np.clip(column, 0, unit - 1), wall)
     for i, letter in enumerate(form.tolist()):
         at = column + i  # the text letter that this row takes on its diagonal
-        real = (at >= 0) & (at < len(points))
+        real = (at >= first) & (at < last)
         same = text[np.where(real, at, len(points))] == letter
-        take = np.where(real, state + np.where(same, 0, unit), 1000 * unit)
-        leave = np.concatenate((state[:, 1:], np.full((len(bands), 1), 1000 * unit)), axis=1) + unit
-        state = np.minimum(take, leave)
-        state = np.minimum.accumulate(state - cell * unit, axis=1) + cell * unit
+        take = np.where(real, state + np.where(same, 0, unit), wall)
+        leave = np.concatenate((state[:, 1:], np.full((len(bands), 1), wall)), axis=1) + unit
+        state = np.minimum.accumulate(np.minimum(take, leave) - cell * unit, axis=1) + cell * unit
+        state = np.where(at < last, state, leave)  # nothing behind the last letter is taken
     best = state.argmin(axis=1)
     value = state[np.arange(len(bands)), best]
     return value // unit, value % unit, low + best + len(form)
 
 
+def placed(bands: np.ndarray, size: int, edits: int, shift: int, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bands, and texts of which a band covers enough letters for an item of ``size``."""
+    # Texts that are too short are left out first, so a band meets few of the others.
+    long = np.flatnonzero(ends - starts >= size - edits)
+    low = bands * (edits + 1) - shift
+    high = low + 2 * (edits + 1) - 1 + size
+    begin = np.searchsorted(ends[long], low + size - edits)
+    many = np.maximum(np.searchsorted(starts[long], high - size + edits, "right") - begin, 0)
+    pair = np.repeat(begin, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return np.repeat(bands, many), long[pair]
+
+
 def found(texts: list[str], index: dict) -> list[list[dict]]:
     """For each text, the items it holds: the place of fewest edits, the first of equals."""
     result: list[list[dict]] = [[] for _ in texts]
@@ -151,17 +165,19 @@ def found(texts: list[str], index: dict) -> list[list[dict]]:
     whole = "\0".join(t.replace("\0", " ") for t in texts) + "\0"
     points, place = normal(whole, index["kept"])
     ends = np.flatnonzero(points == 0)
+    starts = np.concatenate(([0], ends[:-1] + 1))
     item, band = candidates(points, index)
     best: dict[tuple[int, int], tuple] = {}
     for number in np.unique(item).tolist():
         form, edits = index["forms"][number], int(index["edits"][number])
         bands = band[item == number]
-        for part in np.array_split(bands, len(bands) // 2048 + 1):
-            for e, begin, end in zip(*(x.tolist() for x in aligned(points, form, edits, part, index["longest"])), strict=True):
+        bands, owner = placed(bands, len(form), edits, index["longest"], starts, ends)
+        for part in np.array_split(np.arange(len(bands)), len(bands) // 2048 + 1):
+            texts_of = owner[part]
+            where = aligned(points, form, edits, bands[part], index["longest"], starts[texts_of], ends[texts_of])
+            for text, e, begin, end in zip(texts_of.tolist(), *(x.tolist() for x in where), strict=True):
                 if e <= edits:
-                    text = int(np.searchsorted(ends, begin))
-                    if text < len(texts) and end <= ends[text]:
-                        best[text, number] = min(best.get((text, number), (e, begin, end)), (e, begin, end))
+                    best[text, number] = min(best.get((text, number), (e, begin, end)), (e, begin, end))
     for (text, number), (e, begin, end) in best.items():
         base = int(place[ends[text - 1]]) + 1 if text else 0
         result[text].append({"item_id": index["ids"][number], "start": int(place[begin]) - base, "end": int(place[end - 1]) + 1 - base, "edits": int(e)})

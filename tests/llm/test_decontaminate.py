@@ -88,3 +88,20 @@ def test_bands_cover_every_diagonal():
     points = np.frombuffer(("x" * 7 + "abcdefghij" * 8).encode("utf-32-le"), np.uint32)
     item, band = D.candidates(points, index)
     assert len(item) and min(D.aligned(points, index["forms"][0], int(index["edits"][0]), band, index["longest"])[0]) == 0
+
+
+def test_items_cut_at_the_edges_of_a_text():
+    chance = random.Random(8)
+    item = "".join(chance.choice("abcdefgh ") for _ in range(90)).strip()
+    index = D.index_of([(1, item)], D.EDITS)
+    form = "".join(map(chr, index["forms"][0]))
+    k = int(index["edits"][0])
+    other = ["", "zz zz " * 30, "q", form[-12:] + " zz", "zz " + form[:12]]
+    cut = [x for n in range(1, k + 1) for x in (form[n:], form[:-n], form[n:] + " zz zz", "zz zz " + form[:-n])]
+    cut += [form[k + 2 :], form[: -k - 2]]
+    texts = [x for i, c in enumerate(cut) for x in (other[i % 5], c, other[(i * 3 + 1) % 5])] + ["zz"]
+    for mine in (texts, cut):
+        for text, hits in zip(mine, D.found(mine, index), strict=True):
+            true = edits(form, "".join(map(chr, D.normal(text, index["kept"])[0])))
+            assert [h["edits"] for h in hits] == ([true] if true <= k else [])
+            assert all(0 <= h["start"] < h["end"] <= len(text) for h in hits)
