@@ -5,6 +5,7 @@ is within ``k`` edits of an item of ``m`` characters shares at least ``m - q + 1
 on ``k + 1`` neighbouring diagonals (place in the text less place in the item). Diagonals are cut into
 bands of ``2 * (k + 1)`` that overlap by half, so such a place lies in one band. Shared q-grams are counted
 per item and band; bands that reach the bound are verified by an alignment confined to the band.
+Short items must stand in a text word for word: runs of as many words are looked up by their hash.
 
 Items are the side that is broadcast, in blocks of at most ``ITEM_CHARS`` characters; documents stay where
 they are, and every block sees every whole text.
@@ -19,14 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quire.llm.common import slices, tidied, utf8
+from quire.llm.common import Hasher, slices, tidied, utf8
 from quire.session import ship_with_tasks
 
 #: Length of a q-gram in characters.
 GRAM = 8
 #: Edits allowed for each character of an item.
 EDITS = 0.1
-#: Shorter items (after normalization) name nothing: they are found in innocent texts.
+#: Shorter items (after normalization) must be held word for word: innocent texts come near them.
 SHORTEST = 40
 #: Characters of items that are broadcast at a time.
 ITEM_CHARS = 8 << 20
@@ -35,6 +36,9 @@ PART = 1 << 20
 #: Bits of the first look-up.
 SIEVE = 22
 
+#: Code points of scripts that put no space between words; each is a word of its own.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
 HITS = "array<struct<item_id:bigint,start:bigint,end:bigint,edits:int>>"
 
 
@@ -65,16 +69,43 @@ def grams(points: np.ndarray, size: int = GRAM) -> np.ndarray:
     return total ^ (total >> np.uint32(13))
 
 
-def index_of(items: list[tuple[int, str]], rate: float) -> dict:
-    """Items in normal form, with a q-gram index: sorted hashes and their (item, place) lists."""
+def words_in(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a normal form begins and ends."""
+    letter = (points != 32) & (points != 0)
+    alone = np.zeros(len(points), bool)
+    for low, high in UNSPACED:
+        alone |= (points >= low) & (points <= high)
+    edge = np.ones(len(points) + 1, bool)
+    edge[1:-1] = ~letter[:-1] | ~letter[1:] | alone[:-1] | alone[1:]
+    return np.flatnonzero(letter & edge[:-1]), np.flatnonzero(letter & edge[1:]) + 1
+
+
+def runs_of(forms: list[np.ndarray]) -> dict[int, tuple[np.ndarray, list[np.ndarray], list[list[int]]]]:
+    """Short forms by their number of words: sorted hashes, the forms, and the numbers of each one's items."""
+    numbers: dict[bytes, list[int]] = {}
+    for number, form in enumerate(forms):
+        numbers.setdefault(form.tobytes(), []).append(number)
+    hasher, by = Hasher(), {}
+    for key, own in numbers.items():
+        form = np.frombuffer(key, np.uint32)
+        value = hasher.spans(form, np.array([0]), np.array([len(form)]))[0]
+        by.setdefault(len(words_in(form)[0]), []).append((value, form, own))
+    return {n: (np.array([x[0] for x in own], np.uint64), [x[1] for x in own], [x[2] for x in own]) for n, own in ((n, sorted(x, key=lambda y: y[0])) for n, x in by.items())}
+
+
+def index_of(items: list[tuple[int, str]], rate: float, shortest: int = 1) -> dict:
+    """Items in normal form, with a q-gram index: sorted hashes and their (item, place) lists; short items apart."""
     kept = letters()
-    ids, forms = [], []
+    ids, forms, short_ids, short = [], [], [], []
     for item_id, text in items:
         form = normal((text or "").replace("\0", " "), kept)[0]
         form = form[:-1] if len(form) and form[-1] == 32 else form
         if len(form) >= SHORTEST:
             ids.append(item_id)
             forms.append(form)
+        elif len(form) >= max(shortest, 1):
+            short_ids.append(item_id)
+            short.append(form)
     size = np.array([len(f) for f in forms], np.int64)
     # As many edits as the lemma still bounds by one shared q-gram.
     edits = np.minimum((size * rate + 1e-9).astype(np.int64), (size - GRAM) // GRAM)
@@ -87,7 +118,7 @@ def index_of(items: list[tuple[int, str]], rate: float) -> dict:
     sieve = np.zeros(1 << SIEVE, bool)
     sieve[values >> np.uint32(32 - SIEVE)] = True
     return {
-        "kept": kept, "ids": ids, "forms": forms, "size": size, "edits": edits,
+        "kept": kept, "ids": ids + short_ids, "runs": runs_of(short), "forms": forms, "size": size, "edits": edits,
         "bound": size - GRAM + 1 - edits * GRAM, "values": values, "first": np.append(first, len(key)),
         "item": item[order], "place": place[order], "sieve": sieve, "longest": int(size.max()) if forms else 0,
     }
@@ -156,6 +187,27 @@ def placed(bands: np.ndarray, size: int, edits: int, shift: int, starts: np.ndar
     return np.repeat(bands, many), long[pair]
 
 
+def exact(points: np.ndarray, runs: dict, ends: np.ndarray):
+    """Text, item, begin and end of each text's first copy of a short item; items are numbered from 0."""
+    if not runs:
+        return
+    hasher, (starts, stops) = Hasher(), words_in(points)
+    for words, (values, forms, numbers) in runs.items():
+        begin = starts[: max(len(starts) - words + 1, 0)]
+        hashes = hasher.spans(points, begin, stops[words - 1 :])
+        row = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
+        same = np.flatnonzero(values[row] == hashes)
+        same = same[np.argsort(row[same], kind="stable")]
+        for part in np.split(same, np.flatnonzero(np.diff(row[same])) + 1) if len(same) else []:
+            # Forms of one hash stand side by side.
+            for k in range(int(row[part[0]]), int(np.searchsorted(values, hashes[part[0]], "right"))):
+                at = begin[part][begin[part] + len(forms[k]) <= len(points)]
+                at = at[(points[at[:, None] + np.arange(len(forms[k]))] == forms[k]).all(axis=1)]
+                text, head = np.unique(np.searchsorted(ends, at), return_index=True)
+                for own, low in zip(text.tolist(), at[head].tolist(), strict=True):
+                    yield from ((own, number, low, low + len(forms[k])) for number in numbers[k])
+
+
 def found(texts: list[str], index: dict) -> list[list[dict]]:
     """For each text, the items it holds: the place of fewest edits, the first of equals."""
     result: list[list[dict]] = [[] for _ in texts]
@@ -178,6 +230,8 @@ def found(texts: list[str], index: dict) -> list[list[dict]]:
             for text, e, begin, end in zip(texts_of.tolist(), *(x.tolist() for x in where), strict=True):
                 if e <= edits:
                     best[text, number] = min(best.get((text, number), (e, begin, end)), (e, begin, end))
+    for text, number, begin, end in exact(points, index["runs"], ends):
+        best[text, len(index["forms"]) + number] = (0, begin, end)
     for (text, number), (e, begin, end) in best.items():
         base = int(place[ends[text - 1]]) + 1 if text else 0
         result[text].append({"item_id": index["ids"][number], "start": int(place[begin]) - base, "end": int(place[end - 1]) + 1 - base, "edits": int(e)})
@@ -201,12 +255,13 @@ def _marker(index, names: list[str], text_col: str, hits_col: str, schema: pa.Sc
     return run
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, rate: float = EDITS, text_col: str = "text", hits_col: str = "contamination") -> DataFrame:
+def marked(docs: DataFrame, benchmark: DataFrame, rate: float = EDITS, text_col: str = "text", hits_col: str = "contamination", shortest: int = 1) -> DataFrame:
     """``docs`` with ``hits_col``: the items of ``benchmark(item_id, text)`` that a text holds.
 
     A hit has ``item_id``, ``start`` and ``end`` in code points of the lower-cased text, and ``edits``,
-    at most ``rate`` times the item's length. Null texts hold nothing; null and short items (below
-    ``SHORTEST``) are found nowhere; repeated items give a hit each. Rows are kept as they are.
+    at most ``rate`` times the item's length. Items below ``SHORTEST`` are held word for word, with whole
+    words at both edges; those below ``shortest`` letters are not looked for. Null texts hold nothing; null
+    items are found nowhere; repeated items give a hit each. Rows are kept as they are.
     """
     docs = docs.drop(hits_col)
     items = benchmark.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
@@ -216,7 +271,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, rate: float = EDITS, text_col:
     names, result = docs.columns, docs
     for block in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        index = index_of([(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect()], rate)
+        index = index_of([(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect()], rate, shortest)
         shared = docs.sparkSession.sparkContext.broadcast(index)
         result = result.mapInArrow(tidied(_marker(shared, names, text_col, hits_col, to_arrow_schema(out), block == 0)), out)
     return result

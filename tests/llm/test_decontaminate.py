@@ -105,3 +105,16 @@ def test_items_cut_at_the_edges_of_a_text():
             true = edits(form, "".join(map(chr, D.normal(text, index["kept"])[0])))
             assert [h["edits"] for h in hits] == ([true] if true <= k else [])
             assert all(0 <= h["start"] < h["end"] <= len(text) for h in hits)
+
+
+def test_short_items_are_held_word_for_word(spark):
+    items = [(1, "Name the largest moon."), (2, "two plus two"), (3, "Why?"), (4, "name the LARGEST moon"), (5, "月亮有多远"), (6, "..."), (7, "plus")]
+    texts = ["He said: name, the largest moon!", "rename the largest moon", "name the largest moons", "x two plus two plus two", "why", "whyever", "他问月亮有多远。", "name the", "largest moon", "name the largest mon"]
+    expected = [[1, 4], [], [], [2, 7], [3], [], [5], [], [], []]
+    assert [[h["item_id"] for h in hits] for hits in D.found(texts, D.index_of(items, D.EDITS))] == expected
+    assert [[h["item_id"] for h in hits] for hits in D.found(texts, D.index_of(items, D.EDITS, 8))] == [[1, 4], [], [], [2], [], [], [], [], [], []]
+    hit = D.found(["a", "- two  plus two, two plus two"], D.index_of(items[1:2], D.EDITS))[1]
+    assert hit == [{"item_id": 2, "start": 2, "end": 15, "edits": 0}]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = documents(spark, list(enumerate(texts)))
+    assert sorted(r.doc_id for r in D.decontaminated(docs, bench).collect()) == [k for k, e in enumerate(expected) if not e]
