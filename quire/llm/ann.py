@@ -3,7 +3,8 @@
 Centroids come from a bounded sample. Every vector is posted to its nearest centroid and, near a border,
 to others that are not much farther. Centroids are
 searched by a graph held in memory: from a few entry points, the best nodes of a beam are expanded by
-their neighbours. A query takes the lists whose centroid is not farther than a ratio of its nearest one's.
+their neighbours. A query takes the lists whose centroid is not farther than a ratio of its nearest one's,
+and as many more as hold enough vectors of the sample; one that finds too few then is searched exactly.
 Lists are cut into blocks of at most ``PER_BLOCK`` vectors, queries of a list likewise, and blocks meet in
 an equi-join on the list, so a list of any size is many small pieces of work.
 """
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.llm.common import stored
 from quire.session import ship_with_tasks
 
 #: Vectors that centroids are fitted on, at most; those whose id has the smallest hash.
@@ -107,24 +109,57 @@ def searched(graph: dict, x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndar
     return nodes[:, :found], np.sqrt(far[:, :found])
 
 
+def held(centres: np.ndarray, sample: np.ndarray) -> np.ndarray:
+    """For each centroid, how many of the sample are nearest to it: at least so many are posted to it."""
+    square = (centres**2).sum(axis=1)
+    near = [(square - 2 * part @ centres.T).argmin(axis=1) for part in np.array_split(sample, len(sample) // 2048 + 1)]
+    return np.bincount(np.concatenate(near), minlength=len(centres))
+
+
+def probed(graph: dict, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and list of each probe: lists by ratio, and along the ranked lists until they hold more than ``k`` vectors."""
+    centres, counts = graph["centres"], graph["held"]
+    lists, far = searched(graph, x, max(PROBES, len(centres) // 6))
+
+    def near(lists, far):
+        before = np.cumsum(counts[lists], axis=1) - counts[lists]
+        return np.nonzero(np.isfinite(far) & ((far <= far[:, :1] * RATIO) | (before <= k)))
+
+    row, place = near(lists, far)
+    chosen = lists[row, place]
+    short = np.flatnonzero(np.where(np.isfinite(far), counts[lists], 0).sum(axis=1) <= k)
+    if len(short):  # these rank all lists
+        own = np.sqrt(np.stack([((centres - v) ** 2).sum(axis=1) for v in x[short]]))
+        ranked = np.argsort(own, axis=1, kind="stable")
+        more, place = near(ranked, np.take_along_axis(own, ranked, axis=1))
+        rest = ~np.isin(row, short)
+        row, chosen = np.concatenate((row[rest], short[more])), np.concatenate((chosen[rest], ranked[more, place]))
+    return row, chosen
+
+
 def vectors_in(column: pa.Array) -> np.ndarray:
     width = len(column[0]) if len(column) else 0
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
-def _assign(shared, queries: bool):
+def _assign(shared, k: int | None = None):
+    """Posts vectors or, with ``k``, queries to lists."""
+
     def run(batches):
         graph = shared.value
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
                 x = vectors_in(part.column("v"))
-                lists, far = searched(graph, x, max(PROBES, len(graph["centres"]) // 6) if queries else REPLICAS)
-                limit = far[:, :1] * (RATIO if queries else BORDER)
-                keep = np.isfinite(far) & ((far <= limit) | (np.arange(far.shape[1]) == 0))
-                row, place = np.nonzero(keep)
+                if k is None:
+                    lists, far = searched(graph, x, REPLICAS)
+                    keep = np.isfinite(far) & ((far <= far[:, :1] * BORDER) | (np.arange(far.shape[1]) == 0))
+                    row, place = np.nonzero(keep)
+                    chosen = lists[row, place]
+                else:
+                    row, chosen = probed(graph, x, k)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lists[row, place].astype(np.int32)), part.column("vec_id").take(pa.array(row)), part.column("v").take(pa.array(row))],
+                    [pa.array(chosen.astype(np.int32)), part.column("vec_id").take(pa.array(row)), part.column("v").take(pa.array(row))],
                     names=["list", "vec_id", "v"],
                 )
 
@@ -193,11 +228,27 @@ def _meet(k: int):
     return run
 
 
+def best_of(met: DataFrame, k: int) -> DataFrame:
+    """``met(query_id, vec_id, score)`` as the ``k`` nearest ids of each query."""
+    one = met.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    rank = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return one.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def searched_exactly(usable: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest of all vectors: vectors are dealt to parts, and every part sees all queries."""
+    parts = int(usable.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = usable.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int").alias("list"), "vec_id", "v")
+    every = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("list"), "vec_id", "v")
+    wanted = blocks(every, 1).select("list", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
+    return best_of(blocks(dealt, 1).join(wanted, "list").mapInArrow(_meet(k), "query_id long, vec_id long, score double"), k)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` nearest of ``vectors(vec_id, embedding)`` to each of ``queries(vec_id, embedding)``.
 
     ``(query_id, rank, vec_id, score)``, score the Euclidean distance in double precision, ties to the
-    smaller id; a query never finds its own id, and each id at most once (its nearest row). Vectors
+    smaller id; fewer rows only if there are fewer ids; a query never finds its own id, and each id at most once (its nearest row). Vectors
     that are null, zero or not finite take no part, nor do those of another length than most have
     (ties: the shorter). A query id with several vectors has the smallest. Without any vector there is
     no row.
@@ -212,15 +263,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     sample = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]
     sample = np.array(sample.tolist(), np.float64)
     lists = int(max(1, min(rows // PER_LIST, len(sample) // 8)))
-    graph = spark.sparkContext.broadcast(graph_of(centroids_of(sample, lists)))
+    centres = centroids_of(sample, lists)
+    graph = spark.sparkContext.broadcast(graph_of(centres) | {"held": held(centres, sample)})
     kind = "list int, vec_id long, v array<double>"
     salt = max(1, int(rows * REPLICAS // max(lists, 1) // (PER_BLOCK * 8)))
-    posted = blocks(usable.mapInArrow(_assign(graph, False), kind), salt)
-    wanted = blocks(asked.mapInArrow(_assign(graph, True), kind), salt).select("list", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
+    posted = blocks(usable.mapInArrow(_assign(graph), kind), salt)
+    wanted = blocks(asked.mapInArrow(_assign(graph, k), kind), salt).select("list", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
     met = posted.join(wanted, "list").mapInArrow(_meet(k), "query_id long, vec_id long, score double")
-    one = met.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return one.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = stored(best_of(met, k), "nearest")
+    enough = found.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = stored(asked.join(enough, "vec_id", "left_anti"), "nearest-short")
+    if short.isEmpty():
+        return found
+    rest = searched_exactly(usable, short, k)
+    return found.join(enough.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(rest)
+
 
 
 ship_with_tasks(__name__)

@@ -54,3 +54,27 @@ def test_recall(spark):
     found = {(r.query_id, r.vec_id) for r in ann.nearest(data, data.filter("vec_id % 100 = 0"), 10).collect()}
     expected = {(q, i) for q, x in brute(rows, range(0, 4000, 100), 10).items() for _, i in x}
     assert len(found & expected) / len(expected) >= 0.9
+
+
+def test_outliers_and_copies_find_k(spark):
+    chance = np.random.default_rng(3)
+    vectors = chance.standard_normal((2000, 16))
+    vectors[100] *= 50
+    vectors[201:203] = vectors[200] = vectors[200] * 10
+    rows = [(k, v.tolist()) for k, v in enumerate(vectors)]
+    rows += [(300, [90.0] * 16)] * 400 + [(301, [-90.0] * 16)] * 3  # ids with lists of their own
+    data = table(spark, rows)
+    asked = table(spark, [r for r in rows if r[0] in (100, 200, 201, 202, 5)] + [rows[-1], rows[-4]])
+    for k in (10, 700):
+        found = {}
+        for r in ann.nearest(data, asked, k).collect():
+            found.setdefault(r.query_id, []).append((r["rank"], r.score, r.vec_id))
+        assert set(found) == {5, 100, 200, 201, 202, 300, 301}
+        for q, own in found.items():
+            assert [r for r, _, _ in sorted(own)] == list(range(1, k + 1))
+            assert len({i for _, _, i in own} - {q}) == k
+        assert {i for _, s, i in found[200] if s == 0} == {201, 202}
+    # No list near the copies of 300 holds another id: searched exactly.
+    true = brute([(i, v) for i, v in rows if i != 300] + [(300, [90.0] * 16)], [300], 10)[300]
+    got = sorted((r["rank"], r.score, r.vec_id) for r in ann.nearest(data, table(spark, [rows[-4]]), 10).collect())
+    assert [(s, i) for _, s, i in got] == true
