@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest; DataFrame expressions alone.
 
-A candidate is a long run of key characters with a digit in it, or what is assigned to a name like
-``token``. The forest looks at its length, its character classes and their transitions, how much of it
+A candidate is a long run of key characters with digits or both cases in it, what is assigned to a name
+like ``token``, or the password of a URL. The forest looks at its length, its character classes and their transitions, how much of it
 dictionary words cover, the path of its document and the words around it. It is trained by Spark's own
 library on labelled findings, a bounded table, and then written out as one column expression: the share
 of trees that vote for a secret. So scanning, scoring and redaction happen inside the row of a document,
@@ -19,10 +19,16 @@ from pyspark.sql import functions as F
 
 _KEY = r"[A-Za-z0-9+/_\-]"
 _NAMES = "token|secret|passwd|password|pwd|apikey|api_key|api-key|credential"
-#: What is looked at: a run of key characters with a digit, or a value assigned to a telling name.
+#: A telling name with its ending, as in ``client_secret_value`` or ``accessKeyId``, and its closing quote.
+_NAMED = rf"(?:(?i:{_NAMES})|(?<![A-Za-z])(?i:key|auth|bearer)|Key|Auth)(?:(?i:[_\-.][a-z0-9_\-.]{{0,30}})|[A-Z][A-Za-z0-9]{{0,30}}|[sS]?[0-9]{{0,3}})[\"']?\]?"
+_ASSIGNS = r"(?:=>|:=|[=:])"
+_URL = r"://[^\s/:@\"']{0,128}:"
+#: What is looked at: the password of a URL, a run of key characters with a digit or both cases, or a value
+#: assigned to a telling name. A look-behind must be bounded, so up to 100 blanks may align a value.
 CANDIDATE = (
-    rf"(?<!{_KEY})(?=[A-Za-z+/_\-]*[0-9]){_KEY}{{16,}}={{0,2}}"
-    rf"|(?<=[=:\s\"'])(?<=[=:]\s{{0,2}}[\"']?)(?<=(?i:{_NAMES})\s{{0,2}}[=:]\s{{0,2}}[\"']?)[^\s\"']{{8,}}"
+    rf"(?<=:)(?=[^\s/@\"']{{1,256}}@)(?<={_URL})[^\s/@\"']+"
+    rf"|(?<!{_KEY})(?={_KEY}{{16}})(?={_KEY}*?(?:[0-9]|[a-z][A-Z]|[A-Z]{{2}}[a-z])){_KEY}{{16,}}={{0,2}}"
+    rf"|(?<=[=:>\s\"'])(?<=[=:>]\s{{0,8}}[\"']?)(?<={_NAMED}\s{{0,100}}{_ASSIGNS}\s{{0,8}}[\"']?)(?![=:>]|[A-Za-z0-9+.\-]{{1,20}}://[^\s/@]{{1,200}}@)[^\s\"']{{8,}}"
 )
 #: Characters before and after a candidate that count as its neighbourhood.
 NEAR = 40
@@ -56,9 +62,11 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
         "hex": count(candidate, "[0-9a-fA-F]") / size,
         "turns": F.size(F.split(candidate, turns)).cast("double") / size,
         "kinds": F.size(F.array_distinct(F.split(candidate, ""))).cast("double"),
+        "vowels": count(candidate, "[aeiou]") / size,
         "words": count(F.lower(candidate), "|".join(DICTIONARY)) / size,
-        "named": near(before, rf"(?i)({_NAMES}|key|auth|bearer)[\"']?\s{{0,2}}[=:]?\s{{0,2}}[\"']?$"),
-        "assigned": near(before, r"[=:]\s{0,2}[\"']?$"),
+        "named": near(before, rf"(?:{_NAMED}\s*{_ASSIGNS}?|(?i:{_NAMES}|key|auth|bearer))\s*[\"']?$"),
+        "url": near(before, rf"{_URL}$") * near(after, "^@"),
+        "assigned": near(before, r"[=:>]\s{0,8}[\"']?$"),
         "quoted": near(before, "[\"']$") * near(after, "^[\"']"),
         "digest": near(before, r"(?i)(sha|md5|commit|hash|checksum|digest|revision|uuid|integrity|base64)\W{0,4}\w{0,6}\W{0,4}$"),
         "number": near(before, r"(?i)(card|phone|order|account|invoice|isbn|id)\W{0,4}$"),
@@ -86,6 +94,10 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
     digits = F.translate(hashed("d"), "abcdef", "012345")
     word = pick("w", DICTIONARY)
     other = pick("v", DICTIONARY)
+    letters = F.translate(code, "0123456789+/", "GhIjKlMnOpQr")
+    lower = F.translate(hashed("f"), "0123456789", "ghiklmnprt")
+    syllables = ["in", "ter", "na", "tion", "al", "ver", "si", "ble", "pro", "con", "men", "ta", "ry", "ex", "o", "de"]
+    spoken = F.concat(*[pick(f"s{i}", syllables) for i in range(5)])
     good = [
         (F.substring(hashed("a"), 1, 40), pick("n1", ["token = \"", "token: \"", "secret=\"", "api_key = \"", "auth token \"", "TOKEN = \""])),
         (F.upper(F.substring(hashed("a"), 1, 40)), pick("n2", ["TOKEN = \"", "SECRET: \"", "API_KEY=\""])),
@@ -93,6 +105,10 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
         (F.concat(F.lit("AKIA"), F.upper(F.substring(F.translate(hashed("k"), "01", "xy"), 1, 16))), pick("n4", ["aws ", "id = \"", "key: ", " "])),
         (F.concat(F.lit("ghp_"), F.substring(F.translate(code, "+/", "ab"), 1, 36)), pick("n5", ["", "url ", "token=", "header "])),
         (F.concat(F.substring(code, 1, 7), F.lit("!"), F.substring(digits, 1, 3)), pick("n6", ["password=", "passwd: \"", "pwd = \""])),
+        (F.substring(letters, 1, 32), pick("n7", ["secret_key = \"", "client_secret_value = ", "key = \"", "auth: \"", "Bearer ", "\"apiKey\": \""])),
+        (F.concat(F.substring(lower, 1, 6), pick("n8", ["!", "-", "", "#"]), F.substring(lower, 7, 5)), pick("n9", ["\"password\": \"", "db_password      = ", "'passwd': '", "secret: \"", "password="])),
+        (F.concat(F.lit("AKIA"), F.upper(F.substring(lower, 1, 16))), pick("na", ["aws_access_key_id = ", "\"AccessKeyId\": \"", "key: "])),
+        (F.concat(F.substring(lower, 1, 5), pick("nb", ["", "!", "_"]), F.substring(code, 1, 6)), pick("nc", ["postgres://admin:", "https://deploy:", "amqp://app_user:"])),
     ]
     bad = [
         (F.substring(hashed("a"), 1, 40), pick("m1", ["commit ", "revision: ", "sha1 = ", "hash \"", "merge commit "])),
@@ -104,6 +120,10 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
         (F.concat(F.substring(digits, 1, 4), F.lit("-01-"), F.substring(digits, 5, 2), F.lit("-"), word, F.lit("-"), other), pick("m7", ["release ", "tag = ", "on "])),
         (F.concat_ws("-", F.substring(hashed("u"), 1, 8), F.substring(hashed("u"), 9, 4), F.substring(hashed("u"), 13, 4), F.substring(hashed("u"), 17, 4), F.substring(hashed("u"), 21, 12)), pick("m8", ["uuid ", "id: ", "run "])),
         (F.concat(word, other, word), pick("m9", ["password: ", "token = ", "secret=\""])),
+        (F.concat(F.initcap(word), F.initcap(other), F.initcap(pick("x", DICTIONARY))), pick("ma", ["class ", "new ", "key: ", "the "])),
+        (F.concat(pick("y", ["self.", "get_", "${", "os.environ."]), word, F.lit("_"), other), pick("mb", ["key = ", "auth: ", "\"token\": \"", "password = "])),
+        (spoken, pick("md", ["key: ", "auth: ", "key = ", "secret: ", "password: "])),
+        (F.concat(word, pick("z", ["", "-", "_"]), other), pick("mc", ["https://user:", "postgres://admin:", "amqp://user:"])),
     ]
 
     def choose(kinds: list, part: int, number: Column) -> Column:
@@ -120,7 +140,8 @@ def labelled_findings(spark: SparkSession, rows: int = 4000) -> DataFrame:
         "id",
         F.when(secret, choose(good, 0, kind % len(good))).otherwise(choose(bad, 0, kind % len(bad))).alias("candidate"),
         before.alias("before"),
-        F.when(before.endswith('"'), F.lit('" ')).otherwise(pick("t", [" ", "\n", ". ", " and "])).alias("after"),
+        F.when(F.rlike(before, F.lit(rf"{_URL}$")), F.lit("@host/db"))
+        .when(before.endswith('"'), F.lit('" ')).otherwise(pick("t", [" ", "\n", ". ", " and "])).alias("after"),
         F.when(secret, pick("p", ["src0", "src7", "conf/app.yaml", ".env", "deploy/prod.ini", "lib/a.py"]))
         .otherwise(pick("q", ["src0", "src7", "tests/a.py", "docs/example.md", "lib/a.py", "conf/app.yaml"]))
         .alias("path"),
@@ -174,7 +195,8 @@ def findings(docs: DataFrame, trees: list[str], text_col: str = "text", path_col
     names = list(features(*[F.lit("")] * 4))
 
     def described(c: Column, i: Column) -> Column:
-        before, after = F.right(F.get(F.col(rest), i), F.lit(NEAR)), F.left(F.get(F.col(rest), i + 1), F.lit(NEAR))
+        far = F.regexp_replace(F.right(F.get(F.col(rest), i), F.lit(4 * NEAR)), r"\s{9,}", " ")  # aligned values
+        before, after = F.right(far, F.lit(NEAR)), F.left(F.get(F.col(rest), i + 1), F.lit(NEAR))
         own = features(c, before, after, F.col(path_col))
         return F.struct(c.alias("candidate"), *[F.coalesce(v, F.lit(0.0)).alias(k) for k, v in own.items()])
 
