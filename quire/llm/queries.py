@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann, bpe, chat, decontaminate, licenses, quality, secrets, simhash, substring, toxicity
+from quire.llm import ann, bpe, chat, codes, decontaminate, licenses, packing, quality, secrets, simhash, substring, toxicity
 from quire.llm.common import table
 
 #: What the conversation that tests the template says, twice.
@@ -63,6 +63,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(quality.score(docs, model), 0.5)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = codes.compressed(table(spark, sf_dir, "embeddings"))
+    found = codes.with_label_errors(found).withColumn("codebooks_sha256", F.lit(codes.digest(books)))
+    return found.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
 def judged(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -80,6 +90,8 @@ QUERIES = {
         op8_secret_scan,
         op9_toxicity,
         op10_quality,
+        op11_packing,
+        op13_vector_codes,
     )
 }
 ORACLE = {
