@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann, bpe, chat, codes, decontaminate, licenses, packing, quality, secrets, simhash, substring, toxicity
+from quire.llm import alignment, ann, bpe, chat, codes, decontaminate, licenses, packing, quality, secrets, simhash, substring, toxicity
 from quire.llm.common import table
 
 #: What the conversation that tests the template says, twice.
@@ -67,6 +67,11 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.digests(table(spark, sf_dir, "documents"), a, b)
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, books = codes.compressed(table(spark, sf_dir, "embeddings"))
     found = codes.with_label_errors(found).withColumn("codebooks_sha256", F.lit(codes.digest(books)))
@@ -91,6 +96,7 @@ QUERIES = {
         op9_toxicity,
         op10_quality,
         op11_packing,
+        op12_tokenizer_alignment,
         op13_vector_codes,
     )
 }
