@@ -1,14 +1,14 @@
 """Inverted index over chunks.
 
-A chunk's postings are made inside its row, so building needs no shuffle. A stored index is cut into
-folders by token, and a search reads only those that hold its tokens.
+A chunk's postings are made inside its row, so building needs no shuffle. ``operators.blocks`` stores an
+index and searches it; what is here is the plain table of postings.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
@@ -19,23 +19,11 @@ from quire.functions.tokens import index_tokens, term_counts
 @dataclass
 class Index:
     """``postings(chunk_id, book_id, token, tf, dl)``, ``frequency(token, df)`` and one row of
-    ``stats(n_docs, avgdl)``. With ``parts``, postings also have ``part``, the folder of their token."""
+    ``stats(n_docs, avgdl)``."""
 
     postings: DataFrame
     frequency: DataFrame
     stats: DataFrame
-    parts: int | None = None
-
-    def of_tokens(self, tokens: DataFrame) -> DataFrame:
-        """The postings among which those of ``tokens(token)`` are. At most ``parts`` numbers are collected."""
-        if self.parts is None:
-            return self.postings
-        needed = [r.part for r in tokens.select(part_of(self.parts)).distinct().collect()]
-        return self.postings.filter(F.col("part").isin(needed)).drop("part")
-
-
-def part_of(parts: int) -> Column:
-    return F.pmod(F.xxhash64("token"), F.lit(parts)).cast("int").alias("part")
 
 
 def build_index(chunks: DataFrame, terms: list[str] = P.SUBJECT_TERMS) -> Index:
@@ -50,21 +38,3 @@ def build_index(chunks: DataFrame, terms: list[str] = P.SUBJECT_TERMS) -> Index:
     stats = chunks.select(F.size(tokens).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     frequency = postings.groupBy("token").agg(F.count("*").alias("df"))
     return Index(postings, frequency, stats)
-
-
-def write_index(index: Index, database: str, buckets: int) -> None:
-    """Store the index as tables, postings bucketed by chunk and sorted by token inside a bucket.
-
-    With that layout the scores of a chunk are summed without a shuffle, and a token filter skips
-    row groups by their minima and maxima.
-    """
-    index.postings.write.mode("overwrite").bucketBy(buckets, "chunk_id").sortBy("token").saveAsTable(
-        f"{database}.postings"
-    )
-    stored = index.postings.sparkSession.table(f"{database}.postings")
-    stored.groupBy("token").agg(F.count("*").alias("df")).write.mode("overwrite").saveAsTable(f"{database}.frequency")
-    index.stats.write.mode("overwrite").saveAsTable(f"{database}.corpus_stats")
-
-
-def read_index(spark, database: str) -> Index:
-    return Index(*[spark.table(f"{database}.{name}") for name in ("postings", "frequency", "corpus_stats")])

@@ -39,6 +39,21 @@ def global_row_number(df: DataFrame, order: list, name: str, parts: int | None =
     )
 
 
+def global_running_sum(df: DataFrame, order: list, value: str, name: str, parts: int | None = None) -> DataFrame:
+    """The sum of ``value`` over all rows before each one, in the given order (which should be unique).
+
+    As ``global_row_number``: sums inside range partitions, shifted by the sums of the partitions before.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = checkpointed(sorted_.withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33)))
+    inside = F.sum(value).over(Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = F.sum("__t").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = placed.groupBy("__part").agg(F.sum(value).alias("__t")).select("__part", F.coalesce(earlier, F.lit(0)).alias("__before"))
+    summed = placed.withColumn("__in", F.coalesce(inside, F.lit(0))).join(offsets, "__part")
+    return summed.withColumn(name, F.col("__in") + F.col("__before")).drop("__at", "__part", "__in", "__before")
+
+
 def row_number_within(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
     """Row numbers per key for keys that may be hot: the global number minus the first of the key."""
     numbered = global_row_number(df, [*keys, *order], "__rn")

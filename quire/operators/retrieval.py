@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -22,16 +23,18 @@ from quire.functions.tokens import longest, query_tokens, words
 from quire.operators.index import Index
 from quire.session import checkpointed, written
 
+if TYPE_CHECKING:
+    from quire.operators.blocks import BlockIndex
+
 K1 = 1.2
 B = 0.75
-_RUNS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
+RUNS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
 
 
 def bm25_scores(queries: DataFrame, index: Index) -> DataFrame:
     """``(query_id, chunk_id, book_id, score)`` of every chunk with at least one query token.
 
     The query side is a few tokens per query; it is written, so that the planner knows its bytes.
-    Of a stored index only the folders of these tokens are read.
     """
     wanted = queries.select("query_id", F.explode(query_tokens(F.col("text"))).alias("token"))
     frequency = index.frequency.join(wanted.select("token").distinct(), "token", "left_semi")
@@ -44,7 +47,7 @@ def bm25_scores(queries: DataFrame, index: Index) -> DataFrame:
     )
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl)
     weighted = written(weighted, "weights")
-    hits = index.of_tokens(weighted).join(weighted, "token")
+    hits = index.postings.join(weighted, "token")
     return hits.groupBy("query_id", "chunk_id", "book_id").agg(
         F.round(F.sum(F.col("idf") * F.col("tf") * (K1 + 1) / norm), 6).alias("score")
     )
@@ -141,13 +144,13 @@ def substring_search(
     runs of the corpus through the rarest character pair of their longest piece, an equi join on a
     vocabulary, and only phrases of several pieces are looked up in the text itself.
     """
-    pieces = F.regexp_extract_all("phrase", F.lit(_RUNS), F.lit(0))
+    pieces = F.regexp_extract_all("phrase", F.lit(RUNS), F.lit(0))
     phrases = (
         fallback_phrases(queries)
         .select("query_id", "phrase", longest(pieces, 1)[0].alias("piece"), F.size(pieces).alias("n_pieces"))
     )
     runs = chunks.select(
-        "chunk_id", "book_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(_RUNS), F.lit(0)))).alias("run")
+        "chunk_id", "book_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(RUNS), F.lit(0)))).alias("run")
     )
     vocabulary = runs.select("run").distinct()
     two, one = F.lit(2), F.lit(1)
@@ -392,7 +395,7 @@ def retrieve(
     chunks: DataFrame,
     books: DataFrame,
     chapters: DataFrame,
-    index: Index,
+    index: Index | BlockIndex,
     vector_hits: DataFrame | None = None,
     k: int = P.TOP_K,
     scopes: DataFrame | None = None,
@@ -403,12 +406,19 @@ def retrieve(
     ``scopes`` and ``links`` are those of ``scope_filter``; vector hits come within scope already.
 
     The ranked lists, at most ``2 k`` rows per query, are checkpointed because several later steps
-    read them; the corpus is scored once.
+    read them; the corpus is scored once. A stored index of blocks reads only what can be among them.
     """
     ranked = ["query_id", "chunk_id", "rank"]
     keep = None if scopes is None else lambda hits: scope_filter(hits, scopes, books, links, chunks)
-    scores = bm25_scores(queries, index)
-    full_text = checkpointed(top_k(keep(scores) if keep else scores, 2 * k).select(*ranked))
+    if isinstance(index, Index):
+        scores = bm25_scores(queries, index)
+        best = top_k(keep(scores) if keep else scores, 2 * k)
+        fallback = lambda weak: substring_search(weak, chunks, k, keep)
+    else:
+        scope = None if scopes is None else index.scope(scopes, books, links)
+        best = index.search(queries, 2 * k, scope).top
+        fallback = lambda weak: index.substrings(weak, k, scope)
+    full_text = checkpointed(best.select(*ranked))
     primary = [full_text] if vector_hits is None else [checkpointed(vector_hits.select(*ranked)), full_text]
     counts = reduce(
         DataFrame.unionByName, [df.select("query_id", "chunk_id") for df in primary]
@@ -416,7 +426,7 @@ def retrieve(
     enough = counts.filter(F.col("n") >= P.MIN_PRIMARY_HITS)
     weak = queries.join(enough, "query_id", "left_anti")
     # Usually every query has hits enough, and the corpus is not searched a second time.
-    lists = primary if weak.isEmpty() else [*primary, substring_search(weak, chunks, k, keep).select(*ranked)]
+    lists = primary if weak.isEmpty() else [*primary, fallback(weak).select(*ranked)]
     fused = checkpointed(fuse(lists, k))
     described = enrich_hits(fused, chunks, books, chapters).join(queries.select("query_id", "text"), "query_id")
     best = checkpointed(rerank(described, k))

@@ -1,44 +1,49 @@
-"""Trees stored as (node_id, parent_id): paths, closures, moves and filters.
-
-``tree_paths`` finds the way from the root to every node by pointer doubling: after round ``r`` a
-path covers ``2^r`` steps, so a tree of depth 1,000 needs ten joins, each of them on a unique key.
-It goes on until no further node reaches a root; what is left then lies on or below a cycle. The
-lineage is cut in every round by a reliable checkpoint.
+"""Trees stored as (node_id, parent_id): intervals, paths, closures, moves and filters.
+
+A walk through the tree, siblings in order, numbers its nodes; the subtree of a node is then an interval of
+numbers, from its own to that of its last descendant. Closures, deletions, moves and filters compare numbers
+and never hold the way to a node. Numbers come from pointer doubling: after round ``r`` every node knows its
+ancestor ``2^r`` steps up and how many descendants it has within that distance, so a tree of depth 100,000
+needs seventeen rounds of joins on a unique key. Rounds go on until no further node reaches a root; what is
+left then lies on or below a cycle. The lineage is cut in every round by a reliable checkpoint.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.ranking import row_number_within
+from quire.operators.ranking import global_running_sum, row_number_within
 from quire.session import checkpointed
 
 
-def tree_paths(nodes: DataFrame) -> DataFrame:
-    """``(node_id, path, depth)`` with the path from the root to the node, both included.
-
-    A node whose parent is unknown counts as a root. Nodes on or below a cycle have no path to a root
-    and come out with NULL path and depth.
-    """
+def _with_known_parents(nodes: DataFrame, **values: Column) -> DataFrame:
+    """``(node_id, up, ...)``; a node whose parent is unknown counts as a root."""
     ids = nodes.select(F.col("node_id").alias("known"))
-    state = nodes.join(ids, nodes["parent_id"] == ids["known"], "left").select(
-        "node_id", F.col("known").alias("up"), F.array("node_id").alias("path")
-    )
-    state = checkpointed(state)
+    joined = nodes.join(ids, nodes["parent_id"] == ids["known"], "left")
+    return checkpointed(joined.select("node_id", F.col("known").alias("up"), *[v.alias(name) for name, v in values.items()]))
+
+
+def _climb(state: DataFrame, added: Callable[[str], Column]) -> DataFrame:
+    """Follow all pointers to the roots. ``added(name)`` puts the value ``upper_name`` before ``name``."""
+    names = [c for c in state.columns if c not in ("node_id", "up")]
     open_before, still_open = None, state.filter("up is not null").count()
     while still_open and still_open != open_before:
-        above = state.select(
-            F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("path").alias("upper")
-        )
-        state = checkpointed(
-            state.join(above, "up", "left").select(
-                "node_id",
-                F.col("next").alias("up"),
-                F.when(F.col("upper").isNotNull(), F.concat("upper", "path")).otherwise(F.col("path")).alias("path"),
-            )
-        )
+        above = state.select(F.col("node_id").alias("up"), F.col("up").alias("next"), *[F.col(n).alias(f"upper_{n}") for n in names])
+        values = [F.when(F.col(f"upper_{n}").isNotNull(), added(n)).otherwise(F.col(n)).alias(n) for n in names]
+        state = checkpointed(state.join(above, "up", "left").select("node_id", F.col("next").alias("up"), *values))
         open_before, still_open = still_open, state.filter("up is not null").count()
+    return state
+
+
+def tree_paths(nodes: DataFrame) -> DataFrame:
+    """``(node_id, path, depth)`` with the path from the root to the node, both included.
+
+    Nodes on or below a cycle have no path to a root and come out with NULL path and depth.
+    """
+    state = _climb(_with_known_parents(nodes, path=F.array("node_id")), lambda n: F.concat(f"upper_{n}", n))
     rooted = F.col("up").isNull()
     return state.select(
         "node_id",
@@ -47,43 +52,101 @@ def tree_paths(nodes: DataFrame) -> DataFrame:
     )
 
 
+def intervals(nodes: DataFrame) -> DataFrame:
+    """``(node_id, enter, leave, depth)``: the number of each node in a walk through the trees, from 0, and
+    the largest number in its subtree. Siblings follow each other by ``order_index``, if there is one, and
+    ``node_id``. Nodes on or below a cycle have NULL numbers.
+    """
+    order = ["order_index"] if "order_index" in nodes.columns else []
+    state = _with_known_parents(nodes, size=F.lit(1).cast("bigint"), **{c: F.col(c) for c in order})
+    parents = state.select("node_id", F.col("up").alias("parent"), *order)
+    state, jumps = state.select("node_id", "up", "size"), []
+    open_before, still_open = None, state.filter("up is not null").count()
+    while still_open and still_open != open_before:
+        # Descendants at twice the distance are those of the nodes that are just out of reach.
+        further = state.filter("up is not null").groupBy(F.col("up").alias("node_id")).agg(F.sum("size").alias("more"))
+        above = state.select(F.col("node_id").alias("up"), F.col("up").alias("next"))
+        jumps.append(state.select("node_id", "up"))
+        state = state.join(above, "up", "left").join(further, "node_id", "left")
+        state = checkpointed(state.select("node_id", F.col("next").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+        open_before, still_open = still_open, state.filter("up is not null").count()
+    sized = parents.join(state.filter("up is null").select("node_id", "size"), "node_id")
+    summed = global_running_sum(sized, ["parent", *order, "node_id"], "size", "before")
+    first = summed.groupBy(F.col("parent").alias("of")).agg(F.min("before").alias("first"))
+    placed = summed.join(first, F.col("parent").eqNullSafe(F.col("of")))
+    child = F.col("parent").isNotNull().cast("bigint")
+    walk = checkpointed(placed.select("node_id", "size", (F.col("before") - F.col("first") + child).alias("enter"), child.alias("depth")))
+    for jump in jumps:
+        # What the way up adds, at double the distance.
+        above = walk.select(F.col("node_id").alias("up"), F.col("enter").alias("upper_enter"), F.col("depth").alias("upper_depth"))
+        longer = walk.join(jump, "node_id").join(above, "up", "left")
+        plus = [(F.col(n) + F.coalesce(f"upper_{n}", F.lit(0))).alias(n) for n in ("enter", "depth")]
+        walk = checkpointed(longer.select("node_id", "size", *plus))
+    walk = walk.select("node_id", "enter", (F.col("enter") + F.col("size") - 1).alias("leave"), "depth")
+    return nodes.select("node_id").join(walk, "node_id", "left")
+
+
+def _cells(low: str, high: str, levels: int) -> Column:
+    """The fewest aligned ranges of ``2^level`` numbers that make up ``low`` to ``high``."""
+    return F.expr(f"""explode(flatten(transform(sequence(0, {levels}), l -> filter(array(
+        if(shiftright({low} + shiftleft(1L, l) - 1, l) < shiftright({high} + 1, l) and shiftright({low} + shiftleft(1L, l) - 1, l) & 1 = 1,
+          struct(l as level, shiftright({low} + shiftleft(1L, l) - 1, l) as cell), null),
+        if(shiftright({low} + shiftleft(1L, l) - 1, l) < shiftright({high} + 1, l) and shiftright({high} + 1, l) & 1 = 1,
+          struct(l as level, shiftright({high} + 1, l) - 1 as cell), null)), c -> c is not null))))""")
+
+
+def within(points: DataFrame, ranges: DataFrame, how: str = "inner") -> DataFrame:
+    """Join ``points(enter)`` with ``ranges(low, high)`` that hold them, each pair once.
+
+    A range is cut into a few aligned pieces, and a point looks up the piece that it lies in at each size
+    that occurs: an equi join, without comparing all pairs.
+    """
+    largest = points.agg(F.max("enter")).first()[0]
+    cut = ranges.withColumn("at", _cells("low", "high", int(largest or 0).bit_length() + 1)).select("*", "at.level", "at.cell").drop("at", "low", "high")
+    cut = checkpointed(cut)
+    levels = sorted(r[0] for r in cut.select("level").distinct().collect())  # no more than bits of a number
+    each = points.withColumn("level", F.explode(F.array(*[F.lit(n) for n in levels]) if levels else F.array().cast("array<int>")))
+    each = each.withColumn("cell", F.expr("shiftright(enter, level)"))
+    return each.join(cut, ["level", "cell"], how).drop("level", "cell")
+
+
 def read_tree(nodes: DataFrame) -> DataFrame:
     """Every node with its depth, child count and the sibling positions along its path.
 
     Ordering by ``sort_path`` walks the tree depth first, siblings by (order_index, node_id). Nodes on
     or below a cycle have NULL depth and ``sort_path``.
     """
-    paths = tree_paths(nodes)
-    steps = paths.select("node_id", "depth", F.posexplode("path").alias("at", "step"))
-    order = nodes.select(F.col("node_id").alias("step"), "order_index")
-    keyed = (
-        steps.join(order, "step")
-        .groupBy("node_id", "depth")
-        .agg(F.sort_array(F.collect_list(F.struct("at", "order_index", "step"))).alias("s"))
-    )
-    label = F.array_join(
-        F.transform("s", lambda x: F.concat(x["order_index"].cast("string"), F.lit(":"), x["step"].cast("string"))), "/"
-    )
+    own = F.concat(F.col("order_index").cast("string"), F.lit(":"), F.col("node_id").cast("string"))
+    state = _with_known_parents(nodes, label=own, depth=F.lit(0).cast("bigint"))
+    ways = {"label": lambda n: F.concat(f"upper_{n}", F.lit("/"), n), "depth": lambda n: F.col(f"upper_{n}") + F.col(n) + 1}
+    state = _climb(state, lambda n: ways[n](n))
+    rooted = F.col("up").isNull()
+    keyed = state.select("node_id", F.when(rooted, F.col("depth")).alias("depth"), F.when(rooted, F.col("label")).alias("sort_path"))
     children = nodes.filter("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).agg(
         F.count("*").alias("n_children")
     )
     return (
         nodes.select("node_id", "parent_id", "title")
-        .join(keyed.select("node_id", "depth", label.alias("sort_path")), "node_id", "left")
+        .join(keyed, "node_id", "left")
         .join(children, "node_id", "left")
         .select("node_id", "parent_id", "title", "depth", "sort_path", F.coalesce("n_children", F.lit(0)).alias("n_children"))
     )
 
 
+def _subtrees(nodes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    walk = checkpointed(intervals(nodes)).filter("enter is not null")
+    wanted = walk.join(roots.select(F.col("root_id").alias("node_id")).distinct(), "node_id")
+    return walk.select("node_id", "enter"), wanted.select(F.col("node_id").alias("root_id"), F.col("enter").alias("low"), F.col("leave").alias("high"))
+
+
 def subtree_closure(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """``(root_id, node_id)`` for every node of each root's subtree, the root included."""
-    steps = tree_paths(nodes).select("node_id", F.explode("path").alias("root_id"))
-    return steps.join(roots.select("root_id").distinct(), "root_id").select("root_id", "node_id")
+    return within(*_subtrees(nodes, roots)).select("root_id", "node_id")
 
 
 def delete_subtrees(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """The nodes outside the subtrees of ``roots``."""
-    gone = subtree_closure(nodes, roots).select("node_id").distinct()
+    gone = within(*_subtrees(nodes, roots), "left_semi").select("node_id").distinct()
     return nodes.join(gone, "node_id", "left_anti")
 
 
@@ -92,16 +155,17 @@ def validate_moves(nodes: DataFrame, moves: DataFrame) -> DataFrame:
 
     A NULL target makes the node a root.
     """
-    paths = tree_paths(nodes).select(F.col("node_id").alias("target_id"), "path", F.lit(True).alias("known_target"))
-    known = nodes.select("node_id").withColumn("exists", F.lit(True))
-    joined = moves.join(known, "node_id", "left").join(paths, "target_id", "left")
+    walk = checkpointed(intervals(nodes))
+    own = walk.select("node_id", "enter", "leave", F.lit(True).alias("exists"))
+    targets = walk.select(F.col("node_id").alias("target_id"), F.col("enter").alias("at"), F.lit(True).alias("known_target"))
+    joined = moves.join(own, "node_id", "left").join(targets, "target_id", "left")
     verdict = (
         F.when(F.col("exists").isNull(), "unknown node")
         .when(F.col("target_id").isNull(), "ok")
         .when(F.col("target_id") == F.col("node_id"), "onto itself")
         .when(F.col("known_target").isNull(), "unknown target")
-        .when(F.col("path").isNull(), "target on a cycle")
-        .when(F.array_contains("path", F.col("node_id")), "into own subtree")
+        .when(F.col("at").isNull(), "target on a cycle")
+        .when(F.col("at").between(F.col("enter"), F.col("leave")), "into own subtree")
         .otherwise("ok")
     )
     return joined.select("node_id", "target_id", verdict.alias("verdict"))
@@ -117,8 +181,14 @@ def append_order(nodes: DataFrame, added: DataFrame) -> DataFrame:
 
 
 def filter_with_ancestors(nodes: DataFrame, term: str) -> DataFrame:
-    """Nodes whose title or note contains ``term``, with all their ancestors."""
+    """Nodes whose title or note contains ``term``, with all their ancestors.
+
+    A node stays if there are more hits up to the end of its subtree than before its begin.
+    """
     text = F.lower(F.concat("title", F.coalesce("note", F.lit(""))))
-    hits = nodes.filter(F.contains(text, F.lit(term.strip().lower()))).select("node_id")
-    kept = tree_paths(nodes).join(hits, "node_id", "left_semi").select(F.explode("path").alias("node_id")).distinct()
+    hit = F.coalesce(F.contains(text, F.lit(term.strip().lower())), F.lit(False)).cast("bigint")
+    walk = intervals(nodes).join(nodes.select("node_id", hit.alias("hit")), "node_id").filter("enter is not null")
+    counted = checkpointed(global_running_sum(walk.select("node_id", "enter", "leave", "hit"), ["enter"], "hit", "before"))
+    ends = counted.select(F.col("enter").alias("leave"), (F.col("before") + F.col("hit")).alias("after"))
+    kept = counted.join(ends, "leave").filter("after > before").select("node_id")
     return nodes.join(kept, "node_id", "left_semi")

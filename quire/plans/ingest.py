@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import answers, retrieval
+from quire.operators import answers, blocks, retrieval
 from quire.plans import twin as S
 from quire.session import fresh_path, ship_with_tasks
 from quire.sources import files, model as M, store
@@ -113,8 +113,9 @@ def _stored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rebuilt(spark: SparkSession, d: str) -> DataFrame:
-    index = store.rebuild_index(M.chunks(spark, d), fresh_path(spark, "index"), 2)
-    return index.postings.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    stored = blocks.write_index(M.chunks(spark, d), fresh_path(spark, "index")).table("blocks")
+    in_block = F.aggregate("postings", F.lit(0).cast("bigint"), lambda a, p: a + F.shiftright(p, 6).bitwiseAND(F.lit((1 << 26) - 1)))
+    return stored.groupBy("token").agg(F.sum(F.bit_count("mask")).alias("df"), F.sum(in_block).alias("cf"))
 
 
 def _purged(spark: SparkSession, d: str) -> DataFrame:
@@ -151,8 +152,8 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
 
 
-def _run(stream: DataFrame, sink, spark: SparkSession, name: str, mode: str) -> None:
-    jobs.start(stream, sink, fresh_path(spark, f"{name}-state"), mode).awaitTermination()
+def _run(stream: DataFrame, sink, spark: SparkSession, name: str, mode: str, conf: dict[str, str] | None = None) -> None:
+    jobs.start(stream, sink, fresh_path(spark, f"{name}-state"), mode, conf).awaitTermination()
 
 
 def _stream_activity(spark: SparkSession, d: str) -> DataFrame:
@@ -162,6 +163,14 @@ def _stream_activity(spark: SparkSession, d: str) -> DataFrame:
     return jobs.newest_rows(spark, path, ["date"]).withColumn("date", F.col("date").cast("string"))
 
 
+def _stream_late(spark: SparkSession, d: str) -> DataFrame:
+    activity, arrivals = fresh_path(spark, "activity"), fresh_path(spark, "arrivals")
+    attempts = M.attempts_from_events(_event_stream(spark, d))
+    _run(jobs.daily_activity(attempts), jobs.update_log(activity), spark, "activity", "update")
+    _run(jobs.daily_arrivals(attempts), jobs.update_log(arrivals), spark, "arrivals", "update")
+    return jobs.late_attempts(spark, activity, arrivals).withColumn("date", F.col("date").cast("string"))
+
+
 def _stream_quiz_state(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_path(spark, "quiz-state")
     stream = jobs.quiz_state(M.attempts_from_events(_event_stream(spark, d)))
@@ -174,7 +183,7 @@ def _stream_imports(spark: SparkSession, d: str) -> DataFrame:
     schema = M.table(spark, d, "documents").schema
     docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
     arriving = docs.select(F.col("doc_id").alias("file_id"), F.sha2("text", 256).alias("file_hash"))
-    _run(arriving, jobs.import_deduplication(path), spark, "imports", "append")
+    _run(jobs.import_deduplication(arriving), jobs.update_log(path), spark, "imports", "append", jobs.KEYED)
     return spark.read.parquet(path).select("file_id", "file_hash", "duplicate_of")
 
 
@@ -205,6 +214,7 @@ QUERIES = {
     "vector_upsert_delete": _vector_store,
     "streaming_import_dedup": _stream_imports,
     "streaming_daily_activity": _stream_activity,
+    "streaming_late_attempts": _stream_late,
     "streaming_quiz_state": _stream_quiz_state,
     "streaming_retrieval_metrics": _stream_metrics,
 }
@@ -240,6 +250,7 @@ ORACLE = {
     "streaming_import_dedup": """WITH h AS (SELECT doc_id AS file_id, sha256(text) AS file_hash FROM documents), f AS (SELECT *, min(file_id) OVER (PARTITION BY file_hash) AS o FROM h)
       SELECT file_id, file_hash, CASE WHEN o <> file_id THEN o END AS duplicate_of FROM f""",
     "streaming_daily_activity": "SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS attempts FROM events GROUP BY 1",
+    "streaming_late_attempts": "SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS attempts, 0::bigint AS late FROM events GROUP BY 1",
     "streaming_quiz_state": f"WITH {S.LATEST}, r AS (SELECT quiz_id, {S.round_half_even('avg(is_correct)', 2)} AS correct_rate FROM attempts GROUP BY 1) SELECT quiz_id, is_correct, correct_rate FROM latest JOIN r USING (quiz_id)",
     "streaming_retrieval_metrics": _METRICS,
 }

@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from quire.functions import patterns as P
 from quire.functions import tokens as K
 from quire.operators import answers as A
-from quire.operators import graph, index, retrieval
+from quire.operators import blocks, graph, index, retrieval
 from quire.plans import enrichment
 from quire.plans import twin as S
-from quire.session import checkpointed, fresh_path, written
+from quire.session import fresh_path, once
 from quire.sources import model as M
-from quire.sources import store
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -22,21 +21,19 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return M.queries(spark, d).select("query_id", text.alias("text"))
 
 
-def _index(spark: SparkSession, d: str) -> index.Index:
-    """The index of the corpus, stored before it is searched."""
-    return store.rebuild_index(M.chunks(spark, d), fresh_path(spark, "index"), 1)
+def stored_index(spark: SparkSession, d: str) -> blocks.BlockIndex:
+    """The index of the corpus of a folder, stored once in a session before it is searched."""
+    return once(spark, f"index of {d}", lambda: blocks.write_index(M.chunks(spark, d), fresh_path(spark, "index")))
 
 
-def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25_scores(questions(spark, d), _index(spark, d))
+def _found(spark: SparkSession, d: str, k: int) -> blocks.Found:
+    return stored_index(spark, d).search(questions(spark, d), k)
 
 
 def _search(spark: SparkSession, d: str) -> DataFrame:
-    scores = _scores(spark, d)
-    hits = retrieval.enrich_hits(
-        retrieval.top_k(scores, P.TOP_K), M.chunks(spark, d), M.books(spark, d), M.chapters(spark, d)
-    )
-    return hits.join(retrieval.hit_totals(scores), "query_id").select(
+    found = _found(spark, d, P.TOP_K)
+    hits = retrieval.enrich_hits(found.top, M.chunks(spark, d), M.books(spark, d), M.chapters(spark, d))
+    return hits.join(found.totals, "query_id").select(
         "query_id", "rank", "chunk_id", "book_title", "chapter_title", "score", "total"
     )
 
@@ -50,15 +47,13 @@ def _scoped(spark: SparkSession, d: str) -> DataFrame:
         F.when(q % 8 == 4, F.lit(2).cast("bigint")).alias("tag_id"),
         F.when(q % 8 == 0, q * 1000).alias("chapter_id"),
     )
-    scores = written(_scores(spark, d), "scores")
-    kept = retrieval.scope_filter(
-        scores, scopes, M.books(spark, d), enrichment.library_links(spark, d), M.chunks(spark, d)
-    )
-    return retrieval.top_k(kept, P.TOP_K)
+    index = stored_index(spark, d)
+    scope = index.scope(scopes, M.books(spark, d), enrichment.library_links(spark, d))
+    return index.search(questions(spark, d), P.TOP_K, scope).top
 
 
 def _snippets(spark: SparkSession, d: str) -> DataFrame:
-    hits = retrieval.top_k(_scores(spark, d), P.TOP_K)
+    hits = _found(spark, d, P.TOP_K).top
     shown = hits.join(M.chunks(spark, d).select("chunk_id", "content"), "chunk_id").join(questions(spark, d), "query_id")
     tokens = F.regexp_extract_all("content", F.lit(P.WORD), F.lit(0))
     return shown.select(
@@ -88,11 +83,11 @@ def _vector_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _full_text_hits(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.top_k(_scores(spark, d), 2 * P.TOP_K)
+    return _found(spark, d, 2 * P.TOP_K).top
 
 
 def _fallback(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.substring_search(questions(spark, d), M.chunks(spark, d))
+    return stored_index(spark, d).substrings(questions(spark, d))
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +103,7 @@ def _reranked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _context(spark: SparkSession, d: str) -> DataFrame:
-    hits = _described(spark, d, retrieval.top_k(_scores(spark, d), P.TOP_K))
+    hits = _described(spark, d, _found(spark, d, P.TOP_K).top)
     return retrieval.neighbour_context(hits, M.chunks(spark, d))
 
 
@@ -117,9 +112,8 @@ def retrieved(spark: SparkSession, d: str) -> DataFrame:
     near = _vector_hits(spark, d).join(
         questions(spark, d).filter("text = '？？？'").select("query_id"), "query_id", "left_anti"
     )
-    chunks = checkpointed(M.chunks(spark, d))
-    stored = store.rebuild_index(chunks, fresh_path(spark, "index"), 1)
-    return retrieval.retrieve(questions(spark, d), chunks, M.books(spark, d), M.chapters(spark, d), stored, near)
+    index = stored_index(spark, d)
+    return retrieval.retrieve(questions(spark, d), M.chunks(spark, d), M.books(spark, d), M.chapters(spark, d), index, near)
 
 
 def _citations(spark: SparkSession, d: str) -> DataFrame:
@@ -144,7 +138,7 @@ def _metrics(spark: SparkSession, d: str) -> DataFrame:
 def _concept_sources(spark: SparkSession, d: str) -> DataFrame:
     names = graph.nodes(graph.concepts(enrichment.concept_sources(spark, d)))
     asked = names.select(F.col("name").alias("query_id"), F.col("name").alias("text"))
-    return retrieval.top_k(retrieval.bm25_scores(asked, _index(spark, d)), 30).select(
+    return stored_index(spark, d).search(asked, 30).top.select(
         F.col("query_id").alias("concept"), "chunk_id", "rank"
     )
 
@@ -191,14 +185,14 @@ QUERIES = {
     "highlighted_snippet": _snippets,
     "substring_fallback": lambda s, d: _fallback(s, d),
     "exact_vector_top_k": lambda s, d: retrieval.vector_search(_label_vectors(s, d), _vectors(s, d), 2 * P.TOP_K),
-    "hit_enrichment": lambda s, d: _described(s, d, retrieval.top_k(_scores(s, d), P.TOP_K)).select(
+    "hit_enrichment": lambda s, d: _described(s, d, _found(s, d, P.TOP_K).top).select(
         "query_id", "chunk_id", "book_id", "book_title", "chapter_title", "page_start", "page_end", "snippet"
     ),
     "reciprocal_rank_fusion": _fused,
     "feature_rerank": lambda s, d: _reranked(s, d).select("query_id", "rank", "chunk_id", "rerank_score"),
     "neighbour_context": _context,
     "outline_fallback": lambda s, d: retrieval.outline_fallback(
-        questions(s, d), _scores(s, d), M.books(s, d), M.chapters(s, d)
+        questions(s, d), _found(s, d, 1).totals, M.books(s, d), M.chapters(s, d)
     ),
     "retrieve": retrieved,
     "prompt_assembly": lambda s, d: A.assemble_prompts(questions(s, d), retrieved(s, d)),

@@ -48,13 +48,30 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_MADE: dict[tuple[str, str], object] = {}
+
+
+def once(spark: SparkSession, key: str, make):
+    """What ``make()`` gave when it was first asked for in this session, until ``release``."""
+    found = (spark.sparkContext.applicationId, key)
+    if found not in _MADE:
+        _MADE[found] = make()
+    return _MADE[found]
+
+
 def release(spark: SparkSession) -> None:
     """Delete what ``fresh_path`` has handed out in this session. Tables read from there are gone then."""
+    _MADE.clear()
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def _session_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/quire-{spark.sparkContext.applicationId}"
 

@@ -1,11 +1,10 @@
-"""Stored tables keyed by book: replace, purge, rebuild."""
+"""Stored tables keyed by book: replace and purge."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators.index import Index, build_index, part_of
 from quire.session import checkpointed
 
 BUCKET = "book_bucket"
@@ -55,30 +54,3 @@ def purge_books(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataF
     """Every table without the rows of the books in ``ids(book_id)``."""
     gone = ids.select("book_id").distinct()
     return {name: df.join(gone, "book_id", "left_anti") for name, df in tables.items()}
-
-
-def rebuild_index(chunks: DataFrame, base: str, version: int, parts: int = 32, split: int = 4) -> Index:
-    """Build the whole index anew below a path that carries its version.
-
-    Postings lie in ``parts`` folders by the hash of their token, sorted by token. A part is written
-    in ``split`` pieces by chunk, so that a token of most chunks is no single task. At scale, ``parts``
-    is chosen so that a piece is a few hundred megabytes.
-    """
-    path = f"{base}/v{version}"
-    index = build_index(chunks)
-    placed = index.postings.withColumn("part", part_of(parts)).withColumn("piece", F.pmod(F.xxhash64("chunk_id"), F.lit(split)))
-    placed.repartition("part", "piece").sortWithinPartitions("part", "token").drop("piece").write.mode("overwrite").partitionBy(
-        "part"
-    ).parquet(f"{path}/postings")
-    stored = chunks.sparkSession.read.parquet(f"{path}/postings")
-    stored.groupBy("token").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/frequency")
-    n_docs = chunks.agg(F.count("*").alias("n")).scalar()
-    stored.agg(F.sum("tf").alias("tokens")).select(
-        n_docs.alias("n_docs"), (F.col("tokens") / n_docs).alias("avgdl"), F.lit(parts).alias("parts")
-    ).write.mode("overwrite").parquet(f"{path}/stats")
-    return read_index(chunks.sparkSession, base, version)
-
-
-def read_index(spark: SparkSession, base: str, version: int) -> Index:
-    tables = [spark.read.parquet(f"{base}/v{version}/{name}") for name in ("postings", "frequency", "stats")]
-    return Index(*tables, tables[2].first()["parts"])

@@ -1,19 +1,22 @@
 """Structured Streaming jobs: import de-duplication, activity, quiz state, retrieval metrics.
 
-Late data: rows up to one day late update the result, later ones are dropped by the watermark.
+Late data: rows up to one day late update the result, later ones are dropped by the watermark and counted.
 Each micro-batch writes a folder of its own number, so a batch that is run again replaces its own
 output, and readers take the newest row per key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from quire.functions.numbers import round_half_even
+from quire.session import ship_with_tasks
 
 BATCH = "batch"
 
@@ -22,13 +25,24 @@ def _folder(path: str, number: int) -> str:
     return f"{path}/{BATCH}={number}"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+#: Settings of a query that keeps state by key.
+KEYED = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
-def start(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Run ``write`` on all data available now, then stop."""
+def start(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", conf: dict[str, str] | None = None) -> StreamingQuery:
+    """Run ``write`` on all data available now, then stop. A query takes the settings it starts with."""
+    session = stream.sparkSession
+    before = {name: session.conf.get(name, None) for name in conf or {}}
+    for name, value in (conf or {}).items():
+        session.conf.set(name, value)
+    try:
+        return _started(stream, write, checkpoint, mode)
+    finally:
+        for name, value in before.items():
+            session.conf.unset(name) if value is None else session.conf.set(name, value)
+
+
+def _started(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str) -> StreamingQuery:
     return (
         stream.writeStream.foreachBatch(write)
         .outputMode(mode)
@@ -59,6 +73,18 @@ def daily_activity(attempts: DataFrame, lateness: str = "1 day") -> DataFrame:
     return counted.select(F.to_date("window.start").alias("date"), "attempts")
 
 
+def daily_arrivals(attempts: DataFrame) -> DataFrame:
+    """All attempts per calendar day, however late; its state is one number per day."""
+    return attempts.groupBy(F.to_date("answered_at").alias("date")).agg(F.count("*").alias("arrived"))
+
+
+def late_attempts(spark: SparkSession, activity: str, arrivals: str) -> DataFrame:
+    """Attempts per day that were counted and that came too late for it, from the logs of both streams."""
+    counted, arrived = newest_rows(spark, activity, ["date"]), newest_rows(spark, arrivals, ["date"])
+    attempts = F.coalesce("attempts", F.lit(0))
+    return arrived.join(counted, "date", "left").select("date", attempts.alias("attempts"), (F.col("arrived") - attempts).alias("late"))
+
+
 def quiz_state(attempts: DataFrame) -> DataFrame:
     """Latest result and share of correct attempts per quiz after each batch."""
     return attempts.groupBy("quiz_id").agg(
@@ -67,31 +93,41 @@ def quiz_state(attempts: DataFrame) -> DataFrame:
     )
 
 
-def import_deduplication(library: str) -> Callable[[DataFrame, int], None]:
-    """Report arriving files ``(file_id, file_hash)`` with the first file of the same hash.
+class FirstFile(StatefulProcessor):
+    """Per file hash, the file that brought it first; that is all the state an import needs.
 
-    ``library`` holds what earlier batches brought in; a batch adds the hashes new to it. A batch
-    that is run again reads only the batches before it.
+    Of the files of one hash in one batch, the smallest id is the first. They are held as numbers while the
+    batch lasts; how large a batch is, the source's options say.
     """
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known = spark.createDataFrame([], "file_hash string, original bigint")
-        if _exists(spark, library):
-            earlier = spark.read.parquet(library)
-            if BATCH in earlier.columns:
-                known = (
-                    earlier.filter((F.col(BATCH) < number) & F.col("duplicate_of").isNull())
-                    .select("file_hash", F.col("file_id").alias("original"))
-                )
-        first = batch.groupBy("file_hash").agg(F.min("file_id").alias("first"))
-        joined = batch.join(first, "file_hash").join(known, "file_hash", "left")
-        original = F.coalesce("original", F.when(F.col("first") != F.col("file_id"), F.col("first")))
-        joined.select("file_id", "file_hash", original.alias("duplicate_of")).write.mode("overwrite").parquet(
-            _folder(library, number)
-        )
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getValueState("first", "file_id bigint")
 
-    return write
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ids = np.concatenate([frame["file_id"].to_numpy(np.int64) for frame in rows])
+        known = self.first.get()[0] if self.first.exists() else None
+        original = int(ids.min()) if known is None else known
+        if known is None:
+            self.first.update((original,))
+        copy = np.ones(len(ids), bool) if known is not None else ids != original
+        found = pd.arrays.IntegerArray(np.full(len(ids), original), ~copy)
+        yield pd.DataFrame({"file_id": ids, "key": key[0], "duplicate_of": found})
+
+    def close(self) -> None:
+        pass
+
+
+def import_deduplication(files: DataFrame) -> DataFrame:
+    """Arriving files ``(file_id, file_hash)`` with the first file of the same hash, in this batch or any before.
+
+    The state is keyed by hash and lives in the state store of the query (``start`` with ``KEYED``), so a
+    batch looks up its own hashes and reads nothing else. A file without a hash has no duplicates.
+    """
+    # No hash begins like this.
+    keyed = files.select("file_id", F.coalesce("file_hash", F.concat(F.lit("#"), F.col("file_id"))).alias("key"))
+    out = "file_id bigint, key string, duplicate_of bigint"
+    found = keyed.groupBy("key").transformWithStateInPandas(FirstFile(), out, outputMode="Append", timeMode="None")
+    return found.select("file_id", F.when(~F.startswith("key", F.lit("#")), F.col("key")).alias("file_hash"), "duplicate_of")
 
 
 def rolling_window(state: str, order: list[Column], size: int = 100) -> Callable[[DataFrame, int], None]:
@@ -111,3 +147,6 @@ def rolling_window(state: str, order: list[Column], size: int = 100) -> Callable
 def last_window(spark: SparkSession, state: str) -> DataFrame:
     log = spark.read.parquet(state)
     return log.filter(F.col(BATCH) == log.agg(F.max(BATCH).alias("m")).scalar()).drop(BATCH)
+
+
+ship_with_tasks(__name__)

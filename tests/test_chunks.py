@@ -53,6 +53,24 @@ def test_chunks_hold_whole_text(spark):
     assert all(c.word_count - 2 * c.content.count("\n\n") <= 900 for c in made)
 
 
+def test_a_book_of_a_hundred_thousand_paragraphs(spark):
+    pages = spark.range(1, 5001).select(
+        F.lit(1).cast("bigint").alias("book_id"), F.col("id").alias("page"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.repeat(F.lit("字"), (F.col("id") * 7 + i * 13) % 60 + 1)), "\n\n").alias("text")
+    )
+    spans = spark.createDataFrame([(1, None, 1, 5000)], INTERVAL)
+    made = chunking.chunk_pages(pages, spans).orderBy("chunk_index").collect()
+    lengths = [(page * 7 + i * 13) % 60 + 1 for page in range(1, 5001) for i in range(1, 21)]
+    sizes, open_ = [], 0
+    for n in lengths:
+        if open_ and open_ + n > 900:
+            sizes.append(open_)
+            open_ = 0
+        open_ += n
+    assert [c.content.count("字") for c in made] == [*sizes, open_]
+    assert [c.chunk_index for c in made] == list(range(len(made))) and made[-1].page_end == 5000
+    assert chunking.chunk_pages(pages, spans, chunking.window_chunks).count() > 1000
+
+
 def test_definitions(value):
     found = value("导数是指函数在某一点的变化率。极限是函数趋近的值。", lexical.definitions)
     assert [d.term for d in found] == ["导数"]

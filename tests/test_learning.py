@@ -209,8 +209,8 @@ def arriving(spark, tmp_path):
 ATTEMPT = "attempt_id bigint, quiz_id bigint, is_correct bigint, answered_at timestamp"
 
 
-def run(stream, sink, tmp_path, mode):
-    jobs.start(stream, sink, str(tmp_path / "state"), mode).awaitTermination()
+def run(stream, sink, tmp_path, mode, conf=None, name="state"):
+    jobs.start(stream, sink, str(tmp_path / name), mode, conf).awaitTermination()
 
 
 def test_late_data(spark, rows, arriving, tmp_path):
@@ -234,11 +234,26 @@ def test_quiz_state(spark, rows, arriving, tmp_path):
     assert rows(jobs.newest_rows(spark, out, ["quiz_id"]), "quiz_id", "is_correct", "correct_rate") == [(1, 0, 0.5), (2, 1, 1.0)]
 
 
+def test_late_rows_are_counted(spark, rows, arriving, tmp_path):
+    batches = [[(1, 1, 1, DAY(10))], [(2, 1, 0, DAY(10))], [(3, 1, 1, DAY(9)), (4, 1, 1, DAY(1)), (5, 2, 1, DAY(2))]]
+    stream = arriving("l", ATTEMPT, batches)
+    counted, every = str(tmp_path / "counted"), str(tmp_path / "every")
+    run(jobs.daily_activity(stream), jobs.update_log(counted), tmp_path, "update")
+    run(jobs.daily_arrivals(stream), jobs.update_log(every), tmp_path, "update", name="arrivals")
+    made = {r.date.day: (r.attempts, r.late) for r in jobs.late_attempts(spark, counted, every).collect()}
+    assert made == {1: (0, 1), 2: (0, 1), 9: (1, 0), 10: (2, 0)}
+
+
 def test_import_deduplication(spark, rows, arriving, tmp_path):
-    batches = [[(1, "x"), (2, "x")], [(3, "y"), (4, "x")], [(5, "y")]]
+    batches = [[(1, "x"), (2, "x")], [(3, "y"), (4, "x")], [(5, "y"), (6, None), (7, None)], [(9, "z"), (8, "z"), (10, "x")]]
     out = str(tmp_path / "out")
-    run(arriving("i", "file_id bigint, file_hash string", batches), jobs.import_deduplication(out), tmp_path, "append")
-    assert rows(spark.read.parquet(out), "file_id", "duplicate_of") == [(1, None), (2, 1), (3, None), (4, 1), (5, 3)]
+    arrived = arriving("i", "file_id bigint, file_hash string", batches)
+    run(jobs.import_deduplication(arrived), jobs.update_log(out), tmp_path, "append", jobs.KEYED)
+    made = rows(spark.read.parquet(out), "file_id", "file_hash", "duplicate_of")
+    assert made == sorted([(1, "x", None), (2, "x", 1), (3, "y", None), (4, "x", 1), (5, "y", 3), (6, None, None), (7, None, None), (8, "z", None), (9, "z", 8), (10, "x", 1)], key=repr)
+    # Each batch wrote its own rows; the state, not what was written, knows the files before.
+    assert spark.read.parquet(out).groupBy("batch").count().count() == 4
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("HDFSBackedStateStoreProvider")
 
 
 def test_rolling_window(spark, rows, arriving, tmp_path):

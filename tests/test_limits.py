@@ -1,5 +1,7 @@
 """Inputs beyond what the tables hold: deep trees, large numbers, long files, text that crosses lines."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,6 +26,50 @@ def test_deep_chain_and_cycle(spark):
     assert read[1499] == 1499 and len(read) == 1503 and read[9000] is read[9002] is None
 
 
+def walked(rows):
+    """Number, last number below and depth of each node, by walking; nodes on or below a cycle have none."""
+    known, children = {r[0] for r in rows}, {}
+    for node, parent, order in rows:
+        children.setdefault(parent if parent in known else None, []).append((order, node))
+    found, at = {}, 0
+    stack = [(node, 0, False) for _, node in sorted(children.get(None, []), reverse=True)]
+    while stack:
+        node, depth, done = stack.pop()
+        if done:
+            found[node] = (found[node][0], at - 1, depth)
+            continue
+        found[node], at = (at, None, depth), at + 1
+        stack.append((node, depth, True))
+        stack += [(child, depth + 1, False) for _, child in sorted(children.get(node, []), reverse=True)]
+    return {node: found.get(node, (None, None, None)) for node in known}
+
+
+@pytest.mark.parametrize("reach", [1, 6, 400])
+def test_intervals_are_those_of_a_walk(spark, reach):
+    chance = random.Random(reach)
+    rows = [(i, chance.randrange(max(0, i - reach), i) if i and chance.random() < 0.98 else (5000 if i % 2 else None), chance.randrange(3)) for i in range(400)]
+    rows += [(900, 901, 0), (901, 900, 1), (902, 901, 0), (903, 903, 0)]
+    nodes = spark.createDataFrame(rows, "node_id bigint, parent_id bigint, order_index int")
+    expected = walked(rows)
+    assert {r.node_id: (r.enter, r.leave, r.depth) for r in tree.intervals(nodes).collect()} == expected
+    roots = [0, 3, 7, 399, 901, 12345] + ([*range(0, 400, 9)] if reach > 1 else [])
+    inside = {(root, n) for root in set(roots) if expected.get(root, (None,))[0] is not None for n, (e, *_) in expected.items() if e is not None and expected[root][0] <= e <= expected[root][1]}
+    asked = spark.createDataFrame([(r,) for r in roots], "root_id bigint")
+    assert sorted(map(tuple, tree.subtree_closure(nodes, asked).collect())) == sorted(inside)
+    assert sorted(r.node_id for r in tree.delete_subtrees(nodes, asked).collect()) == sorted(set(expected) - {n for _, n in inside})
+    titled = nodes.select("*", F.concat(F.lit("t"), F.col("node_id") % 37, F.lit(".")).alias("title"), F.lit(None).cast("string").alias("note"))
+    hits = {n for n in expected if n % 37 == 5}
+    kept = {n for n, (e, last, _) in expected.items() if e is not None and any(expected[h][0] is not None and e <= expected[h][0] <= last for h in hits)}
+    assert {r.node_id for r in tree.filter_with_ancestors(titled, "T5.").collect()} == kept
+
+
+def test_a_chain_of_a_hundred_thousand_nodes(spark):
+    n = 100_000
+    nodes = spark.range(n).select(F.col("id").alias("node_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"))
+    walk = tree.intervals(nodes)
+    assert walk.filter(f"enter <> node_id or leave <> {n - 1} or depth <> node_id").count() == 0
+
+
 def test_twelve_levels(spark):
     items = spark.createDataFrame([(1, k, f"t{k}", k + 1, k + 1) for k in range(12)], "book_id bigint, seq bigint, title string, level bigint, page bigint")
     books = spark.createDataFrame([(1, 20), (2, 3)], "book_id bigint, total_pages bigint")

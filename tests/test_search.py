@@ -1,14 +1,14 @@
 """Index, retrieval, prompts and answer checks on a small library."""
 
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import answers as A
-from quire.operators import index, retrieval
-from quire.sources import store
+from quire.operators import blocks, index, retrieval
 from quire.session import fresh_path
 
 CHUNK = "chunk_id bigint, book_id bigint, chapter_id bigint, chunk_index bigint, page_start bigint, page_end bigint, content string"
@@ -44,16 +44,77 @@ def test_bm25_against_formula(spark, library):
     assert set(made) == set(counts)
 
 
-def test_stored_index_is_the_same(spark, library, rows):
-    chunks = library[0]
-    stored = store.rebuild_index(chunks, fresh_path(spark, "test-index"), 3)
-    direct = index.build_index(chunks)
-    for name in ("postings", "frequency", "stats"):
-        expected = getattr(direct, name)
-        assert rows(getattr(stored, name).select(expected.columns)) == rows(expected)
-    wanted = spark.createDataFrame([("section",)], "token string")
-    found = stored.of_tokens(wanted)
-    assert rows(found.filter("token = 'section'").select(direct.postings.columns)) == rows(direct.postings.filter("token = 'section'"))
+@pytest.fixture(scope="module")
+def stored(spark, library):
+    return blocks.write_index(library[0], fresh_path(spark, "test-index"))
+
+
+def test_stored_index_is_the_same(spark, library, stored, rows):
+    direct = index.build_index(library[0])
+    one = stored.table("blocks").select("token", "slot", F.explode("postings").alias("p")).select("token", F.expr(f"slot * 64 + {blocks.PLACE}").alias("number"), F.expr(blocks.TF).alias("tf"), F.expr(blocks.DL).alias("dl"))
+    named = one.join(stored.table("entries").select("number", "chunk_id", "book_id"), "number")
+    assert rows(named, "chunk_id", "book_id", "token", "tf", "dl") == rows(direct.postings, "chunk_id", "book_id", "token", "tf", "dl")
+    assert rows(stored.table("frequency"), "token", "df") == rows(direct.frequency, "token", "df")
+    assert (stored.n_docs, stored.avgdl) == pytest.approx(tuple(direct.stats.first()))
+    again = blocks.read_index(spark, stored.path)
+    assert again == stored
+    blocks.write_phrases(stored)
+    assert blocks.read_index(spark, stored.path).phrases
+    bits = stored.table("blocks").select(F.bit_count("mask").alias("n"), F.size("postings").alias("m"))
+    assert bits.filter("n <> m").count() == 0
+
+
+def made_chunks(spark, count, seed=4):
+    """Chunks of frequent and rare words; some words stand in all of them, some in a few."""
+    chance = random.Random(seed)
+    common, rare = [f"w{i}" for i in range(12)], [f"rare{i}" for i in range(count // 8)]
+    texts = [" ".join(chance.choices(common, k=chance.randrange(3, 30)) + (chance.sample(rare, 2) if chance.random() < 0.3 else [])) + "; end." for _ in range(count)]
+    order = chance.sample(range(count), count)
+    rows = [(order[i], order[i] // 40, order[i] // 10 if order[i] % 3 else None, t) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "chunk_id bigint, book_id bigint, chapter_id bigint, content string").coalesce(3)
+
+
+def test_search_in_blocks_is_the_search_of_all_postings(spark, rows):
+    chunks = made_chunks(spark, 3000)
+    stored = blocks.write_index(chunks, fresh_path(spark, "many"))
+    questions = asked(spark, "w1 w2 rare7", "w1", "rare3 rare9 rare11", "w0 w1 w2 w3 w4 w5 w6 w7", "nothing", "", None, "rare5 w3 end")
+    scores = retrieval.bm25_scores(questions, index.build_index(chunks))
+    for k in (1, 5, 30):
+        found = stored.search(questions, k)
+        columns = ("query_id", "chunk_id", "book_id", "score", "rank")
+        assert rows(found.top, *columns) == rows(retrieval.top_k(scores, k), *columns)
+        assert rows(found.totals, "query_id", "total") == rows(retrieval.hit_totals(scores), "query_id", "total")
+    # Slots without the rare word cannot reach the best scores: their blocks of frequent words are not read.
+    found = stored.search(questions.filter("query_id = 0"), 1)
+    assert found.scored.count() < found.slots.count() / 2
+
+
+def test_scopes_in_blocks(spark, rows):
+    chunks = made_chunks(spark, 800)
+    stored = blocks.write_index(chunks, fresh_path(spark, "scoped"))
+    books = spark.createDataFrame([(i, "even" if i % 2 == 0 else "odd") for i in range(18)], "book_id bigint, category string")
+    links = spark.createDataFrame([(3, 7), (4, 7), (4, 7), (5, 8)], "book_id bigint, tag_id bigint")
+    scopes = spark.createDataFrame(
+        [(0, None, None, None, None), (1, [1, 2, 99], None, None, None), (2, None, "even", None, None), (3, [3, 4], "even", 7, None),
+         (4, None, None, 7, None), (5, [], None, None, None), (6, None, None, None, 31), (7, None, "none", None, None), (8, [3], None, None, 31)],
+        "query_id bigint, book_ids array<bigint>, category string, tag_id bigint, chapter_id bigint",
+    )
+    questions = asked(spark, *["w1 w2 rare7"] * 10)
+    scores = retrieval.bm25_scores(questions, index.build_index(chunks))
+    kept = retrieval.scope_filter(scores, scopes, books, links, chunks)
+    found = stored.search(questions, 4, stored.scope(scopes, books, links))
+    assert rows(found.top, "query_id", "chunk_id", "score", "rank") == rows(retrieval.top_k(kept, 4), "query_id", "chunk_id", "score", "rank")
+    assert rows(found.totals, "query_id", "total") == rows(retrieval.hit_totals(kept), "query_id", "total")
+    keep = lambda hits: retrieval.scope_filter(hits, scopes, books, links, chunks)
+    phrases = asked(spark, *["are7 d."] * 10)
+    made = stored.substrings(phrases, 4, stored.scope(scopes, books, links))
+    assert rows(made, "query_id", "chunk_id", "rank") == rows(retrieval.substring_search(phrases, chunks, 4, keep), "query_id", "chunk_id", "rank")
+
+
+def test_empty_index(spark):
+    stored = blocks.write_index(spark.createDataFrame([], "chunk_id bigint, book_id bigint, content string"), fresh_path(spark, "empty"))
+    found = stored.search(asked(spark, "x"), 3)
+    assert found.top.count() == found.totals.count() == stored.substrings(asked(spark, "x")).count() == 0
 
 
 def test_ties_and_pages(spark, library):
@@ -91,6 +152,27 @@ def test_substring(spark, library, query, expected):
     assert [r.chunk_id for r in found] == expected
 
 
+@pytest.mark.parametrize("limit", [1, 5])
+def test_substrings_in_blocks(spark, library, stored, rows, limit):
+    texts = ["modyn", "hermo zzz", "a; t", "eta", ";", "???", "b", "? ?", "n", "", "section 1", "; t", "a"]
+    made = stored.substrings(asked(spark, *texts), limit)
+    expected = []
+    content = {r.chunk_id: r.content.lower() for r in library[0].collect()}
+    for q, phrase in rows(retrieval.fallback_phrases(asked(spark, *texts)), "query_id", "phrase"):
+        expected += [(q, c) for c, t in content.items() if phrase in t]
+    best = {q: sorted({c for k, c in expected if k == q})[:limit] for q, _ in expected}
+    assert rows(made, "query_id", "chunk_id") == sorted(((q, c) for q, cs in best.items() for c in cs), key=repr)
+    assert rows(made, "query_id", "chunk_id", "rank") == rows(retrieval.substring_search(asked(spark, *texts), library[0], limit), "query_id", "chunk_id", "rank")
+
+
+def test_substrings_of_many_chunks(spark, rows):
+    chunks = made_chunks(spark, 1500, seed=6)
+    stored = blocks.write_index(chunks, fresh_path(spark, "phrases"))
+    questions = asked(spark, "are17", "w1", "rare", "end.", "w11 w0", "e", "5; e")
+    made = rows(stored.substrings(questions, 7), "query_id", "chunk_id", "rank")
+    assert made == rows(retrieval.substring_search(questions, chunks, 7), "query_id", "chunk_id", "rank")
+
+
 def test_snippet(spark):
     words = [f"w{i}" for i in range(30)]
     df = spark.createDataFrame([(words, ["w20", "w22"])], "t array<string>, w array<string>")
@@ -129,7 +211,7 @@ def test_vectors_in_scope(spark, rows):
     ]
 
 
-def test_retrieve_in_scope(spark, library):
+def test_retrieve_in_scope(spark, library, stored):
     chunks, books, chapters = library
     queries = asked(spark, "alpha gamma", "alpha gamma", "modyn", "modyn")
     scopes = spark.createDataFrame(
@@ -140,6 +222,8 @@ def test_retrieve_in_scope(spark, library):
     made = retrieval.retrieve(
         queries, chunks, books, chapters, index.build_index(chunks), scopes=scopes, links=links
     ).collect()
+    of_blocks = retrieval.retrieve(queries, chunks, books, chapters, stored, scopes=scopes, links=links).collect()
+    assert sorted(map(tuple, made), key=repr) == sorted(map(tuple, of_blocks), key=repr)
     of = lambda q: {r.book_id for r in made if r.query_id == q}
     assert of(0) == {1} and of(1) == {2} and of(3) == {2}
     assert [r.snippet for r in made if r.query_id == 2] == ["《One》目录：First / Second"]
