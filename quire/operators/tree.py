@@ -2,10 +2,10 @@
 
 A walk through the tree, siblings in order, numbers its nodes; the subtree of a node is then an interval of
 numbers, from its own to that of its last descendant. Closures, deletions, moves and filters compare numbers
-and never hold the way to a node. Numbers come from pointer doubling: after round ``r`` every node knows its
-ancestor ``2^r`` steps up and how many descendants it has within that distance, so a tree of depth 100,000
-needs seventeen rounds of joins on a unique key. Rounds go on until no further node reaches a root; what is
-left then lies on or below a cycle. The lineage is cut in every round by a reliable checkpoint.
+and never hold the way to a node. Numbers come from pointer jumping: after round ``r`` every node knows its
+ancestor ``4^r`` steps up and how many descendants it has within that distance, so a tree of depth 100,000
+needs nine rounds of joins on a unique key. Rounds go on until no further node reaches a root; what is
+left then lies on or below a cycle. The lineage is cut in every round by a checkpoint or a written table.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.ranking import global_running_sum, row_number_within
-from quire.session import checkpointed
+from quire.session import checkpointed, written
 
 
 def _with_known_parents(nodes: DataFrame, **values: Column) -> DataFrame:
@@ -58,32 +58,40 @@ def intervals(nodes: DataFrame) -> DataFrame:
     ``node_id``. Nodes on or below a cycle have NULL numbers.
     """
     order = ["order_index"] if "order_index" in nodes.columns else []
+    # Written tables come back without what the planner has inferred about them, which grows with each join.
     state = _with_known_parents(nodes, size=F.lit(1).cast("bigint"), **{c: F.col(c) for c in order})
     parents = state.select("node_id", F.col("up").alias("parent"), *order)
-    state, jumps = state.select("node_id", "up", "size"), []
-    open_before, still_open = None, state.filter("up is not null").count()
+    pointers, sized, jumps = state.select("node_id", "up"), state.select("node_id", "size"), []
+    open_before, still_open = None, pointers.filter("up is not null").count()
     while still_open and still_open != open_before:
-        # Descendants at twice the distance are those of the nodes that are just out of reach.
-        further = state.filter("up is not null").groupBy(F.col("up").alias("node_id")).agg(F.sum("size").alias("more"))
-        above = state.select(F.col("node_id").alias("up"), F.col("up").alias("next"))
-        jumps.append(state.select("node_id", "up"))
-        state = state.join(above, "up", "left").join(further, "node_id", "left")
-        state = checkpointed(state.select("node_id", F.col("next").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
-        open_before, still_open = still_open, state.filter("up is not null").count()
-    sized = parents.join(state.filter("up is null").select("node_id", "size"), "node_id")
-    summed = global_running_sum(sized, ["parent", *order, "node_id"], "size", "before")
+        hops = pointers.withColumnRenamed("up", "j1").join(sized, "node_id")
+        for k in (2, 3, 4):
+            further = pointers.select(F.col("node_id").alias(f"j{k - 1}"), F.col("up").alias(f"j{k}"))
+            hops = hops.join(further, f"j{k - 1}", "left")
+        hops = written(hops.select("node_id", "j1", "j2", "j3", "j4", "size"), "hops")
+        # Descendants at four times the distance are those of the nodes one, two and three jumps below.
+        below = hops.select(F.explode(F.array("j1", "j2", "j3")).alias("node_id"), F.col("size").alias("more")).filter("node_id is not null")
+        more = below.groupBy("node_id").agg(F.sum("more").alias("more"))
+        sized = hops.join(more, "node_id", "left").select("node_id", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+        pointers = hops.select("node_id", F.col("j4").alias("up"))
+        jumps.append(hops.select("node_id", "j1", "j2", "j3"))
+        open_before, still_open = still_open, pointers.filter("up is not null").count()
+    rooted = parents.join(sized, "node_id").join(pointers.filter("up is null").select("node_id"), "node_id")
+    summed = global_running_sum(rooted, ["parent", *order, "node_id"], "size", "before")
     first = summed.groupBy(F.col("parent").alias("of")).agg(F.min("before").alias("first"))
     placed = summed.join(first, F.col("parent").eqNullSafe(F.col("of")))
     child = F.col("parent").isNotNull().cast("bigint")
-    walk = checkpointed(placed.select("node_id", "size", (F.col("before") - F.col("first") + child).alias("enter"), child.alias("depth")))
+    walk = written(placed.select("node_id", "size", (F.col("before") - F.col("first") + child).alias("enter"), child.alias("depth")), "walk")
     for jump in jumps:
-        # What the way up adds, at double the distance.
-        above = walk.select(F.col("node_id").alias("up"), F.col("enter").alias("upper_enter"), F.col("depth").alias("upper_depth"))
-        longer = walk.join(jump, "node_id").join(above, "up", "left")
-        plus = [(F.col(n) + F.coalesce(f"upper_{n}", F.lit(0))).alias(n) for n in ("enter", "depth")]
-        walk = checkpointed(longer.select("node_id", "size", *plus))
+        # What the way up adds, at four times the distance.
+        longer = walk.join(jump, "node_id")
+        for k in (1, 2, 3):
+            above = walk.select(F.col("node_id").alias(f"j{k}"), F.col("enter").alias(f"enter{k}"), F.col("depth").alias(f"depth{k}"))
+            longer = longer.join(above, f"j{k}", "left")
+        plus = [sum((F.coalesce(f"{n}{k}", F.lit(0)) for k in (1, 2, 3)), F.col(n)).alias(n) for n in ("enter", "depth")]
+        walk = written(longer.select("node_id", "size", *plus), "walk")
     walk = walk.select("node_id", "enter", (F.col("enter") + F.col("size") - 1).alias("leave"), "depth")
-    return nodes.select("node_id").join(walk, "node_id", "left")
+    return written(nodes.select("node_id").join(walk, "node_id", "left"), "intervals")
 
 
 def _cells(low: str, high: str, levels: int) -> Column:
@@ -103,7 +111,7 @@ def within(points: DataFrame, ranges: DataFrame, how: str = "inner") -> DataFram
     """
     largest = points.agg(F.max("enter")).first()[0]
     cut = ranges.withColumn("at", _cells("low", "high", int(largest or 0).bit_length() + 1)).select("*", "at.level", "at.cell").drop("at", "low", "high")
-    cut = checkpointed(cut)
+    cut = written(cut, "ranges")
     levels = sorted(r[0] for r in cut.select("level").distinct().collect())  # no more than bits of a number
     each = points.withColumn("level", F.explode(F.array(*[F.lit(n) for n in levels]) if levels else F.array().cast("array<int>")))
     each = each.withColumn("cell", F.expr("shiftright(enter, level)"))
@@ -133,29 +141,30 @@ def read_tree(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _subtrees(nodes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    walk = checkpointed(intervals(nodes)).filter("enter is not null")
+def _subtrees(nodes: DataFrame, roots: DataFrame, walk: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    walk = (walk or intervals(nodes)).filter("enter is not null")
     wanted = walk.join(roots.select(F.col("root_id").alias("node_id")).distinct(), "node_id")
     return walk.select("node_id", "enter"), wanted.select(F.col("node_id").alias("root_id"), F.col("enter").alias("low"), F.col("leave").alias("high"))
 
 
-def subtree_closure(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """``(root_id, node_id)`` for every node of each root's subtree, the root included."""
-    return within(*_subtrees(nodes, roots)).select("root_id", "node_id")
+def subtree_closure(nodes: DataFrame, roots: DataFrame, walk: DataFrame | None = None) -> DataFrame:
+    """``(root_id, node_id)`` for every node of each root's subtree, the root included. ``walk``: the
+    ``intervals`` of the nodes, if they are known; so in the functions below."""
+    return within(*_subtrees(nodes, roots, walk)).select("root_id", "node_id")
 
 
-def delete_subtrees(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+def delete_subtrees(nodes: DataFrame, roots: DataFrame, walk: DataFrame | None = None) -> DataFrame:
     """The nodes outside the subtrees of ``roots``."""
-    gone = within(*_subtrees(nodes, roots), "left_semi").select("node_id").distinct()
+    gone = within(*_subtrees(nodes, roots, walk), "left_semi").select("node_id").distinct()
     return nodes.join(gone, "node_id", "left_anti")
 
 
-def validate_moves(nodes: DataFrame, moves: DataFrame) -> DataFrame:
+def validate_moves(nodes: DataFrame, moves: DataFrame, walk: DataFrame | None = None) -> DataFrame:
     """``moves(node_id, target_id)`` with a verdict: a node may not move below itself.
 
     A NULL target makes the node a root.
     """
-    walk = checkpointed(intervals(nodes))
+    walk = walk or intervals(nodes)
     own = walk.select("node_id", "enter", "leave", F.lit(True).alias("exists"))
     targets = walk.select(F.col("node_id").alias("target_id"), F.col("enter").alias("at"), F.lit(True).alias("known_target"))
     joined = moves.join(own, "node_id", "left").join(targets, "target_id", "left")
@@ -180,15 +189,15 @@ def append_order(nodes: DataFrame, added: DataFrame) -> DataFrame:
     )
 
 
-def filter_with_ancestors(nodes: DataFrame, term: str) -> DataFrame:
+def filter_with_ancestors(nodes: DataFrame, term: str, walk: DataFrame | None = None) -> DataFrame:
     """Nodes whose title or note contains ``term``, with all their ancestors.
 
     A node stays if there are more hits up to the end of its subtree than before its begin.
     """
     text = F.lower(F.concat("title", F.coalesce("note", F.lit(""))))
     hit = F.coalesce(F.contains(text, F.lit(term.strip().lower())), F.lit(False)).cast("bigint")
-    walk = intervals(nodes).join(nodes.select("node_id", hit.alias("hit")), "node_id").filter("enter is not null")
-    counted = checkpointed(global_running_sum(walk.select("node_id", "enter", "leave", "hit"), ["enter"], "hit", "before"))
+    walk = (walk or intervals(nodes)).join(nodes.select("node_id", hit.alias("hit")), "node_id").filter("enter is not null")
+    counted = written(global_running_sum(walk.select("node_id", "enter", "leave", "hit"), ["enter"], "hit", "before"), "counted")
     ends = counted.select(F.col("enter").alias("leave"), (F.col("before") + F.col("hit")).alias("after"))
     kept = counted.join(ends, "leave").filter("after > before").select("node_id")
     return nodes.join(kept, "node_id", "left_semi")

@@ -44,23 +44,24 @@ def walked(rows):
     return {node: found.get(node, (None, None, None)) for node in known}
 
 
-@pytest.mark.parametrize("reach", [1, 6, 400])
-def test_intervals_are_those_of_a_walk(spark, reach):
-    chance = random.Random(reach)
-    rows = [(i, chance.randrange(max(0, i - reach), i) if i and chance.random() < 0.98 else (5000 if i % 2 else None), chance.randrange(3)) for i in range(400)]
+def test_intervals_are_those_of_a_walk(spark):
+    chance = random.Random(6)
+    reach = [1, 6, 400]
+    rows = [(i, chance.randrange(max(0, i - reach[i // 40 % 3]), i) if i and chance.random() < 0.98 else (5000 if i % 2 else None), chance.randrange(3)) for i in range(400)]
     rows += [(900, 901, 0), (901, 900, 1), (902, 901, 0), (903, 903, 0)]
     nodes = spark.createDataFrame(rows, "node_id bigint, parent_id bigint, order_index int")
-    expected = walked(rows)
-    assert {r.node_id: (r.enter, r.leave, r.depth) for r in tree.intervals(nodes).collect()} == expected
-    roots = [0, 3, 7, 399, 901, 12345] + ([*range(0, 400, 9)] if reach > 1 else [])
+    expected, walk = walked(rows), tree.intervals(nodes)
+    assert {r.node_id: (r.enter, r.leave, r.depth) for r in walk.collect()} == expected
+    assert max(d for *_, d in expected.values() if d is not None) > 40
+    roots = [3, 7, 399, 901, 12345, *range(0, 400, 9)]
     inside = {(root, n) for root in set(roots) if expected.get(root, (None,))[0] is not None for n, (e, *_) in expected.items() if e is not None and expected[root][0] <= e <= expected[root][1]}
     asked = spark.createDataFrame([(r,) for r in roots], "root_id bigint")
-    assert sorted(map(tuple, tree.subtree_closure(nodes, asked).collect())) == sorted(inside)
-    assert sorted(r.node_id for r in tree.delete_subtrees(nodes, asked).collect()) == sorted(set(expected) - {n for _, n in inside})
+    assert sorted(map(tuple, tree.subtree_closure(nodes, asked, walk).collect())) == sorted(inside)
+    assert sorted(r.node_id for r in tree.delete_subtrees(nodes, asked, walk).collect()) == sorted(set(expected) - {n for _, n in inside})
     titled = nodes.select("*", F.concat(F.lit("t"), F.col("node_id") % 37, F.lit(".")).alias("title"), F.lit(None).cast("string").alias("note"))
     hits = {n for n in expected if n % 37 == 5}
     kept = {n for n, (e, last, _) in expected.items() if e is not None and any(expected[h][0] is not None and e <= expected[h][0] <= last for h in hits)}
-    assert {r.node_id for r in tree.filter_with_ancestors(titled, "T5.").collect()} == kept
+    assert {r.node_id for r in tree.filter_with_ancestors(titled, "T5.", walk).collect()} == kept
 
 
 def test_a_chain_of_a_hundred_thousand_nodes(spark):
