@@ -17,16 +17,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quire.llm.common import Numbers, slices, tidied, utf8
+from quire.llm.vocabulary import LETTERS
 from quire.session import ship_with_tasks
 
 #: Distinct chunks that a task remembers before it starts anew; bounds its memory.
@@ -37,6 +39,38 @@ LEARNT = 8 << 20
 BATCH = 4 << 20
 
 
+def members(kind: str) -> str:
+    """The characters of a class such as ``\\p{L}``, as ranges of a regular expression.
+
+    Which characters are letters depends on the version of Unicode, so the library is asked itself: what the
+    pattern does not match has no ids.
+    """
+    probe = tiktoken.Encoding("probe", pat_str=kind, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    found = np.array([ord(c) for c in bytes(probe.encode_ordinary(every)).decode()])
+    cuts = np.flatnonzero(np.diff(found) != 1) + 1
+    return "".join(f"\\U{part[0]:08x}-\\U{part[-1]:08x}" for part in np.split(found, cuts))
+
+
+def explicit(pattern: str) -> tuple[str, str, str]:
+    """``pattern`` with the classes of letters, numbers and white space written out; and what ``Encoder``
+    cuts texts by: a space before another character, and a space before white space or the end."""
+    known = {kind: members(kind) for kind in (r"\p{L}", r"\p{N}", r"\s")}
+
+    def written(some: str) -> str:
+        out, inside = "", False
+        for part in re.findall(r"\\p\{\w\}|\\.|.", some):
+            if part in known:
+                part = known[part] if inside else f"[{known[part]}]"
+            elif part == r"\S" and not inside:
+                part = "[^" + known[r"\s"] + "]"
+            inside = part == "[" or inside and part != "]"
+            out += part
+        return out
+
+    return written(pattern), written(r" (?=\S)"), written(r" (?=\s|$)")
+
+
 class Ranks:
     """A vocabulary: bytes of each id, and the id that each mergeable pair of ids becomes.
 
@@ -169,10 +203,11 @@ class Encoder:
     does not depend on the other, so chunks are encoded alone.
     """
 
-    def __init__(self, ranks: Ranks, pattern: str) -> None:
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.cut = regex.compile(r" (?=\S)")
-        self.spaced = regex.compile(r" (?=\s|$)")
+    def __init__(self, ranks: Ranks, patterns: tuple[str, str, str]) -> None:
+        """``patterns``: those of ``explicit``."""
+        self.ranks = ranks
+        self.pattern, self.cut, self.spaced = map(re.compile, patterns)
+        self.letters = re.compile(f"[{LETTERS}]+")
         self.reset()
 
     def reset(self) -> None:
@@ -203,7 +238,7 @@ class Encoder:
         number, sequence, counts = Numbers(), [], []
         get = number.__getitem__
         for chunk in new:
-            if chunk.isalpha():
+            if self.letters.fullmatch(chunk):
                 sequence.append(get(" " + chunk))
                 counts.append(1)
             else:
@@ -233,8 +268,10 @@ def joined(values: np.ndarray, edges: np.ndarray, sequence: np.ndarray) -> tuple
 
 
 def _mapper(ranks, pattern: str, text_col: str, names: list[str], schema: pa.Schema):
+    patterns = explicit(pattern)
+
     def run(batches):
-        encoder = Encoder(Ranks(ranks.value), pattern)
+        encoder = Encoder(Ranks(ranks.value), patterns)
         for whole in batches:
             for low, high in slices(utf8(whole.column(text_col))[1], LEARNT):
                 batch = whole.slice(low, high - low)

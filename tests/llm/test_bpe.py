@@ -19,7 +19,7 @@ def library():
 
 
 def encoded(texts):
-    encoder = bpe.Encoder(bpe.Ranks.of(bpe.read_ranks(PATH)), public_tokenizers.PATTERN)
+    encoder = bpe.Encoder(bpe.Ranks.of(bpe.read_ranks(PATH)), bpe.explicit(public_tokenizers.PATTERN))
     numbered = encoder.numbered(texts)
     encoder.learn()
     ids, counts = encoder.ids_of(*numbered)
@@ -40,6 +40,12 @@ def test_as_the_library_on_hard_texts(library):
     assert encoded(texts) == [library.encode_ordinary(t) for t in texts]
 
 
+def test_every_code_point_as_the_library(library):
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [form.replace("x", c) for k, c in enumerate(points) for form in (("x", "ax1", " x")[k % 3], "a x")[: 1 + (k < 0x3000)]]
+    assert encoded(texts) == [library.encode_ordinary(t) for t in texts]
+
+
 def test_merges_that_lead_back_to_lower_ranks():
     # "abc" is cheaper than "ab", which leads to it; the second pair of the word has to wait.
     ranks = {bytes([b]): b for b in range(256)} | {b"abc": 256, b"ab": 257, b"ca": 258}
