@@ -39,25 +39,27 @@ LEARNT = 8 << 20
 BATCH = 4 << 20
 
 
-def members(kind: str) -> str:
+def members(kind: str, below: int = 0x110000) -> str:
     """The characters of a class such as ``\\p{L}``, as ranges of a regular expression.
 
     Which characters are letters depends on the version of Unicode, so the library is asked itself: what the
     pattern does not match has no ids.
     """
     probe = tiktoken.Encoding("probe", pat_str=kind, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    every = "".join(chr(c) for c in range(below) if not 0xD800 <= c < 0xE000)
     found = np.array([ord(c) for c in bytes(probe.encode_ordinary(every)).decode()])
     cuts = np.flatnonzero(np.diff(found) != 1) + 1
     return "".join(f"\\U{part[0]:08x}-\\U{part[-1]:08x}" for part in np.split(found, cuts))
 
 
-def explicit(pattern: str) -> tuple[str, str, str]:
-    """``pattern`` with the classes of letters, numbers and white space written out; and what ``Encoder``
-    cuts texts by: a space before another character, and a space before white space or the end."""
-    known = {kind: members(kind) for kind in (r"\p{L}", r"\p{N}", r"\s")}
+def explicit(pattern: str) -> tuple[str, str, str, str]:
+    """``pattern`` with the classes of letters, numbers and white space written out; what ``Encoder`` cuts
+    texts by: a space before another character, and a space before white space or the end; and the pattern
+    for texts of ASCII, where the classes are short."""
+    kinds = (r"\p{L}", r"\p{N}", r"\s")
+    every, ascii_ = ({kind: members(kind, below) for kind in kinds} for below in (0x110000, 128))
 
-    def written(some: str) -> str:
+    def written(some: str, known: dict[str, str] = every) -> str:
         out, inside = "", False
         for part in re.findall(r"\\p\{\w\}|\\.|.", some):
             if part in known:
@@ -68,7 +70,7 @@ def explicit(pattern: str) -> tuple[str, str, str]:
             out += part
         return out
 
-    return written(pattern), written(r" (?=\S)"), written(r" (?=\s|$)")
+    return written(pattern), written(r" (?=\S)"), written(r" (?=\s|$)"), written(pattern, ascii_)
 
 
 class Ranks:
@@ -203,10 +205,10 @@ class Encoder:
     does not depend on the other, so chunks are encoded alone.
     """
 
-    def __init__(self, ranks: Ranks, patterns: tuple[str, str, str]) -> None:
+    def __init__(self, ranks: Ranks, patterns: tuple[str, str, str, str]) -> None:
         """``patterns``: those of ``explicit``."""
         self.ranks = ranks
-        self.pattern, self.cut, self.spaced = map(re.compile, patterns)
+        self.pattern, self.cut, self.spaced, self.ascii = map(re.compile, patterns)
         self.letters = re.compile(f"[{LETTERS}]+")
         self.reset()
 
@@ -242,7 +244,7 @@ class Encoder:
                 sequence.append(get(" " + chunk))
                 counts.append(1)
             else:
-                found = self.pattern.findall(chunk[2:] if chunk.startswith(" \n") else " " + chunk)
+                found = (self.ascii if chunk.isascii() else self.pattern).findall(chunk[2:] if chunk.startswith(" \n") else " " + chunk)
                 counts.append(len(found))
                 sequence += map(get, found)
         ids, edges = replay(self.ranks, [w.encode("utf-8", "surrogatepass") for w in number])
