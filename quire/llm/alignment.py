@@ -47,14 +47,18 @@ MARK = "\u2581"
 #: A word ends where one space or line feed stands between two characters that are no white space to anyone.
 SOLID = rf"[^\s{MARK}\u180e\u200b-\u200f\u2060\ufeff]"
 CUT = re.compile(rf"(?<={SOLID})(?=[ \n]{SOLID})")
-#: Texts in which every space and line feed is such a place.
-ODD = re.compile(rf"[^\S \n]|[{MARK}\u180e\u200b-\u200f\u2060\ufeff]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
+#: White space other than space and line feed, and what else is not ``SOLID``.
+OTHER = re.compile(rf"[^\S \n]|[{MARK}\u180e\u200b-\u200f\u2060\ufeff]")
+#: Those of them that are ASCII.
+CONTROL = re.compile("[\t\v\f\r\x1c-\x1f]")
+#: Beside another blank, a blank is no such place; nor is it at the ends of a text.
+BLANKS = ("  ", "\n\n", " \n", "\n ")
 
 
 def words_of(text: str) -> list[str]:
     """The words of a space and the text. A word's one leading space is left out; if white space follows
     it, or a word begins with a line feed, it is kept as it is."""
-    if not ODD.search(text):
+    if text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in BLANKS) and (text.isascii() and not CONTROL.search(text) or not OTHER.search(text)):
         return text.replace("\n", " \n").split(" ")
     return [w[1:] if w[0] == " " and w[1:2] not in ("", " ", "\n") else w for w in CUT.split(" " + text)]
 
@@ -100,6 +104,8 @@ class Aligner:
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.lone = self.b.piece_to_id(MARK)
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(MARK, " ").encode() for k, p in enumerate(pieces)]
+        self.sizes = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
+        self.names = [str(k) for k in range(max(map(len, self.sizes)))]
         # Words may be taken apart if no piece goes on after a space or holds a line feed.
         self.apart = not any(re.search(rf"[^{MARK}]{MARK}|\n", p) for p in pieces)
         self.reset()
@@ -110,21 +116,22 @@ class Aligner:
         self.counts = np.zeros((0, 4), np.int64)
         self.pairs, self.edges = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def ids_a(self, words: list[str]) -> list[list[int]]:
-        """A's ids of words as they are spelled."""
-        easy = [w for w in words if self.plain.fullmatch(w)]
+    def ids_a(self, words: list[str]) -> tuple[list[list[int]], list[bool]]:
+        """A's ids of words as they are spelled, and which of them are plain."""
+        easy = [self.plain.fullmatch(w) is not None for w in words]
+        chosen = [w for w, good in zip(words, easy, strict=True) if good]
         found = []
-        if easy:
-            ids, edges = cut_at(np.array(self.fast.encode_ordinary(BETWEEN.join(map(spelled, easy))), np.int32), self.between)
+        if chosen:
+            ids, edges = cut_at(np.array(self.fast.encode_ordinary(BETWEEN.join(map(spelled, chosen))), np.int32), self.between)
             ids, edges = self.of_rank[ids].tolist(), edges.tolist()
             found = [ids[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True)]
-        if len(easy) == len(words):
-            return found
+        if len(chosen) == len(words):
+            return found, easy
         if self.library is None:
             self.library = Tokenizer.from_str(self.file)
             self.library.encode_special_tokens = True
         ready = iter(found)
-        return [next(ready) if self.plain.fullmatch(w) else self.library.encode(spelled(w), add_special_tokens=False).ids for w in words]
+        return [next(ready) if good else self.library.encode(spelled(w), add_special_tokens=False).ids for w, good in zip(words, easy, strict=True)], easy
 
     def ids_b(self, words: list[str]) -> list[list[int]]:
         """B's ids of words as they are spelled; B puts a space before what it gets."""
@@ -137,19 +144,21 @@ class Aligner:
         new = list(self.number)[len(self.texts) :]
         if not new:
             return
-        size_a, size_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
+        size_a, size_b = self.sizes
+        name = self.names.__getitem__
         counts, pairs, edges = [], [], [len(self.pairs)]
         number = self.pair.__getitem__
-        for word, a, b in zip(new, self.ids_a(new), self.ids_b(new), strict=True):
+        for word, a, good, b in zip(new, *self.ids_a(new), self.ids_b(new), strict=True):
             raw = spelled(word).encode("utf-8", "surrogatepass")
-            if b"".join([self.bytes_a[x] for x in a]) != raw or b"".join([self.bytes_b[x] for x in b]) != raw:
+            # A gives plain words back by its rules; of the others, and of B, it is checked.
+            if b"".join([self.bytes_b[x] for x in b]) != raw or not good and b"".join([self.bytes_a[x] for x in a]) != raw:
                 self.texts.append(None)
                 counts.append((0, 0, 0, 0))
                 edges.append(edges[-1])
                 continue
             if len(a) == 1 or len(b) == 1:  # one group, all linked
                 found, linked = 1, [number((x, y)) for x in a for y in b]
-                self.texts.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
+                self.texts.append(",".join(map(name, a)) + "|" + ",".join(map(name, b)))
             else:
                 ends_a, ends_b, at = [], [], 0
                 for x in a:
@@ -161,7 +170,7 @@ class Aligner:
                     ends_b.append(at)
                 cut = groups(a, b, ends_a, ends_b)
                 found, linked = len(cut), [number((a[i], b[j])) for i, j in links(cut, ends_a, ends_b)]
-                self.texts.append(";".join([",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])) for i, x, j, y in cut]))
+                self.texts.append(";".join([",".join(map(name, a[i:x])) + "|" + ",".join(map(name, b[j:y])) for i, x, j, y in cut]))
             counts.append((len(a), len(b), found, len(linked)))
             pairs += linked
             edges.append(edges[-1] + len(linked))
