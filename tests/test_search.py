@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import answers as A
 from quire.operators import blocks, index, retrieval
-from quire.session import fresh_path
+from quire.session import checkpointed, fresh_path
 
 CHUNK = "chunk_id bigint, book_id bigint, chapter_id bigint, chunk_index bigint, page_start bigint, page_end bigint, content string"
 
@@ -64,9 +64,9 @@ def test_stored_index_is_the_same(spark, library, stored, rows):
     assert bits.filter("n <> m").count() == 0
 
 
-def made_chunks(spark, count, seed=4):
+def made_chunks(spark, count):
     """Chunks of frequent and rare words; some words stand in all of them, some in a few."""
-    chance = random.Random(seed)
+    chance = random.Random(4)
     common, rare = [f"w{i}" for i in range(12)], [f"rare{i}" for i in range(count // 8)]
     texts = [" ".join(chance.choices(common, k=chance.randrange(3, 30)) + (chance.sample(rare, 2) if chance.random() < 0.3 else [])) + "; end." for _ in range(count)]
     order = chance.sample(range(count), count)
@@ -74,12 +74,17 @@ def made_chunks(spark, count, seed=4):
     return spark.createDataFrame(rows, "chunk_id bigint, book_id bigint, chapter_id bigint, content string").coalesce(3)
 
 
-def test_search_in_blocks_is_the_search_of_all_postings(spark, rows):
-    chunks = made_chunks(spark, 3000)
-    stored = blocks.write_index(chunks, fresh_path(spark, "many"))
+@pytest.fixture(scope="module")
+def many(spark):
+    chunks = checkpointed(made_chunks(spark, 2000))
+    return chunks, blocks.write_index(chunks, fresh_path(spark, "many"))
+
+
+def test_search_in_blocks_is_the_search_of_all_postings(spark, many, rows):
+    chunks, stored = many
     questions = asked(spark, "w1 w2 rare7", "w1", "rare3 rare9 rare11", "w0 w1 w2 w3 w4 w5 w6 w7", "nothing", "", None, "rare5 w3 end")
     scores = retrieval.bm25_scores(questions, index.build_index(chunks))
-    for k in (1, 5, 30):
+    for k in (1, 30):
         found = stored.search(questions, k)
         columns = ("query_id", "chunk_id", "book_id", "score", "rank")
         assert rows(found.top, *columns) == rows(retrieval.top_k(scores, k), *columns)
@@ -89,10 +94,9 @@ def test_search_in_blocks_is_the_search_of_all_postings(spark, rows):
     assert found.scored.count() < found.slots.count() / 2
 
 
-def test_scopes_in_blocks(spark, rows):
-    chunks = made_chunks(spark, 800)
-    stored = blocks.write_index(chunks, fresh_path(spark, "scoped"))
-    books = spark.createDataFrame([(i, "even" if i % 2 == 0 else "odd") for i in range(18)], "book_id bigint, category string")
+def test_scopes_in_blocks(spark, many, rows):
+    chunks, stored = many
+    books = spark.createDataFrame([(i, "even" if i % 2 == 0 else "odd") for i in range(48)], "book_id bigint, category string")
     links = spark.createDataFrame([(3, 7), (4, 7), (4, 7), (5, 8)], "book_id bigint, tag_id bigint")
     scopes = spark.createDataFrame(
         [(0, None, None, None, None), (1, [1, 2, 99], None, None, None), (2, None, "even", None, None), (3, [3, 4], "even", 7, None),
@@ -152,8 +156,8 @@ def test_substring(spark, library, query, expected):
     assert [r.chunk_id for r in found] == expected
 
 
-@pytest.mark.parametrize("limit", [1, 5])
-def test_substrings_in_blocks(spark, library, stored, rows, limit):
+def test_substrings_in_blocks(spark, library, stored, rows):
+    limit = 2
     texts = ["modyn", "hermo zzz", "a; t", "eta", ";", "???", "b", "? ?", "n", "", "section 1", "; t", "a"]
     made = stored.substrings(asked(spark, *texts), limit)
     expected = []
@@ -165,9 +169,8 @@ def test_substrings_in_blocks(spark, library, stored, rows, limit):
     assert rows(made, "query_id", "chunk_id", "rank") == rows(retrieval.substring_search(asked(spark, *texts), library[0], limit), "query_id", "chunk_id", "rank")
 
 
-def test_substrings_of_many_chunks(spark, rows):
-    chunks = made_chunks(spark, 1500, seed=6)
-    stored = blocks.write_index(chunks, fresh_path(spark, "phrases"))
+def test_substrings_of_many_chunks(spark, many, rows):
+    chunks, stored = many
     questions = asked(spark, "are17", "w1", "rare", "end.", "w11 w0", "e", "5; e")
     made = rows(stored.substrings(questions, 7), "query_id", "chunk_id", "rank")
     assert made == rows(retrieval.substring_search(questions, chunks, 7), "query_id", "chunk_id", "rank")
