@@ -4,8 +4,9 @@ Texts and items are brought to lower-case letters and digits with single spaces.
 is within ``k`` edits of an item of ``m`` characters shares at least ``m - q + 1 - k * q`` q-grams with it
 on ``k + 1`` neighbouring diagonals (place in the text less place in the item). Diagonals are cut into
 bands of ``2 * (k + 1)`` that overlap by half, so such a place lies in one band. Shared q-grams are counted
-per item and band; bands that reach the bound are verified by an alignment confined to the band.
-Short items must stand in a text word for word: runs of as many words are looked up by their hash.
+per item and band; bands that reach the bound are verified by an alignment confined to the band, which
+items that begin alike share as far as they do. Near short items a piece must begin and end where words do;
+items too short for the lemma must stand in a text word for word: runs of as many words are looked up by their hash.
 
 Items are the side that is broadcast, in blocks of at most ``ITEM_CHARS`` characters; documents stay where
 they are, and every block sees every whole text.
@@ -27,8 +28,12 @@ from quire.session import ship_with_tasks
 GRAM = 8
 #: Edits allowed for each character of an item.
 EDITS = 0.1
-#: Shorter items (after normalization) must be held word for word: innocent texts come near them.
+#: Pieces that come near shorter items (after normalization) must begin and end where words do.
 SHORTEST = 40
+#: From here on the lemma bounds at least one edit; shorter items must be held word for word.
+BOUNDED = 2 * GRAM
+#: Postings that are expanded at a time, about, and cells of a state of the alignment.
+POSTINGS, CELLS = 1 << 20, 1 << 16
 #: Characters of items that are broadcast at a time.
 ITEM_CHARS = 8 << 20
 #: Bytes of text that are looked through at a time.
@@ -100,7 +105,7 @@ def index_of(items: list[tuple[int, str]], rate: float, shortest: int = 1) -> di
     for item_id, text in items:
         form = normal((text or "").replace("\0", " "), kept)[0]
         form = form[:-1] if len(form) and form[-1] == 32 else form
-        if len(form) >= SHORTEST:
+        if len(form) >= max(BOUNDED, shortest):
             ids.append(item_id)
             forms.append(form)
         elif len(form) >= max(shortest, 1):
@@ -115,17 +120,23 @@ def index_of(items: list[tuple[int, str]], rate: float, shortest: int = 1) -> di
     place = np.concatenate([np.arange(len(h)) for h in hashes]) if forms else np.zeros(0, np.int64)
     order = np.argsort(key, kind="stable")
     values, first = np.unique(key[order], return_index=True)
+    rank = np.empty(len(forms), np.int64)
+    rank[sorted(range(len(forms)), key=lambda n: forms[n].astype(">u4").tobytes())] = np.arange(len(forms))
     sieve = np.zeros(1 << SIEVE, bool)
     sieve[values >> np.uint32(32 - SIEVE)] = True
     return {
         "kept": kept, "ids": ids + short_ids, "runs": runs_of(short), "forms": forms, "size": size, "edits": edits,
-        "bound": size - GRAM + 1 - edits * GRAM, "values": values, "first": np.append(first, len(key)),
+        "bound": size - GRAM + 1 - edits * GRAM, "order": rank, "values": values, "first": np.append(first, len(key)),
         "item": item[order], "place": place[order], "sieve": sieve, "longest": int(size.max()) if forms else 0,
     }
 
 
-def candidates(points: np.ndarray, index: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Item and band of every place that reaches its item's bound."""
+def candidates(points: np.ndarray, index: dict):
+    """Item and band of every place that reaches its item's bound, in pieces.
+
+    Postings are expanded along the text, about ``POSTINGS`` at a time; what lies at the end of a piece
+    goes on to the next one, as its band may be met there again.
+    """
     hashes = grams(points)
     at = np.flatnonzero(index["sieve"][hashes >> np.uint32(32 - SIEVE)])
     row = np.searchsorted(index["values"], hashes[at])
@@ -133,46 +144,141 @@ def candidates(points: np.ndarray, index: dict) -> tuple[np.ndarray, np.ndarray]
     same = index["values"][row] == hashes[at] if len(index["values"]) else np.zeros(0, bool)
     at, row = at[same], row[same]
     many = index["first"][row + 1] - index["first"][row]
-    total = np.cumsum(many)
-    entry = np.arange(int(total[-1]) if len(total) else 0) - np.repeat(total - many - index["first"][row], many)
-    item = index["item"][entry]
-    diagonal = np.repeat(at, many) - index["place"][entry] + index["longest"]  # not below zero
-    band = diagonal // (index["edits"][item] + 1)
     span = np.int64(len(points) + 2 * index["longest"] + 2)
-    key, count = np.unique(np.concatenate((item * span + band + 1, item * span + band)), return_counts=True)
-    item, band = key // span, key % span - 1
-    reached = count >= index["bound"][item]
-    return item[reached], band[reached]
-
-
-def aligned(points: np.ndarray, form: np.ndarray, edits: int, bands: np.ndarray, shift: int, first=0, last=None):
-    """Least edits of ``form`` against any piece of the text, in each band; where that piece is.
-
-    A piece of a band lies between its ``first`` and ``last`` letter. Row by row of the item, for all bands
-    at once. A cell is a diagonal of the band; gaps in the item are taken by a running minimum along the row.
+    key = count = np.zeros(0, np.int64)
+    for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(many) // POSTINGS)) + 1):
+        if not len(part):
+            continue
+        own, total = many[part], np.cumsum(many[part])
+        entry = np.arange(int(total[-1])) - np.repeat(total - own - index["first"][row[part]], own)
+        item = index["item"][entry]
+        diagonal = np.repeat(at[part], own) - index["place"][entry] + index["longest"]  # not below zero
+        band = diagonal // (index["edits"][item] + 1)
+        fresh, times = np.unique(np.concatenate((item * span + band + 1, item * span + band)), return_counts=True)
+        key, place = np.unique(np.concatenate((key, fresh)), return_inverse=True)
+        count = np.bincount(place, np.concatenate((count, times)), len(key)).astype(np.int64)
+        item, band = key // span, key % span - 1
+        if part[-1] + 1 < len(at):  # a band is over when its last diagonal's last q-gram is
+            over = (band + 2) * (index["edits"][item] + 1) - index["longest"] + index["size"][item] < at[part[-1] + 1]
+        else:
+            over = np.ones(len(key), bool)
+        reached = over & (count >= index["bound"][item])
+        if reached.any():
+            yield item[reached], band[reached]
+        key, count = key[~over], count[~over]
+
+
+class Alignment:
+    """Least edits of items against pieces of a text, confined to bands; items of one number of edits.
+
+    A place is a band and the text it lies in, and a piece stays between that text's ``first`` and ``last``
+    letter; with ``whole`` it begins and ends where words do. The state has a row per place and a cell per
+    diagonal of its band, edits and begin of the piece in one number, so that a minimum takes both along.
+    It goes on letter by letter of an item, for all places at once, and only the places that can still do with
+    the edits go on. Items that begin alike share the rows of what they have in common.
     """
-    width = 2 * (edits + 1)
-    low = bands * (edits + 1) - shift
-    cell = np.arange(width)
-    text = np.concatenate((points, [0]))
-    first = np.broadcast_to(first, len(bands))[:, None]
-    last = np.broadcast_to(len(points) if last is None else last, len(bands))[:, None]
-    # Edits and begin of the piece in one number, so that a minimum takes both along.
-    unit = np.int64(1) << 40
-    wall = (edits + 1) * unit
-    column = low[:, None] + cell
-    state = np.where((column >= first) & (column <= last), np.clip(column, 0, unit - 1), wall)
-    for i, letter in enumerate(form.tolist()):
-        at = column + i  # the text letter that this row takes on its diagonal
-        real = (at >= first) & (at < last)
-        same = text[np.where(real, at, len(points))] == letter
-        take = np.where(real, state + np.where(same, 0, unit), wall)
-        leave = np.concatenate((state[:, 1:], np.full((len(bands), 1), wall)), axis=1) + unit
-        state = np.minimum.accumulate(np.minimum(take, leave) - cell * unit, axis=1) + cell * unit
-        state = np.where(at < last, state, leave)  # nothing behind the last letter is taken
-    best = state.argmin(axis=1)
-    value = state[np.arange(len(bands)), best]
-    return value // unit, value % unit, low + best + len(form)
+
+    UNIT = np.int64(1) << 40
+
+    def __init__(self, points: np.ndarray, edits: int, shift: int, first: np.ndarray, last: np.ndarray, whole: bool = False) -> None:
+        self.text, self.edits, self.shift, self.first, self.last = np.append(points, 0), edits, shift, first, last
+        self.cell = np.arange(2 * (edits + 1))
+        self.wall = (edits + 1) * self.UNIT
+        self.opens = self.closes = None
+        if whole:
+            self.opens, self.closes = np.zeros(len(self.text), bool), np.zeros(len(self.text), bool)
+            starts, stops = words_in(points)
+            self.opens[starts] = True
+            self.closes[stops] = True
+
+    def _column(self, places: np.ndarray) -> np.ndarray:
+        return (places // len(self.first) * (self.edits + 1) - self.shift)[:, None] + self.cell
+
+    def _bounds(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = places % len(self.first)
+        return self.first[own][:, None], self.last[own][:, None]
+
+    def begun(self, places: np.ndarray) -> np.ndarray:
+        column, (first, last) = self._column(places), self._bounds(places)
+        good = (column >= first) & (column <= last)
+        state = np.where(good, np.clip(column, 0, self.UNIT - 1), self.wall)
+        if self.opens is None:
+            return state
+        # A piece that has to begin here may have letters before the item's first one.
+        state = np.where(self.opens[np.where(good, column, len(self.text) - 1)], state, self.wall)
+        gap = self.cell * self.UNIT
+        return np.where(good, np.minimum.accumulate(state - gap, axis=1) + gap, self.wall)
+
+    def advanced(self, places: np.ndarray, state: np.ndarray, letters_: np.ndarray, done: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places that go on, and their state behind the next letters of an item; ``done`` are behind it already."""
+        column, (first, last) = self._column(places), self._bounds(places)
+        gap = self.cell * self.UNIT
+        for i, letter in enumerate(letters_.tolist(), done):
+            at = column + i  # the text letter that this row takes on its diagonal
+            inside = at < last
+            real = (at >= first) & inside
+            same = self.text[np.where(real, at, len(self.text) - 1)] == letter
+            take = np.where(real, state + np.where(same, 0, self.UNIT), self.wall)
+            leave = np.full_like(state, self.wall + self.UNIT)
+            leave[:, :-1] = state[:, 1:] + self.UNIT
+            state = np.minimum.accumulate(np.minimum(take, leave) - gap, axis=1) + gap
+            state = np.where(inside, state, leave)  # nothing behind the last letter is taken
+            if i % 4 == 3:
+                live = (state < self.wall).any(axis=1)
+                if not live.all():
+                    places, state, column, first, last = places[live], state[live], column[live], first[live], last[live]
+                    if not len(places):
+                        break
+        return places, state
+
+    def ended(self, places: np.ndarray, state: np.ndarray, size: int):
+        """Places, edits, begin and end of the pieces that an item of ``size`` letters is near to."""
+        end = self._column(places) + size
+        if self.closes is not None:
+            inside = (end >= 0) & (end < len(self.text))
+            state = np.where(inside & self.closes[np.where(inside, end, 0)], state, self.wall)
+        best = state.argmin(axis=1)
+        line = np.arange(len(places))
+        value, end = state[line, best], end[line, best]
+        near = value < self.wall
+        return places[near], value[near] // self.UNIT, value[near] % self.UNIT, end[near]
+
+    def of(self, forms: list[np.ndarray], places: list[np.ndarray]):
+        """For forms in order and the sorted places of each: number of a form, and what ``ended`` says."""
+        every = np.unique(np.concatenate(places))
+        share = max(CELLS // len(self.cell), 1)
+        for begin in range(0, len(every), share):
+            part = every[begin : begin + share]
+            own = [x[np.searchsorted(x, part[0]) : np.searchsorted(x, part[-1], "right")] for x in places]
+            at = [i for i, x in enumerate(own) if len(x)]
+            yield from self._walk([(i, forms[i], own[i]) for i in at], part)
+
+    def _walk(self, forms: list[tuple[int, np.ndarray, np.ndarray]], places: np.ndarray):
+        waiting = [(forms, 0, places, self.begun(places))]
+        while waiting:
+            forms, done, places, state = waiting.pop()
+            while forms and len(places):
+                number, form, own = forms[0]
+                if len(form) == done:
+                    mine = np.isin(places, own, assume_unique=True)
+                    yield number, *self.ended(places[mine], state[mine], done)
+                    forms = forms[1:]
+                    continue
+                other = forms[-1][1]
+                both = min(len(form), len(other))
+                differ = np.flatnonzero(form[done:both] != other[done:both])
+                common = done + int(differ[0]) if len(differ) else both
+                if common > done:
+                    places, state = self.advanced(places, state, form[done:common], done)
+                    done = common
+                    continue
+                letter = np.array([f[done] for _, f, _ in forms])
+                edges = [0, *(np.flatnonzero(np.diff(letter.astype(np.int64))) + 1).tolist(), len(forms)]
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    mine = np.isin(places, np.concatenate([x for _, _, x in forms[a:b]]))
+                    if mine.any():
+                        waiting.append((forms[a:b], done, places[mine], state[mine]))
+                break
 
 
 def placed(bands: np.ndarray, size: int, edits: int, shift: int, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,6 +293,26 @@ def placed(bands: np.ndarray, size: int, edits: int, shift: int, starts: np.ndar
     return np.repeat(bands, many), long[pair]
 
 
+def near(points: np.ndarray, index: dict, item: np.ndarray, band: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Text, item, edits, begin and end for the candidates that are near enough; items in order of their letters."""
+    order = np.argsort(item, kind="stable")
+    item, band = item[order], band[order]
+    head = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1])))
+    groups: dict[tuple[int, bool], list] = {}
+    for number, bands in zip(item[head].tolist(), np.split(band, head[1:]), strict=True):
+        size, edits = int(index["size"][number]), int(index["edits"][number])
+        bands, owner = placed(bands, size, edits, index["longest"], starts, ends)
+        if len(bands):
+            groups.setdefault((edits, size < SHORTEST), []).append((int(index["order"][number]), number, np.unique(bands * len(starts) + owner)))
+    for (edits, whole), own in groups.items():
+        own.sort(key=lambda x: x[0])
+        _, numbers, places = zip(*own, strict=True)
+        alignment = Alignment(points, edits, index["longest"], starts, ends, whole)
+        for k, *where in alignment.of([index["forms"][n] for n in numbers], list(places)):
+            for place, e, begin, end in zip(*(x.tolist() for x in where), strict=True):
+                yield place % len(starts), numbers[k], e, begin, end
+
+
 def exact(points: np.ndarray, runs: dict, ends: np.ndarray):
     """Text, item, begin and end of each text's first copy of a short item; items are numbered from 0."""
     if not runs:
@@ -218,18 +344,10 @@ def found(texts: list[str], index: dict) -> list[list[dict]]:
     points, place = normal(whole, index["kept"])
     ends = np.flatnonzero(points == 0)
     starts = np.concatenate(([0], ends[:-1] + 1))
-    item, band = candidates(points, index)
     best: dict[tuple[int, int], tuple] = {}
-    for number in np.unique(item).tolist():
-        form, edits = index["forms"][number], int(index["edits"][number])
-        bands = band[item == number]
-        bands, owner = placed(bands, len(form), edits, index["longest"], starts, ends)
-        for part in np.array_split(np.arange(len(bands)), len(bands) // 2048 + 1):
-            texts_of = owner[part]
-            where = aligned(points, form, edits, bands[part], index["longest"], starts[texts_of], ends[texts_of])
-            for text, e, begin, end in zip(texts_of.tolist(), *(x.tolist() for x in where), strict=True):
-                if e <= edits:
-                    best[text, number] = min(best.get((text, number), (e, begin, end)), (e, begin, end))
+    for item, band in candidates(points, index):
+        for text, number, *where in near(points, index, item, band, starts, ends):
+            best[text, number] = min(best.get((text, number), tuple(where)), tuple(where))
     for text, number, begin, end in exact(points, index["runs"], ends):
         best[text, len(index["forms"]) + number] = (0, begin, end)
     for (text, number), (e, begin, end) in best.items():
@@ -259,8 +377,9 @@ def marked(docs: DataFrame, benchmark: DataFrame, rate: float = EDITS, text_col:
     """``docs`` with ``hits_col``: the items of ``benchmark(item_id, text)`` that a text holds.
 
     A hit has ``item_id``, ``start`` and ``end`` in code points of the lower-cased text, and ``edits``,
-    at most ``rate`` times the item's length. Items below ``SHORTEST`` are held word for word, with whole
-    words at both edges; those below ``shortest`` letters are not looked for. Null texts hold nothing; null
+    at most ``rate`` times the item's length and what the lemma bounds (an eighth of it, less one). Pieces near
+    items below ``SHORTEST`` begin and end where words do; items below ``BOUNDED`` are held word for word;
+    those below ``shortest`` letters are not looked for. Null texts hold nothing; null
     items are found nowhere; repeated items give a hit each. Rows are kept as they are.
     """
     docs = docs.drop(hits_col)
