@@ -90,11 +90,12 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     only, so its list is bounded by the number of variants.
     """
     masks = F.array(*[F.lit(m).cast("long") for m in variants((radius + 1) // 2)])
-    # Few bytes become many rows: they are spread first, by number and not by size.
+    # Few bytes become many rows: they are spread first, by number and not by size. By the hash, as the
+    # planner leaves out a repartition by the column that the input is grouped by.
     partitions = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = (
         distinct.select("fingerprint")
-        .repartition(partitions, "fingerprint")
+        .repartition(partitions, F.xxhash64("fingerprint"))
         .select("fingerprint", F.explode(masks).alias("mask"))
         .select(F.col("fingerprint").bitwiseXOR(F.col("mask")).alias("variant"), "fingerprint")
         .groupBy("variant")

@@ -78,3 +78,11 @@ def test_components_of_a_path_a_star_and_nothing(spark):
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {k: 0 for k in range(61)} | {1000 + k: 1000 for k in range(51)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_fingerprints_are_spread_before_they_become_variants(spark, tmp_path):
+    rows = spark.createDataFrame([(k,) for k in (1, 2, 2, 3)], "fingerprint long").groupBy("fingerprint").count()
+    links = simhash.links(rows.select("fingerprint"))
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.rindex("Generate explode") :]
+    assert "xxhash64(fingerprint" in below and "REPARTITION_BY_NUM" in below, plan
