@@ -24,8 +24,6 @@ from quire.session import ship_with_tasks
 BUCKETS = 1 << 18
 #: Labelled rows per class that the model is fitted on, at most.
 SAMPLE = 4000
-#: Rows that an n-gram must stand in to count.
-LEAST = 20
 
 
 def held_out(doc_id) -> object:
@@ -76,7 +74,7 @@ def features(data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> list[np.n
     return result
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 12, cost: float = 1.0, mix: float = 0.25, least: int = LEAST) -> dict:
+def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 12, cost: float = 1.0, mix: float = 0.25) -> dict:
     """Weights per bucket, and what turns a margin into a probability.
 
     One row in five only calibrates. With one class or none, the score is the share of label 1
@@ -89,7 +87,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 12, cost: floa
     counts = np.ones((2, BUCKETS))
     for i in learn:
         counts[labels[i], rows[i]] += 1
-    known = counts.sum(axis=0) - 2 >= min(least, len(learn) // 10)
+    known = counts.sum(axis=0) > 2
     counts /= counts.sum(axis=1, keepdims=True)
     ratio = np.where(known, np.log(counts[1] / counts[0]), 0)
     x = [(ratio[r] / max(len(r), 1) ** 0.5).astype(np.float32) for r in rows]
