@@ -75,13 +75,13 @@ def branches(messages: DataFrame, top_k: int = 1) -> DataFrame:
     The ``top_k`` best branches of each tree, numbered from 1, with the distance of each message from
     the leaf. A branch's score is the mean of its messages' scores (null: 0); ties go to the smaller
     leaf. A parent that is missing makes its child a root, and all roots of a tree are ranked
-    together. Of rows with one ``node_id`` the smallest counts. Messages on or below a cycle have no
+    together. Of rows with one ``node_id`` the smallest counts, nulls first. Messages on or below a cycle have no
     root and lie on no branch. Null ids are ids like others, but a null parent is none.
     """
     node = ("tree_id", "tree_id"), ("node_id", "node_id")
     up = ("tree_id", "tree_id"), ("up", "node_id")
-    own = messages.groupBy("tree_id", "node_id").agg(F.min(F.struct("parent_id", F.coalesce("score", F.lit(0.0)).alias("score"))).alias("m"))
-    own = own.select("tree_id", "node_id", F.col("m.parent_id").alias("up"), F.col("m.score").cast("double").alias("total"))
+    own = messages.groupBy("tree_id", "node_id").agg(F.min(F.struct("parent_id", "score")).alias("m"))
+    own = own.select("tree_id", "node_id", F.col("m.parent_id").alias("up"), F.coalesce(F.col("m.score").cast("double"), F.lit(0.0)).alias("total"))
     known = own.select("tree_id", "node_id").withColumn("there", F.lit(True))
     state = stored(
         own.alias("a").join(known.alias("b"), same("a", "b", *up) & F.col("a.up").isNotNull(), "left").select(

@@ -43,3 +43,11 @@ def test_best_branches(spark):
         found.setdefault(r.branch, {})[r.from_leaf] = r.node_id
     assert {k: [v[i] for i in sorted(v)] for k, v in found.items()} == {1: [4, 2, 1], 2: [5, 2, 1], 3: [6, 3, 1], 4: [11]}
     assert {r.branch for r in chat.branches(table, 1).collect()} == {1}
+
+
+def test_branches_of_one_tree_with_a_repeated_message(spark):
+    # The row of message 2 that counts has no score (0) and the text "b"; the other one's score would lose to message 3.
+    rows = [(1, None, 0.0, "user", "question"), (2, 1, -1.0, "assistant", "a"), (2, 1, None, "assistant", "b"), (3, 1, -0.5, "assistant", "c")]
+    table = spark.createDataFrame([("t", *r) for r in rows], "tree_id string, node_id long, parent_id long, score double, role string, text string")
+    found = {r.branch: chat.parse(r.formatted) for r in chat.conversations(table, 2).collect()}
+    assert found == {1: [("user", "question"), ("assistant", "b")], 2: [("user", "question"), ("assistant", "c")]}
