@@ -147,9 +147,17 @@ def _vector_store(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.vector_search(asked, store.read_store(spark, path), 5)
 
 
+def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A stored table as a stream, be it one file or a folder of files.
+
+    As a pattern the path may be either; a stream takes a plain one for a folder.
+    """
+    schema = M.table(spark, d, name).schema
+    return spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
+
+
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
-    schema = M.table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return _stream(spark, d, "events")
 
 
 def _run(stream: DataFrame, sink, spark: SparkSession, name: str, mode: str, conf: dict[str, str] | None = None) -> None:
@@ -180,9 +188,7 @@ def _stream_quiz_state(spark: SparkSession, d: str) -> DataFrame:
 
 def _stream_imports(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_path(spark, "imports")
-    schema = M.table(spark, d, "documents").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
-    arriving = docs.select(F.col("doc_id").alias("file_id"), F.sha2("text", 256).alias("file_hash"))
+    arriving = _stream(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.sha2("text", 256).alias("file_hash"))
     _run(jobs.import_deduplication(arriving), jobs.update_log(path), spark, "imports", "append", jobs.KEYED)
     return spark.read.parquet(path).select("file_id", "file_hash", "duplicate_of")
 

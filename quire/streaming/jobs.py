@@ -10,8 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -103,15 +102,14 @@ class FirstFile(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.first = handle.getValueState("first", "file_id bigint")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ids = np.concatenate([frame["file_id"].to_numpy(np.int64) for frame in rows])
-        known = self.first.get()[0] if self.first.exists() else None
-        original = int(ids.min()) if known is None else known
-        if known is None:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        ids = np.fromiter((row.file_id for row in rows), np.int64)
+        state = self.first.get()
+        original = int(ids.min()) if state is None else state[0]
+        if state is None:
             self.first.update((original,))
-        copy = np.ones(len(ids), bool) if known is not None else ids != original
-        found = pd.arrays.IntegerArray(np.full(len(ids), original), ~copy)
-        yield pd.DataFrame({"file_id": ids, "key": key[0], "duplicate_of": found})
+        for file_id in ids.tolist():
+            yield Row(file_id=file_id, key=key[0], duplicate_of=None if state is None and file_id == original else original)
 
     def close(self) -> None:
         pass
@@ -126,7 +124,7 @@ def import_deduplication(files: DataFrame) -> DataFrame:
     # No hash begins like this.
     keyed = files.select("file_id", F.coalesce("file_hash", F.concat(F.lit("#"), F.col("file_id"))).alias("key"))
     out = "file_id bigint, key string, duplicate_of bigint"
-    found = keyed.groupBy("key").transformWithStateInPandas(FirstFile(), out, outputMode="Append", timeMode="None")
+    found = keyed.groupBy("key").transformWithState(FirstFile(), out, outputMode="Append", timeMode="None")
     return found.select("file_id", F.when(~F.startswith("key", F.lit("#")), F.col("key")).alias("file_hash"), "duplicate_of")
 
 

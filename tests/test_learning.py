@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import knowledge, mastery, planning, ranking, reports, tree
+from quire.plans import ingest
 from quire.session import fresh_path
 from quire.sources import files, store
 from quire.streaming import jobs
@@ -262,3 +263,12 @@ def test_rolling_window(spark, rows, arriving, tmp_path):
     out = str(tmp_path / "out")
     run(arriving("r", "id bigint", batches), jobs.rolling_window(out, [F.desc("id")]), tmp_path, "append")
     assert sorted(r.id for r in jobs.last_window(spark, out).collect()) == list(range(60, 160))
+
+
+def test_stored_tables_stream_from_a_folder(spark, rows, small, tmp_path):
+    """A table may be one file or a folder of files."""
+    for name in ("documents", "events"):
+        spark.read.parquet(f"{small}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for query in ("streaming_import_dedup", "streaming_daily_activity"):
+        of_file, of_folder = (rows(ingest.QUERIES[query](spark, d)) for d in (small, str(tmp_path)))
+        assert of_file == of_folder and of_file
