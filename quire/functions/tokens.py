@@ -73,25 +73,21 @@ def term_counts(tokens: Column) -> Column:
 
     def runs(ordered: Column) -> Column:
         starts = F.filter(
-            F.sequence(F.lit(1), F.size(ordered)),
-            lambda i: (i == 1) | (F.element_at(ordered, i) != F.element_at(ordered, F.greatest(i - 1, F.lit(1)))),
+            F.sequence(F.lit(0), F.size(ordered) - 1),
+            lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
         )
         return let(
             starts,
             lambda s: F.transform(
                 s,
                 lambda at, k: F.struct(
-                    F.element_at(ordered, at).alias("token"),
-                    (
-                        F.when(k + 1 < F.size(s), F.element_at(s, F.least(k + 2, F.size(s))))
-                        .otherwise(F.size(ordered) + 1)
-                        - at
-                    ).alias("tf"),
+                    F.get(ordered, at).alias("token"), (F.coalesce(F.get(s, k + 1), F.size(ordered)) - at).alias("tf")
                 ),
             ),
         )
 
-    return F.when(F.size(tokens) > 0, let(F.array_sort(tokens), runs))
+    # ``sort_array`` compares strings itself, ``array_sort`` through a function of two columns.
+    return F.when(F.size(tokens) > 0, let(F.sort_array(tokens), runs))
 
 
 def words(text: Column, min_chars: int = 2, terms: list[str] = P.SUBJECT_TERMS) -> Column:

@@ -25,12 +25,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from quire.functions import patterns as P
 from quire.functions.text import let
-from quire.functions.tokens import index_tokens, longest, query_tokens, term_counts
+from quire.functions.tokens import index_tokens, longest, query_tokens
 from quire.operators.retrieval import K1, RUNS, B, fallback_phrases
 from quire.session import exists, ship_with_tasks, written
 
@@ -47,7 +46,7 @@ END = "\x00"
 
 #: The stored tables: chunks, blocks of tokens, chunks per token, ends of the slots, blocks of runs, character pairs.
 SCHEMAS = {
-    "entries": "number bigint, chunk_id bigint, book_id bigint, chapter_id bigint, content string, dl int, terms array<struct<token: string, tf: int>>, piece bigint",
+    "entries": "number bigint, chunk_id bigint, book_id bigint, chapter_id bigint, content string, dl int, piece bigint",
     "blocks": "token string, slot bigint, mask bigint, top double, postings array<bigint>, part int",
     "frequency": "token string, df bigint",
     "slots": "slot bigint, low bigint, high bigint, chunks array<struct<place: int, chunk_id: bigint, book_id: bigint>>, piece bigint",
@@ -110,7 +109,6 @@ def has(mask: str, place: str) -> Column:
 
 
 #: A posting is one number: six bits of place, 26 of how often the token occurs, the rest the length of the chunk.
-POSTING = f"(number & {(1 << SLOT_BITS) - 1}) | shiftleft(CAST(t.tf AS BIGINT), 6) | shiftleft(CAST(dl AS BIGINT), 32)"
 PLACE, TF, DL = "CAST(p & 63 AS INT)", "(shiftright(p, 6) & 67108863)", "shiftright(p, 32)"
 
 
@@ -131,33 +129,48 @@ def _store(df: DataFrame, path: str, *order: str) -> None:
     df.sortWithinPartitions("part", *order).write.mode("overwrite").partitionBy("part").parquet(path)
 
 
-def _blocks(schema: pa.Schema):
-    """Postings that come sorted by part, token and slot, put together in blocks."""
+def _blocks(names: list[str], avgdl: float | None = None):
+    """Blocks of the chunks of a task, ``(number, keys)`` as they are stored: per key and slot its bits and, with
+    ``avgdl``, its largest weight and its postings.
+
+    The chunks of a slot lie side by side, so what leaves the task is a block and not a posting.
+    """
+    least = (1 << SLOT_BITS) - 1
 
     def grouped(table: pa.Table) -> pa.RecordBatch:
-        token = table["token"].combine_chunks()
-        part, slot_, p, weight_ = (table[c].to_numpy() for c in ("part", "slot", "p", "weight"))
-        fresh = np.ones(len(p), bool)
-        same = pc.equal(token.slice(0, len(p) - 1), token.slice(1)).to_numpy(zero_copy_only=False)
-        fresh[1:] = ~same | (slot_[1:] != slot_[:-1]) | (part[1:] != part[:-1])
-        at = np.flatnonzero(fresh)
-        bits = np.left_shift(np.int64(1), p & ((1 << SLOT_BITS) - 1))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(p)).astype(np.int32)), pa.array(p))
-        columns = [token.take(pa.array(at)), slot_[at], np.bitwise_or.reduceat(bits, at), np.maximum.reduceat(weight_, at), lists, part[at]]
-        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=schema.names).cast(schema)
+        number, lists = table["number"].to_numpy(), table["keys"].combine_chunks()
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+        keys = pc.dictionary_encode(lists.flatten())
+        slots, of = np.unique(number >> SLOT_BITS, return_inverse=True)
+        cell, n_keys = (of << SLOT_BITS) | (number & least), max(len(keys.dictionary), 1)
+        at_cell = np.repeat(cell, lengths)
+        posting = (((at_cell >> SLOT_BITS) * n_keys + keys.indices.to_numpy()) << SLOT_BITS) | (at_cell & least)
+        each, tf = np.unique(posting, return_counts=True)
+        place, block = each & least, each >> SLOT_BITS
+        at = np.flatnonzero(np.append(True, block[1:] != block[:-1])[: len(block)])
+        columns = [keys.dictionary.take(pa.array(block[at] % n_keys)), pa.array(slots[block[at] // n_keys])]
+        columns.append(pa.array(np.bitwise_or.reduceat(np.left_shift(np.int64(1), place), at) if len(at) else place))
+        if avgdl is not None:
+            size = np.zeros(len(slots) << SLOT_BITS, np.int64)
+            size[cell] = lengths
+            dl = size[((block // n_keys) << SLOT_BITS) | place]
+            weight_ = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+            p = place | (tf.astype(np.int64) << 6) | (dl << 32)
+            columns.append(pa.array(np.maximum.reduceat(weight_, at) if len(at) else weight_))
+            columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(p)).astype(np.int32)), pa.array(p)))
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            # The last block may go on in the next batch; it has at most as many postings as a slot has chunks.
-            last, end = len(table) - 1, max(len(table) - (1 << SLOT_BITS), 0)
-            final = [table[c][last] for c in ("part", "token", "slot")] if len(table) else []
-            while last > end and [table[c][last - 1] for c in ("part", "token", "slot")] == final:
-                last -= 1
-            if last > 0:
-                yield grouped(table.slice(0, last))
-            rest = table.slice(max(last, 0))
+            table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+            # The last slot may go on in the next batch.
+            slots = table["number"].to_numpy() >> SLOT_BITS
+            before = np.flatnonzero(slots != slots[-1]) if len(slots) else slots
+            end = before[-1] + 1 if len(before) else 0
+            if end:
+                yield grouped(table.slice(0, end))
+            rest = table.slice(end)
         if rest is not None and len(rest):
             yield grouped(rest)
 
@@ -167,24 +180,24 @@ def _blocks(schema: pa.Schema):
 def write_index(chunks: DataFrame, path: str, terms: list[str] = P.SUBJECT_TERMS) -> BlockIndex:
     """Store the index of ``chunks(chunk_id, book_id, content)`` and, if they have it, their ``chapter_id``.
 
-    The corpus is read once. Folders and their pieces follow from the number of postings. What searches for
-    substrings need is added by the first one, or by ``write_phrases``.
+    The corpus is read once; the words of the stored chunks are found again when their mean number is known.
+    Folders and their pieces follow from the number of postings. What searches for substrings need is added
+    by the first one, or by ``write_phrases``.
     """
     spark = chunks.sparkSession
     if "chapter_id" not in chunks.columns:
         chunks = chunks.withColumn("chapter_id", F.lit(None).cast("bigint"))
-    entry = let(index_tokens(F.col("content"), terms), lambda t: F.struct(F.size(t).alias("dl"), term_counts(t).alias("terms")))
-    numbered = chunks.select(F.monotonically_increasing_id().alias("number"), "chunk_id", "book_id", "chapter_id", "content", entry.alias("e"))
+    size = let(index_tokens(F.col("content"), terms), lambda t: F.struct(F.size(t).alias("dl"), F.size(F.array_distinct(t)).alias("n")))
+    numbered = chunks.select(F.monotonically_increasing_id().alias("number"), "chunk_id", "book_id", "chapter_id", "content", size.alias("e"))
     numbered.select("*", "e.*", F.shiftright("number", 33).alias("piece")).drop("e").write.mode("overwrite").partitionBy("piece").parquet(f"{path}/entries")
+    n_docs, tokens, postings = spark.read.schema("dl int, n int").parquet(f"{path}/entries").agg(F.count("*"), F.sum("dl"), F.sum("n")).first()
     entries = spark.read.schema(SCHEMAS["entries"]).parquet(f"{path}/entries")
-    n_docs, tokens, postings = entries.agg(F.count("*"), F.sum("dl"), F.sum(F.size("terms"))).first()
     avgdl = (tokens or 0) / n_docs if n_docs else 0.0
     parts = max(LEAST_PARTS, min(4096, (postings or 0) // ROWS_PER_FILE))
 
-    one = entries.select("number", "dl", F.explode("terms").alias("t")).select("t.token", slot().alias("slot"), F.expr(POSTING).alias("p"), weight(F.col("t.tf"), F.col("dl"), avgdl).alias("weight"))
-    sorted_ = _dealt(one, F.col("token"), F.col("slot"), postings or 0, parts).drop("piece").sortWithinPartitions("part", "token", "slot")
-    schema = to_arrow_schema(spark.createDataFrame([], SCHEMAS["blocks"]).schema)
-    sorted_.mapInArrow(_blocks(schema), SCHEMAS["blocks"]).write.mode("overwrite").partitionBy("part").parquet(f"{path}/blocks")
+    each = entries.select("number", index_tokens(F.col("content"), terms).alias("keys"))
+    made = each.mapInArrow(_blocks(["token", "slot", "mask", "top", "postings"], avgdl), SCHEMAS["blocks"].removesuffix(", part int"))
+    _store(_dealt(made, F.col("token"), F.col("slot"), postings or 0, parts).drop("piece"), f"{path}/blocks", "token", "slot")
     index = BlockIndex(spark, path, parts, n_docs, avgdl, postings or 0)
     index.table("blocks").groupBy("token").agg(F.sum(F.bit_count("mask")).alias("df")).write.mode("overwrite").parquet(f"{path}/frequency")
     place = F.expr(f"CAST(number & {(1 << SLOT_BITS) - 1} AS INT)").alias("place")
@@ -198,10 +211,10 @@ def write_index(chunks: DataFrame, path: str, terms: list[str] = P.SUBJECT_TERMS
 
 def write_phrases(index: BlockIndex) -> None:
     """Store what searches for substrings need: the runs of characters and the pairs in them."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(RUNS), F.lit(0)))
-    runs = index.table("entries").select(slot().alias("slot"), bit().alias("bit"), F.explode(found).alias("run"))
-    bits = _dealt(runs, F.col("run"), F.col("slot"), index.postings, index.parts).groupBy("part", "piece", "run", "slot").agg(F.bit_or("bit").alias("mask"))
-    _store(bits.drop("piece"), f"{index.path}/runs", "run")
+    found = F.regexp_extract_all(F.lower("content"), F.lit(RUNS), F.lit(0))
+    each = index.table("entries").select("number", found.alias("keys"))
+    bits = each.mapInArrow(_blocks(["run", "slot", "mask"]), SCHEMAS["runs"].removesuffix(", part int"))
+    _store(_dealt(bits, F.col("run"), F.col("slot"), index.postings, index.parts).drop("piece"), f"{index.path}/runs", "run")
     vocabulary = index.table("runs").select("run").distinct()
     closed = F.concat("run", F.lit(END))
     pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run")), lambda i: F.substring(closed, i, 2)))

@@ -24,7 +24,7 @@ def keywords(text: Column, n: int = 30, script: str | None = HAN_SCRIPT, stop_wo
         index_tokens(text, [], keep_bare=False),
         lambda w: (F.length(w) >= 2) & ~w.rlike("^[0-9]+$") & ~F.array_contains(F.array(*map(F.lit, ("", *stop_words))), w),
     )
-    ranked = F.array_sort(
+    ranked = F.sort_array(
         F.transform(
             F.coalesce(term_counts(words), F.lit([]).cast("array<struct<token:string,tf:int>>")),
             lambda t: F.struct((-t["tf"]).alias("n"), t["token"].alias("w")),

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.text import let
+
 LINES_PER_PAGE = 3
 CHUNKS_PER_CHAPTER = 4
 
@@ -54,14 +56,12 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_arrays(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per book with its page texts in order."""
-    return documents(spark, folder).select(
-        F.col("doc_id").alias("book_id"),
-        F.transform(
-            F.sequence(F.lit(0), (_page_count() - 1).cast("int")),
-            lambda i: F.array_join(F.slice(_lines(), i * LINES_PER_PAGE + 1, LINES_PER_PAGE), "\n"),
-        ).alias("pages"),
+    """One row per book with its page texts in order; a book is cut into lines once, not once per page."""
+    pages = lambda lines: F.transform(
+        F.sequence(F.lit(0), (F.ceil(F.size(lines) / LINES_PER_PAGE) - 1).cast("int")),
+        lambda i: F.array_join(F.slice(lines, i * LINES_PER_PAGE + 1, LINES_PER_PAGE), "\n"),
     )
+    return documents(spark, folder).select(F.col("doc_id").alias("book_id"), let(_lines(), pages).alias("pages"))
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:

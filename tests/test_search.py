@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -323,3 +324,20 @@ def test_split_answers(spark, rows):
     )
     made = rows(A.validated_split(df).groupBy("chunk_id").count())
     assert made == [(1, 1), (2, 2), (3, 1), (4, 1)]
+
+
+def test_blocks_are_made_before_they_are_shuffled():
+    """Batches that cut a slot, rows without text and repeated words: one row per word and slot leaves the task."""
+    lists = [["a", "b", "a"] if i != 70 else None for i in range(130)]
+    table = pa.table({"number": pa.array(range(130), pa.int64()), "keys": pa.array(lists, pa.list_(pa.string()))})
+    names = ["token", "slot", "mask", "top", "postings"]
+    made = pa.Table.from_batches(blocks._blocks(names, 3.0)(iter(table.to_batches(max_chunksize=50)))).to_pylist()
+    assert sorted((r["token"], r["slot"]) for r in made) == [(t, s) for t in "ab" for s in range(3)]
+    for r in made:
+        numbers = [n for n in range(130) if n >> 6 == r["slot"] and n != 70]
+        tf = 2 if r["token"] == "a" else 1
+        assert r["postings"] == [(n & 63) | tf << 6 | 3 << 32 for n in numbers]
+        assert r["mask"] & (2**64 - 1) == sum(1 << (n & 63) for n in numbers)
+        assert r["top"] == pytest.approx(tf * 2.2 / (tf + 1.2))
+    empty = pa.table({"number": pa.array([1], pa.int64()), "keys": pa.array([None], pa.list_(pa.string()))})
+    assert not sum(len(b) for b in blocks._blocks(names, 3.0)(iter(empty.to_batches())))
