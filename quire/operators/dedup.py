@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import combinations
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quire.functions import simhash as H
 from quire.functions.tokens import index_tokens, term_counts
-from quire.session import checkpointed
+from quire.operators.ranking import global_row_number
+from quire.session import checkpointed, ship_with_tasks
 
 
 def exact_duplicates(files: DataFrame, library: DataFrame | None = None) -> DataFrame:
@@ -49,28 +48,39 @@ def fingerprints(texts: DataFrame) -> DataFrame:
     return lanes.select("doc_id", H.fingerprint([F.col(f"b{b}") for b in range(32)], F.col("votes")).alias("fingerprint"))
 
 
-def _band_keys(bits: int, bands: int, agree: int):
-    """One key per choice of ``agree`` bands out of ``bands``: its number and the chosen bits."""
-    edges = [round(i * bits / bands) for i in range(bands + 1)]
-    masks = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(bands)]
-    keys = []
-    for number, chosen in enumerate(combinations(range(bands), agree)):
-        mask = reduce(int.__or__, (masks[i] for i in chosen))
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append((number, signed))
-    return keys
-
-
-LEADER = {"first_id": "leader", "fingerprint": "leader_print"}
-
-
-def _smallest_match(members: DataFrame, leaders: DataFrame, on: list[str], max_distance: int) -> DataFrame:
-    """``(key, first_id, match)``: the smallest earlier leader under the same key within the distance."""
-    close = (F.col("leader") < F.col("first_id")) & (
-        H.distance(F.col("fingerprint"), F.col("leader_print")) <= max_distance
-    )
-    leaders = leaders.select(*on, "leader", "leader_print")
-    return members.join(leaders, on).filter(close).groupBy("key", "first_id").agg(F.min("leader").alias("match"))
+#: Members by leaders that are compared at a time: what fits into the cache of a core.
+MEMBERS, LEADERS = 1024, 64
+
+
+def _smallest_matches(max_distance: int):
+    """For a pair of blocks of fingerprints, each in the order of its ids: the smallest earlier leader of each
+    member within the distance. A member that has one leaves, as later leaders have larger ids."""
+
+    def search(pair: pd.DataFrame) -> pd.DataFrame:
+        block = dict(zip(pair["block"], zip(pair["ids"], pair["prints"])))
+        leader, leader_print = (np.asarray(x, np.int64) for x in block[min(block)])
+        member, member_print = (np.asarray(x, np.int64) for x in block[max(block)])
+        xor, bits = np.empty((MEMBERS, LEADERS), np.int64), np.empty((MEMBERS, LEADERS), np.uint8)
+        match = np.full(len(member), -1)
+        active = np.arange(len(member))
+        for low in range(0, len(leader), LEADERS):
+            some, ids = leader_print[low : low + LEADERS], leader[low : low + LEADERS]
+            for at in range(0, len(active), MEMBERS):
+                who = active[at : at + MEMBERS]
+                shape = np.s_[: len(who), : len(some)]
+                np.bitwise_xor(member_print[who][:, None], some[None, :], out=xor[shape])
+                # Of signed numbers numpy counts the bits of the absolute value.
+                np.bitwise_count(xor[shape].view(np.uint64), out=bits[shape])
+                if bits[shape].min() > max_distance:
+                    continue
+                close = (bits[shape] <= max_distance) & (ids[None, :] < member[who][:, None])
+                hit = close.any(axis=1)
+                match[who[hit]] = low + close[hit].argmax(axis=1)
+            active = active[match[active] < 0]
+        found = match >= 0
+        return pd.DataFrame({"first_id": member[found], "match": leader[match[found]]})
+
+    return search
 
 
 def near_duplicates_of(texts: DataFrame, max_distance: int = 10) -> DataFrame:
@@ -78,47 +88,34 @@ def near_duplicates_of(texts: DataFrame, max_distance: int = 10) -> DataFrame:
     return near_duplicates(fingerprints(texts.filter(F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)))), max_distance)
 
 
-def near_duplicates(
-    prints: DataFrame, max_distance: int = 10, bands: int | None = None, group_limit: int = 2000
-) -> DataFrame:
+def near_duplicates(prints: DataFrame, max_distance: int = 10, group_limit: int = 32768) -> DataFrame:
     """``(doc_id, duplicate_of)``: the smallest earlier document within ``max_distance`` bits.
 
-    Equal fingerprints are collapsed first, so a group of exact copies, however large, is one row.
-    Two fingerprints within the distance agree on at least ``bands - max_distance`` of the bands
-    (pigeonhole), so they meet under some key. Inside a key group each fingerprint looks only for its
-    smallest match. The ``group_limit`` smallest documents of every group are compared with the rest
-    of it, and members that found a match leave: a hot group of near copies of one text shrinks to
-    almost nothing. What remains is compared in one join on pairs of blocks of ``group_limit`` members,
-    so no match is missed and no task holds more than two blocks. The number of comparisons stays more
-    than linear in the number of fingerprints that are unlike.
+    Equal fingerprints are collapsed first, so a group of exact copies, however large, is one row. At ten of
+    64 bits the keys that a pair within the distance must share (pigeonhole) are so short that most unlike
+    pairs share one, too; so the distinct fingerprints, in the order of their ids, are cut into blocks of at
+    most ``group_limit``, and each pair of blocks is compared as two arrays of numbers. No task holds
+    more than two blocks of a pair at once, and no match is missed. The number of comparisons is half the
+    square of the number of distinct fingerprints.
     """
-    bands = bands or max_distance + 2
-    agree = bands - max_distance
+    spark = prints.sparkSession
     prints = checkpointed(prints)
-    one = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
-    keys = F.array(*[F.struct(F.lit(n).alias("k"), F.col("fingerprint").bitwiseAND(F.lit(m).cast("bigint")).alias("v"))
-                     for n, m in _band_keys(64, bands, agree)])
-    members = one.select("first_id", "fingerprint", F.explode(keys).alias("key"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    pending = checkpointed(members.join(sizes, "key").select("key", "first_id", "fingerprint"))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("first_id"))
-    ranked = checkpointed(pending.withColumn("rank", rank))
-    first = _smallest_match(
-        ranked, ranked.filter(F.col("rank") <= group_limit).withColumnsRenamed(LEADER), ["key"], max_distance
-    )
-    first = checkpointed(first)
-    rest = ranked.filter(F.col("rank") > group_limit).join(first, ["key", "first_id"], "left_anti")
-    block = F.floor((F.col("rank") - 1) / group_limit).cast("int")
-    blocked = checkpointed(rest.select("key", "first_id", "fingerprint", block.alias("block")))
-    blocks = blocked.groupBy("key").agg(F.max("block").alias("last"))
-    later = blocked.withColumn("other", F.explode(F.sequence(F.lit(1), "block")))
-    earlier = (
-        blocked.join(blocks, "key")
-        .select("key", "first_id", "fingerprint", F.col("block").alias("other"), F.explode(F.sequence("block", "last")).alias("block"))
-        .withColumnsRenamed(LEADER)
-    )
-    second = _smallest_match(later, earlier, ["key", "block", "other"], max_distance)
-    matched = first.unionByName(second).groupBy("first_id").agg(F.min("match").alias("match"))
+    one = checkpointed(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")))
+    n = one.count()
+    # A small table has blocks enough for all cores.
+    size = max(1, min(group_limit, -(-n // 16)))
+    last = max(0, (n - 1) // size)
+    numbered = global_row_number(one, ["first_id"], "rank").withColumn("block", F.floor((F.col("rank") - 1) / size).cast("int"))
+    members = F.sort_array(F.collect_list(F.struct("first_id", "fingerprint")))
+    packed = numbered.groupBy("block").agg(members.alias("m"))
+    packed = checkpointed(packed.select("block", F.col("m.first_id").alias("ids"), F.col("m.fingerprint").alias("prints")))
+    # A block meets each block once, the one of smaller ids as leaders.
+    sides = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    sides = sides.withColumns({"early": F.least("block", "other"), "late": F.greatest("block", "other")}).drop("other")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min((last + 1) * (last + 2) // 2, 2000))
+    pairs = sides.repartition(tasks, "early", "late").groupBy("early", "late")
+    matched = pairs.applyInPandas(_smallest_matches(max_distance), "first_id bigint, match bigint")
+    matched = checkpointed(matched.groupBy("first_id").agg(F.min("match").alias("match")))
     of_first = one.join(matched, "first_id", "left")
     return prints.join(of_first, "fingerprint").select(
         "doc_id",
@@ -126,3 +123,6 @@ def near_duplicates(
         .when(F.col("doc_id") != F.col("first_id"), F.col("first_id"))
         .alias("duplicate_of"),
     )
+
+
+ship_with_tasks(__name__)

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quire.operators import chunking, dedup, graph, lexical
@@ -154,3 +155,19 @@ def test_concept_graph(spark, rows):
     every = graph.nodes(graph.concepts(df))
     assert rows(graph.edges(df, every)) == sorted([("导数", "极限", 1), ("极限", "导数", 1)], key=repr)
     assert [r[2] for r in rows(graph.edges(df, every, undirected=True))] == [2]
+
+
+def test_a_pair_of_blocks_against_brute_force():
+    """More members and leaders than are compared at a time, prints with the sign bit, a block with itself."""
+    rng = random.Random(3)
+    prints = [(d, rng.getrandbits(64) if d % 3 else rng.getrandbits(9) << 55) for d in range(2500)]
+    prints = [(d, v - (1 << 64) if v >> 63 else v) for d, v in prints]
+    arrays = lambda block: ([d for d, _ in block], [v for _, v in block])
+    early, late = prints[:1200], prints[1200:]
+    for members, leaders in ((late, early), (late, late)):
+        blocks = {0: leaders, 1: members} if members is not leaders else {0: members}
+        pair = pd.DataFrame([(n, *arrays(b)) for n, b in blocks.items()], columns=["block", "ids", "prints"])
+        made = {r.first_id: r.match for r in dedup._smallest_matches(3)(pair).itertuples()}
+        close = lambda v, w: bin((v ^ w) & (2**64 - 1)).count("1") <= 3
+        expected = {d: next((e for e, w in leaders if e < d and close(v, w)), None) for d, v in members}
+        assert made == {d: e for d, e in expected.items() if e is not None} and made
