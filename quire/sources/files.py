@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -23,7 +24,6 @@ FILE_TYPES = ["pdf", "docx", "pptx"]
 MAX_FILE_BYTES = 200 * 1024 * 1024
 MAX_UNPACKED_BYTES = 500 * 1024 * 1024
 
-PARAGRAPHS = "array<struct<page:bigint,idx:bigint,style:string,text:string>>"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
@@ -142,27 +142,37 @@ def _pptx_pages(archive: zipfile.ZipFile) -> list[dict]:
     return rows
 
 
-def _office_rows(content: pd.Series, kind: pd.Series) -> pd.Series:
-    def read(data: bytes | None, name: str) -> list[dict] | None:
-        if data is None:
-            return None
-        try:
-            with zipfile.ZipFile(io.BytesIO(data)) as archive:
-                return _docx_paragraphs(archive) if name == "docx" else _pptx_pages(archive)
-        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-            return None
+#: Files whose rows a task holds at once.
+FILES_AT_ONCE = 64
+
+
+def _office_rows(data: bytes | None, kind: str) -> list[dict]:
+    if data is None:
+        return []
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as archive:
+            return _docx_paragraphs(archive) if kind == "docx" else _pptx_pages(archive)
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+        return []
+
 
-    return pd.Series([read(data, name) for data, name in zip(content, kind)], dtype=object)
+def _office_frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for at in range(0, len(batch), FILES_AT_ONCE):
+            some = batch.iloc[at : at + FILES_AT_ONCE]
+            found = [(i, k, r["page"], r["idx"], r["style"], r["text"]) for i, k, data in some.itertuples(index=False) for r in _office_rows(data, k)]
+            frame = pd.DataFrame(found, columns=["book_id", "file_type", "page", "idx", "style", "text"])
+            yield frame.astype({"page": "Int64", "idx": "Int64"})
 
 
 def office_text(files: DataFrame) -> DataFrame:
     """``(book_id, file_type, page, idx, style, text)`` of DOCX paragraphs and PPTX slides.
 
-    A file that cannot be read gives no rows.
+    A file that cannot be read gives no rows. A task holds the rows of a few files at a time.
     """
-    office = files.filter(F.col("file_type").isin("docx", "pptx"))
-    rows = F.pandas_udf(_office_rows, PARAGRAPHS)("content", "file_type")
-    return office.select("book_id", "file_type", F.explode(rows).alias("p")).select("book_id", "file_type", "p.*")
+    office = files.filter(F.col("file_type").isin("docx", "pptx")).select("book_id", "file_type", "content")
+    schema = f"book_id {files.schema['book_id'].dataType.simpleString()}, file_type string, page bigint, idx bigint, style string, text string"
+    return office.mapInPandas(_office_frames, schema)
 
 
 def scanned_books(books: DataFrame, pages: DataFrame, threshold: int = 30) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,3 +273,13 @@ def test_stored_tables_stream_from_a_folder(spark, rows, small, tmp_path):
     for query in ("streaming_import_dedup", "streaming_daily_activity"):
         of_file, of_folder = (rows(ingest.QUERIES[query](spark, d)) for d in (small, str(tmp_path)))
         assert of_file == of_folder and of_file
+
+
+def test_office_rows_of_a_few_files_at_a_time():
+    """A task gives the rows of a few files, then those of the next; unreadable files have none."""
+    texts = ingest._docx(pd.Series([f"one\ntwo {i}" for i in range(200)]))
+    batch = pd.DataFrame({"book_id": range(201), "file_type": "docx", "content": [*texts, b"no archive"]})
+    frames = list(files._office_frames(iter([batch])))
+    assert [len(f) for f in frames] == [128, 128, 128, 16]
+    last = frames[-1].iloc[-1]
+    assert (last.book_id, last.idx, last.text) == (199, 1, "two 199") and pd.isna(last.page)
