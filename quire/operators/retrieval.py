@@ -271,15 +271,23 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4
 
 
 def enrich_hits(hits: DataFrame, chunks: DataFrame, books: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Titles, page range and a 400-character snippet for each hit."""
+    """Titles, page range and a 400-character snippet for each hit.
+
+    Hits are written before they meet the chunks: the planner then knows that they are the small side, and of
+    chunks, books and chapters only rows of hits move.
+    """
     body = chunks.select("chunk_id", "chapter_id", "page_start", "page_end", "chunk_index", "content",
                          F.col("book_id").alias("of_book"))
+    hits = written(hits.drop("book_id"), "hits")
+    found = written(hits.join(body, "chunk_id").withColumnRenamed("of_book", "book_id"), "bodies")
+
+    def titles(df: DataFrame, key: str, name: str) -> DataFrame:
+        wanted = found.select(key).filter(F.col(key).isNotNull()).distinct()
+        return df.select(key, F.col("title").alias(name)).join(wanted, key, "left_semi")
+
     return (
-        hits.drop("book_id")
-        .join(body, "chunk_id")
-        .withColumnRenamed("of_book", "book_id")
-        .join(books.select("book_id", F.col("title").alias("book_title")), "book_id", "left")
-        .join(chapters.select("chapter_id", F.col("title").alias("chapter_title")), "chapter_id", "left")
+        found.join(titles(books, "book_id", "book_title"), "book_id", "left")
+        .join(titles(chapters, "chapter_id", "chapter_title"), "chapter_id", "left")
         .withColumn("page_end", F.coalesce("page_end", "page_start"))
         .withColumn("book_title", F.coalesce("book_title", F.lit("")))
         .withColumn("snippet", F.substring("content", 1, P.SNIPPET_CHARS))
@@ -334,9 +342,11 @@ def neighbour_context(hits: DataFrame, chunks: DataFrame, radius: int = 1) -> Da
     """Whole chapter when it has at most three chunks, else the chunk with its neighbours.
 
     ``hits(query_id, chunk_id, book_id, chapter_id, chunk_index)``. The index of a chapter's chunks
-    is contiguous, so neighbours are found by an equi join on the shifted index; only hits move.
+    is contiguous, so neighbours are found by an equi join on the shifted index; only hits move. They are
+    written first, so that the planner knows their bytes and leaves the chunks where they lie.
     """
     reach = max(radius, 2)
+    hits = written(hits.select("query_id", "chunk_id", "book_id", "chapter_id", "chunk_index"), "hits")
     wanted = hits.select(
         "query_id", "chunk_id", "book_id", F.col("chapter_id").alias("own_chapter"), "chunk_index",
         F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("shift"),

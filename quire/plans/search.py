@@ -11,7 +11,7 @@ from quire.operators import answers as A
 from quire.operators import blocks, graph, index, retrieval
 from quire.plans import enrichment
 from quire.plans import twin as S
-from quire.session import fresh_path, once
+from quire.session import fresh_path, once, written
 from quire.sources import model as M
 
 
@@ -53,7 +53,7 @@ def _scoped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _snippets(spark: SparkSession, d: str) -> DataFrame:
-    hits = _found(spark, d, P.TOP_K).top
+    hits = written(_found(spark, d, P.TOP_K).top, "hits")
     shown = hits.join(M.chunks(spark, d).select("chunk_id", "content"), "chunk_id").join(questions(spark, d), "query_id")
     tokens = F.regexp_extract_all("content", F.lit(P.WORD), F.lit(0))
     return shown.select(

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -341,3 +342,14 @@ def test_blocks_are_made_before_they_are_shuffled():
         assert r["top"] == pytest.approx(tf * 2.2 / (tf + 1.2))
     empty = pa.table({"number": pa.array([1], pa.int64()), "keys": pa.array([None], pa.list_(pa.string()))})
     assert not sum(len(b) for b in blocks._blocks(names, 3.0)(iter(empty.to_batches())))
+
+
+def test_chunks_stay_where_they_lie(spark, many, library):
+    """Hits are the side that is sent: no plan sorts the texts of the corpus to join them with a few hits."""
+    chunks, stored = many
+    hits = stored.search(asked(spark, "w1 rare7"), 3).top
+    full = chunks.select("*", F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.lit(0).cast("bigint").alias("chunk_index"))
+    shown = retrieval.enrich_hits(hits, full, library[1], library[2])
+    assert shown.count() == 3
+    plan = retrieval.neighbour_context(shown, full)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(book_id#\d+L, at#", plan)
