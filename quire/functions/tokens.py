@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import patterns as P
 from quire.functions.text import let
 
-_LATIN_RUN = rf"[\p{{L}}\p{{N}}&&[^{P.HAN}]]+"
+LATIN_RUN = rf"[\p{{L}}\p{{N}}&&[^{P.HAN}]]+"
 _HAN_RUN = rf"[{P.HAN}]+"
 
 
@@ -35,7 +35,7 @@ def index_tokens(text: Column, terms: list[str] = P.SUBJECT_TERMS, keep_bare: bo
     long_terms = [t for t in terms if len(t) > 2]
 
     def build(lowered: Column) -> Column:
-        latin = F.regexp_extract_all(lowered, F.lit(_LATIN_RUN), F.lit(0))
+        latin = F.regexp_extract_all(lowered, F.lit(LATIN_RUN), F.lit(0))
         tokens = F.when(
             lowered.rlike(_HAN_RUN), F.concat(latin, _han_tokens(lowered, (1, 2), long_terms))
         ).otherwise(latin)
@@ -53,7 +53,7 @@ def query_tokens(text: Column, limit: int = P.QUERY_TOKENS, terms: list[str] = P
     def build(lowered: Column) -> Column:
         tokens = F.array_distinct(
             F.concat(
-                F.regexp_extract_all(lowered, F.lit(_LATIN_RUN), F.lit(0)),
+                F.regexp_extract_all(lowered, F.lit(LATIN_RUN), F.lit(0)),
                 F.when(lowered.rlike(_HAN_RUN), _han_tokens(lowered, (2,), long_terms)).otherwise(
                     F.array().cast("array<string>")
                 ),
@@ -94,7 +94,7 @@ def words(text: Column, min_chars: int = 2, terms: list[str] = P.SUBJECT_TERMS)
     """Distinct words of at least ``min_chars`` characters, case kept: Latin words in text order,
     then the pairs of Han runs and the listed terms."""
     long_terms = [t for t in terms if len(t) > 2]
-    latin = F.regexp_extract_all(text, F.lit(_LATIN_RUN), F.lit(0))
+    latin = F.regexp_extract_all(text, F.lit(LATIN_RUN), F.lit(0))
     found = F.when(text.rlike(_HAN_RUN), F.concat(latin, _han_tokens(text, (2,), long_terms))).otherwise(latin)
     return F.array_distinct(F.filter(found, lambda w: F.length(w) >= min_chars))
 

@@ -113,9 +113,7 @@ def _stored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rebuilt(spark: SparkSession, d: str) -> DataFrame:
-    stored = blocks.write_index(M.chunks(spark, d), fresh_path(spark, "index")).table("blocks")
-    in_block = F.aggregate("postings", F.lit(0).cast("bigint"), lambda a, p: a + F.shiftright(p, 6).bitwiseAND(F.lit((1 << 26) - 1)))
-    return stored.groupBy("token").agg(F.sum(F.bit_count("mask")).alias("df"), F.sum(in_block).alias("cf"))
+    return blocks.write_index(M.chunks(spark, d), fresh_path(spark, "index")).table("frequency")
 
 
 def _purged(spark: SparkSession, d: str) -> DataFrame:

@@ -344,6 +344,32 @@ def test_blocks_are_made_before_they_are_shuffled():
     assert not sum(len(b) for b in blocks._blocks(names, 3.0)(iter(empty.to_batches())))
 
 
+def test_blocks_are_packed_by_token():
+    """A row for many slots of a token, cut after a number of postings and between pieces; blocks come back whole."""
+    numbers = [*range(3000), *range(1 << 33, (1 << 33) + 100)]
+    lists = [["a", f"r{n % 1000}", "a"] for n in numbers]
+    table = pa.table({"number": pa.array(numbers, pa.int64()), "keys": pa.array(lists, pa.list_(pa.string()))})
+    spans = pa.Table.from_batches(blocks._spans(iter(table.to_batches(max_chunksize=5000))))
+    of_a = [r for r in spans.to_pylist() if r["token"] == "a"]
+    assert len(spans) < 1200 and sum(r["n"] for r in of_a) == 6200
+    assert [len(r["postings"]) for r in of_a] == [1024, 1024, 952, 64, 36]
+    direct = pa.Table.from_batches(blocks._blocks(["token", "slot", "mask", "top", "postings"], 3.0)(iter(table.to_batches())))
+    back = pa.Table.from_batches(blocks._unpacked(3.0)(iter(spans.drop_columns("n").to_batches())))
+    order = [("token", "ascending"), ("slot", "ascending")]
+    assert back.sort_by(order).to_pylist() == direct.sort_by(order).to_pylist()
+
+
+def test_few_phrases_need_no_tables(spark, rows):
+    texts = ["Alpha betamax", "x alphabet", "中文alpha中文", "what???", None, "", "中文章", "！？", "a-b c"]
+    chunks = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "chunk_id bigint, book_id bigint, content string")
+    stored = blocks.write_index(chunks, fresh_path(spark, "few"))
+    questions = asked(spark, "ALPHA", "中文", "??", "a-b", "bet alp", "none", "", None, "！")
+    direct = rows(retrieval.substring_search(questions, chunks), "query_id", "chunk_id", "rank")
+    assert rows(stored.substrings(questions), "query_id", "chunk_id", "rank") == direct and not stored.phrases
+    blocks.write_phrases(stored)
+    assert rows(stored.substrings(questions), "query_id", "chunk_id", "rank") == direct
+
+
 def test_chunks_stay_where_they_lie(spark, many, library):
     """Hits are the side that is sent: no plan sorts the texts of the corpus to join them with a few hits."""
     chunks, stored = many
