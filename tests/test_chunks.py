@@ -5,6 +5,7 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
+from quire.functions import patterns as P
 from quire.operators import chunking, dedup, graph, lexical
 
 INTERVAL = "book_id bigint, chapter_index bigint, start_page bigint, end_page bigint"
@@ -171,3 +172,13 @@ def test_a_pair_of_blocks_against_brute_force():
         close = lambda v, w: bin((v ^ w) & (2**64 - 1)).count("1") <= 3
         expected = {d: next((e for e, w in leaders if e < d and close(v, w)), None) for d, v in members}
         assert made == {d: e for d, e in expected.items() if e is not None} and made
+
+
+def test_quick_patterns_match_the_same(spark):
+    parts = ["的定义", "的概念：", "是指", "即为", "即", "表示", "矩阵", "A-b", "(x)", "ABC def", " ", "\n", "。", "；", "12", "数字排成的表"]
+    chance = random.Random(5)
+    df = spark.createDataFrame([("".join(chance.choices(parts, k=12)),) for _ in range(2000)], "text string")
+    for pattern, words in ((P.DEFINITION_OF, P.DEFINITION_OF_WORDS), (P.DEFINITION_IS, P.DEFINITION_IS_WORDS)):
+        found = [F.regexp_extract_all("text", F.lit(p), F.lit(g)) for g in (0, 1, 2) for p in (pattern, lexical._quick(pattern, words))]
+        assert df.filter(F.size(found[0]) > 0).count() > 500
+        assert df.filter((found[0] != found[1]) | (found[2] != found[3]) | (found[4] != found[5])).count() == 0
