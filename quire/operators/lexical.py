@@ -13,6 +13,7 @@ from quire.functions import patterns as P
 from quire.functions.text import let, strip
 from quire.functions.tokens import index_tokens, term_counts
 from quire.operators.ranking import global_row_number
+from quire.session import written
 
 OTHER = "其他"
 HAN_SCRIPT = rf"[{P.HAN}]"
@@ -179,8 +180,10 @@ def wanted_tags(books: DataFrame, keyword_lists: DataFrame, n: int = 5) -> DataF
 def assign_tags(wanted: DataFrame, tags: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New tags and new links for ``wanted(book_id, name)``.
 
-    Ids of new tags continue after the largest one, in name order.
+    Ids of new tags continue after the largest one, in name order. ``wanted`` is written, as names and links both
+    come from it: the keywords of a book are found once.
     """
+    wanted = written(wanted, "wanted")
     top = tags.agg(F.coalesce(F.max("tag_id"), F.lit(0)).alias("top"))
     fresh = wanted.select("name").distinct().join(tags, "name", "left_anti")
     numbered = global_row_number(fresh, ["name"], "rn")

@@ -182,3 +182,20 @@ def test_quick_patterns_match_the_same(spark):
         found = [F.regexp_extract_all("text", F.lit(p), F.lit(g)) for g in (0, 1, 2) for p in (pattern, lexical._quick(pattern, words))]
         assert df.filter(F.size(found[0]) > 0).count() > 500
         assert df.filter((found[0] != found[1]) | (found[2] != found[3]) | (found[4] != found[5])).count() == 0
+
+
+def test_wanted_tags_are_made_once(spark, rows):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def name(book):
+        seen.add(1)
+        return f"tag {book % 3}"
+
+    wanted = spark.range(12).select(F.col("id").alias("book_id"), name("id").alias("name"))
+    tags = spark.createDataFrame([(1, "tag 0")], "tag_id bigint, name string")
+    links = spark.createDataFrame([(0, 1)], "book_id bigint, tag_id bigint")
+    new_tags, new_links = lexical.assign_tags(wanted, tags, links)
+    assert sorted(rows(new_tags, "tag_id", "name")) == [(2, "tag 1"), (3, "tag 2")]
+    assert sorted(rows(new_links, "book_id", "tag_id")) == [(b, b % 3 + 1) for b in range(1, 12)]
+    assert seen.value == 12
