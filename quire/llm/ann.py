@@ -40,6 +40,22 @@ def clean(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", v.alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL").filter(good)
 
 
+def sampled(vectors: DataFrame, ids: int) -> np.ndarray:
+    """Vectors of the ids with the smallest hashes, at most ``SAMPLE``; ``ids`` is about how many ids there are.
+
+    Only ids below a hash that leaves half as many again are sorted, and repeated rows meet in one before that,
+    so tasks hand on as much for a table of any size, and the sample alone goes to the driver. There,
+    repeats take what room is left.
+    """
+    share = 1.5 * SAMPLE / max(ids, 1)
+    if share < 1:
+        vectors = vectors.filter(F.xxhash64("vec_id") < int((share - 0.5) * 2**64))
+    first = vectors.groupBy("vec_id", "v").count().orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).select("v", "count").toArrow()
+    distinct, repeats = vectors_in(first["v"].combine_chunks()), np.cumsum(first["count"].to_numpy() - 1)
+    room = min(SAMPLE - len(distinct), int(repeats[-1]))
+    return np.concatenate((distinct, distinct[np.searchsorted(repeats, np.arange(room), "right")]))
+
+
 def centroids_of(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
     """k-means on the sample; a centre that loses its vectors takes the ones farthest from theirs."""
     chance = np.random.default_rng(11)
@@ -254,14 +270,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     no row.
     """
     spark = vectors.sparkSession
-    sizes = clean(vectors).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    counts = F.count("*").alias("count"), F.approx_count_distinct("vec_id")
+    sizes = clean(vectors).groupBy(F.size("v").alias("n")).agg(*counts).orderBy(F.desc("count"), "n").limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width, rows = sizes[0]
+    width, rows, ids = sizes[0]
     usable = clean(vectors).filter(F.size("v") == width)
     asked = clean(queries).filter(F.size("v") == width).groupBy("vec_id").agg(F.min("v").alias("v"))
-    sample = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]
-    sample = np.array(sample.tolist(), np.float64)
+    sample = sampled(usable, ids)
     lists = int(max(1, min(rows // PER_LIST, len(sample) // 8)))
     centres = centroids_of(sample, lists)
     graph = spark.sparkContext.broadcast(graph_of(centres) | {"held": held(centres, sample)})

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from quire.llm import ann
 
@@ -78,3 +79,29 @@ def test_outliers_and_copies_find_k(spark):
     true = brute([(i, v) for i, v in rows if i != 300] + [(300, [90.0] * 16)], [300], 10)[300]
     got = sorted((r["rank"], r.score, r.vec_id) for r in ann.nearest(data, table(spark, [rows[-4]]), 10).collect())
     assert [(s, i) for _, s, i in got] == true
+
+
+def test_only_the_sample_reaches_the_driver(spark, monkeypatch):
+    """Forty parts of 500 vectors, half of them of one id, which comes first; the driver takes 2 MB of results and no more."""
+    monkeypatch.setattr(ann, "SAMPLE", 500)
+    own, hot = F.col("id") % 2 == 0, spark.range(0, 20_000, 2).orderBy(F.xxhash64("id")).first().id
+    embedding = F.array(*[F.when(own, F.rand(k)).otherwise(0.5).cast("float") for k in range(64)])
+    data = spark.range(0, 20_000, 1, 40).select(F.when(own, F.col("id")).otherwise(hot).alias("vec_id"), embedding.alias("embedding"))
+    expected = sorted(tuple(r.v) for r in ann.clean(data).distinct().orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(500).collect())
+    conf = spark.sparkContext._conf
+    most = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "2m")
+    try:
+        sample = ann.sampled(ann.clean(data), 10_000)
+        found = ann.nearest(data, data.filter("vec_id % 1000 = 0"), 10).collect()
+    finally:
+        conf.set("spark.driver.maxResultSize", most)
+    assert sorted(map(tuple, sample)) == expected
+    assert len(found) == 20 * 10 and len({(r.query_id, r.vec_id) for r in found}) == 200
+
+
+def test_repeats_take_what_room_is_left(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 6)
+    rows = spark.createDataFrame([(k, [float(k)]) for k in (1, 2, 2, 2, 2, 2, 3)], "vec_id long, v array<double>")
+    assert sorted(ann.sampled(rows, 3).ravel()) == [1, 2, 2, 2, 2, 3]
+    assert sorted(ann.sampled(rows.filter("vec_id <> 2"), 2).ravel()) == [1, 3]
