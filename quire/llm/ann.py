@@ -252,12 +252,15 @@ def best_of(met: DataFrame, k: int) -> DataFrame:
 
 
 def searched_exactly(usable: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest of all vectors: vectors are dealt to parts, and every part sees all queries."""
+    """The ``k`` nearest of all vectors: vectors are dealt to parts, and every part sees all queries.
+
+    The planner takes the queries for as few bytes as before they were given to all parts, and would broadcast them.
+    """
     parts = int(usable.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = usable.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int").alias("list"), "vec_id", "v")
     every = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("list"), "vec_id", "v")
     wanted = blocks(every, 1).select("list", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
-    return best_of(blocks(dealt, 1).join(wanted, "list").mapInArrow(_meet(k), "query_id long, vec_id long, score double"), k)
+    return best_of(blocks(dealt, 1).join(wanted.hint("merge"), "list").mapInArrow(_meet(k), "query_id long, vec_id long, score double"), k)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -285,7 +288,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     salt = max(1, int(rows * REPLICAS // max(lists, 1) // (PER_BLOCK * 8)))
     posted = blocks(usable.mapInArrow(_assign(graph), kind), salt)
     wanted = blocks(asked.mapInArrow(_assign(graph, k), kind), salt).select("list", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
-    met = posted.join(wanted, "list").mapInArrow(_meet(k), "query_id long, vec_id long, score double")
+    met = posted.join(wanted.hint("merge"), "list").mapInArrow(_meet(k), "query_id long, vec_id long, score double")
     found = stored(best_of(met, k), "nearest")
     enough = found.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
     short = stored(asked.join(enough, "vec_id", "left_anti"), "nearest-short")

@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quire.llm import ann
+from quire.llm.common import stored
 
 
 def table(spark, rows):
@@ -105,3 +106,10 @@ def test_repeats_take_what_room_is_left(spark, monkeypatch):
     rows = spark.createDataFrame([(k, [float(k)]) for k in (1, 2, 2, 2, 2, 2, 3)], "vec_id long, v array<double>")
     assert sorted(ann.sampled(rows, 3).ravel()) == [1, 2, 2, 2, 2, 3]
     assert sorted(ann.sampled(rows.filter("vec_id <> 2"), 2).ravel()) == [1, 3]
+
+
+def test_queries_are_not_broadcast_once_for_each_part(spark):
+    vectors = stored(table(spark, [(k, [float(k), 1.0]) for k in range(40)]), "vectors")
+    found = ann.searched_exactly(ann.clean(vectors), ann.clean(vectors.filter("vec_id % 20 = 0")), 2)
+    assert [(r.query_id, r.vec_id) for r in found.orderBy("query_id", "rank").collect()] == [(0, 1), (0, 2), (20, 19), (20, 21)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
